@@ -1,18 +1,19 @@
-"""Accumulators that restart: bars closed by volume or by price range.
+"""Accumulators that restart: bars by volume or range, detector windows.
 
-Where such a bar ends depends on where it began, so neither a window nor a
-division of a running sum can say it, and one task per instrument would not
+Where such a window ends depends on where it began, so neither a SQL window nor
+a division of a running sum can say it, and one task per instrument would not
 scale.  Each slice of a key is therefore summarised as a function from the
 state it is entered with to the state it is left with:
 
-* the *openings*: the few rows at which a bar carried in could close, given
-  how much it has already gathered, and the state each of them leads to;
-* the slice's own totals, for a bar that runs through the whole slice.
+* the *openings*: the rows at which a window carried in could end, what has
+  been gathered up to each of them, and the state each of them leads to;
+* what the whole slice gathers, for a window that runs through it.
 
 Slices are summarised in parallel, the summaries (small, one row per slice) are
 composed in order per key, and every slice is then marked in parallel from its
-now known entry state.  After its first close a slice forgets the entry state,
-which is why the function stays small; the result is exact in every case.
+now known entry state.  Windows begun at different rows soon end at the same
+row, and openings leading to the same state are merged, which keeps the
+function small; the result is exact in every case.
 """
 
 from __future__ import annotations
@@ -26,90 +27,207 @@ from pyspark.sql import functions as F
 
 from tickloom.plans.scan import slice_of, slice_rows
 
-FRESH = -1  # no bar open
+FRESH = -1  # no window open
+
+
+def _ints(pdf: pd.DataFrame, column: str) -> np.ndarray:
+    return pdf[column].to_numpy(dtype=np.int64)
+
+
+def _extent(fits, price: np.ndarray) -> np.ndarray:
+    """Per start, the first row at which high - low of the rows so far no longer fits (n: none)."""
+    n = len(price)
+    highs, lows = [price], [price]
+    while 2 << (len(highs) - 1) <= n:
+        span = 1 << (len(highs) - 1)
+        highs.append(np.maximum(highs[-1][:-span], highs[-1][span:]))
+        lows.append(np.minimum(lows[-1][:-span], lows[-1][span:]))
+    at, high, low = np.arange(n), price.copy(), price.copy()
+    for level in range(len(highs) - 1, -1, -1):
+        span = 1 << level
+        can = np.flatnonzero(at + span <= n)
+        up = np.maximum(high[can], highs[level][at[can]])
+        down = np.minimum(low[can], lows[level][at[can]])
+        ok = fits(up - down)
+        grown = can[ok]
+        high[grown], low[grown] = up[ok], down[ok]
+        at[grown] += span
+    return at
 
 
 class VolumeLimit:
-    """A bar closes with the trade that brings it to ``limit``; the excess is not carried."""
+    """Ends with the row that brings the volume to ``limit``; the excess is not carried."""
+
+    columns = ("quantity",)
 
     def __init__(self, limit: int):
         self.limit = int(limit)
 
-    def gathered(self, pdf: pd.DataFrame) -> dict[str, np.ndarray]:
-        return {"total": np.cumsum(pdf["quantity"].to_numpy(dtype=np.int64))}
-
-    def next_start(self, pdf: pd.DataFrame) -> np.ndarray:
-        total = np.concatenate([[0], np.cumsum(pdf["quantity"].to_numpy(dtype=np.int64))])
+    def next_start(self, pdf):
+        total = np.concatenate([[0], np.cumsum(_ints(pdf, "quantity"))])
         return np.searchsorted(total[1:], total[:-1] + self.limit, side="left") + 1
 
-    def opening_rows(self, pdf: pd.DataFrame) -> np.ndarray:
-        total = self.gathered(pdf)["total"]
-        return np.arange(min(len(total), int(np.searchsorted(total, self.limit)) + 1))
+    def openings(self, pdf):
+        total = np.cumsum(_ints(pdf, "quantity"))
+        rows = np.arange(min(len(total), int(np.searchsorted(total, self.limit)) + 1))
+        return rows + 1, [total[rows]]
 
-    def measure(self, pdf: pd.DataFrame, start: int, stop: int) -> tuple[int, int]:
-        return int(pdf["quantity"].iloc[start:stop].sum()), 0
+    def state(self, pdf, start):
+        return [int(pdf["quantity"].iloc[start:].sum())]
 
-    def merged(self, entry, first, second):
-        return entry[0] + first, np.zeros_like(second)
+    def through(self, entry, whole):
+        return [entry[0] + whole[0]]
 
-    def closes(self, first, second):
-        return first >= self.limit
+    def ends(self, entry, gathered):
+        return entry[0] + gathered[0] >= self.limit
 
 
 class RangeLimit:
-    """A bar closes with the trade that brings high - low to ``limit``."""
+    """Ends with the row that brings high - low to ``limit``."""
+
+    columns = ("price_ticks",)
 
     def __init__(self, limit: int):
         self.limit = int(limit)
 
-    def next_start(self, pdf: pd.DataFrame) -> np.ndarray:
-        price = pdf["price_ticks"].to_numpy(dtype=np.int64)
-        n = len(price)
-        highs, lows = [price], [price]
-        while 2 << (len(highs) - 1) <= n:
-            span = 1 << (len(highs) - 1)
-            highs.append(np.maximum(highs[-1][:-span], highs[-1][span:]))
-            lows.append(np.minimum(lows[-1][:-span], lows[-1][span:]))
-        at = np.arange(n)
-        high, low = price.copy(), price.copy()
-        for level in range(len(highs) - 1, -1, -1):
-            span = 1 << level
-            can = np.flatnonzero(at + span <= n)
-            if not len(can):
-                continue
-            up = np.maximum(high[can], highs[level][at[can]])
-            down = np.minimum(low[can], lows[level][at[can]])
-            fits = up - down < self.limit
-            grown = can[fits]
-            high[grown], low[grown] = up[fits], down[fits]
-            at[grown] += span
-        return np.minimum(at, n) + 1
-
-    def opening_rows(self, pdf: pd.DataFrame) -> np.ndarray:
-        price = pdf["price_ticks"].to_numpy(dtype=np.int64)
+    def next_start(self, pdf):
+        return _extent(lambda spread: spread < self.limit, _ints(pdf, "price_ticks")) + 1
+
+    def openings(self, pdf):
+        price = _ints(pdf, "price_ticks")
         high, low = np.maximum.accumulate(price), np.minimum.accumulate(price)
         new = np.concatenate([[True], (np.diff(high) != 0) | (np.diff(low) != 0)])
-        wide = np.searchsorted(high - low, self.limit)
-        return np.flatnonzero(new[: wide + 1])
+        rows = np.flatnonzero(new[: int(np.searchsorted(high - low, self.limit)) + 1])
+        return rows + 1, [high[rows], low[rows]]
+
+    def state(self, pdf, start):
+        part = pdf["price_ticks"].iloc[start:]
+        return [int(part.max()), int(part.min())]
+
+    def through(self, entry, whole):
+        return [max(entry[0], whole[0]), min(entry[1], whole[1])]
+
+    def ends(self, entry, gathered):
+        return np.maximum(entry[0], gathered[0]) - np.minimum(entry[1], gathered[1]) >= self.limit
+
+
+class TimeLimit:
+    """The next window starts with the first row more than (or at least) ``width_us`` after the start."""
+
+    columns = ("ts_us",)
+
+    def __init__(self, width_us: int, at_least: bool = False):
+        self.reach = int(width_us) - (1 if at_least else 0)
+
+    def next_start(self, pdf):
+        ts = _ints(pdf, "ts_us")
+        nxt = np.searchsorted(ts, ts + self.reach, side="right")
+        return np.where(nxt < len(ts), nxt, len(ts) + 1)
+
+    def openings(self, pdf):
+        ts = _ints(pdf, "ts_us")
+        rows = np.arange(min(len(ts), int(np.searchsorted(ts, ts[0] + self.reach, side="right")) + 1))
+        return rows, [ts[rows]]
+
+    def state(self, pdf, start):
+        return [int(pdf["ts_us"].iloc[start])]
+
+    def through(self, entry, whole):
+        return entry
+
+    def ends(self, entry, gathered):
+        return gathered[0] - entry[0] > self.reach
+
+
+class BandLimit:
+    """The next window starts when time runs out or the price leaves a band of ``ticks``."""
 
-    def measure(self, pdf: pd.DataFrame, start: int, stop: int) -> tuple[int, int]:
-        part = pdf["price_ticks"].iloc[start:stop]
-        return int(part.max()), int(part.min())
+    columns = ("ts_us", "price_ticks")
 
-    def merged(self, entry, first, second):
-        return np.maximum(entry[0], first), np.minimum(entry[1], second)
+    def __init__(self, width_us: int, ticks: int):
+        self.width, self.ticks = int(width_us), int(ticks)
 
-    def closes(self, first, second):
-        return first - second >= self.limit
+    def next_start(self, pdf):
+        ts = _ints(pdf, "ts_us")
+        late = np.searchsorted(ts, ts + self.width, side="right")
+        far = _extent(lambda spread: spread <= self.ticks, _ints(pdf, "price_ticks"))
+        nxt = np.minimum(late, far)
+        return np.where(nxt < len(ts), nxt, len(ts) + 1)
+
+    def openings(self, pdf):
+        ts, price = _ints(pdf, "ts_us"), _ints(pdf, "price_ticks")
+        high, low = np.maximum.accumulate(price), np.minimum.accumulate(price)
+        surely = (ts - ts[0] > self.width) | (high - low > self.ticks)
+        rows = np.arange(min(len(ts), int(np.argmax(surely)) + 1 if surely.any() else len(ts)))
+        return rows, [ts[rows], high[rows], low[rows]]
+
+    def state(self, pdf, start):
+        part = pdf["price_ticks"].iloc[start:]
+        return [int(pdf["ts_us"].iloc[start]), int(part.max()), int(part.min())]
+
+    def through(self, entry, whole):
+        return [entry[0], max(entry[1], whole[1]), min(entry[2], whole[2])]
+
+    def ends(self, entry, gathered):
+        spread = np.maximum(entry[1], gathered[1]) - np.minimum(entry[2], gathered[2])
+        return (gathered[0] - entry[0] > self.width) | (spread > self.ticks)
+
+
+class SweepLimit:
+    """Ends with the row reaching both a volume and a number of price levels, or before a break.
+
+    ``is_break`` marks rows that cannot continue the run of the row before;
+    ``is_step`` marks rows at another price than the row before.
+    """
+
+    columns = ("quantity", "is_break", "is_step")
+    AHEAD = 1 << 60
+
+    def __init__(self, volume: int, levels: int):
+        self.volume, self.levels = int(volume), int(levels)
+
+    def next_start(self, pdf):
+        n = len(pdf)
+        total = np.concatenate([[0], np.cumsum(_ints(pdf, "quantity"))])
+        steps = np.cumsum(_ints(pdf, "is_step"))
+        by_volume = np.searchsorted(total[1:], total[:-1] + self.volume, side="left")
+        by_levels = np.searchsorted(steps, steps + self.levels - 1, side="left")
+        # a window needs at least two rows to be a run
+        done = np.maximum(np.maximum(by_volume, by_levels), np.arange(n) + 1)
+        breaks = np.append(np.flatnonzero(_ints(pdf, "is_break")), n + 1)
+        broken = breaks[np.searchsorted(breaks, np.arange(n), side="right")]
+        return np.where(done < n, np.minimum(done + 1, broken), broken)
+
+    def openings(self, pdf):
+        breaks = np.flatnonzero(_ints(pdf, "is_break"))
+        first = int(breaks[0]) if len(breaks) else len(pdf)
+        total = np.cumsum(_ints(pdf, "quantity"))[:first]
+        steps = np.cumsum(_ints(pdf, "is_step"))[:first]
+        surely = (total >= self.volume) & (steps >= self.levels)
+        if surely.any():
+            rows = np.arange(int(np.argmax(surely)) + 1)
+            return rows + 1, [total[rows], steps[rows]]
+        starts = np.arange(first) + 1
+        if len(breaks):
+            starts = np.append(starts, first)
+            total, steps = np.append(total, self.AHEAD), np.append(steps, self.AHEAD)
+        return starts, [total, steps]
+
+    def state(self, pdf, start):
+        return [int(pdf["quantity"].iloc[start:].sum()), 1 + int(pdf["is_step"].iloc[start + 1:].sum())]
+
+    def through(self, entry, whole):
+        return [entry[0] + whole[0], entry[1] + whole[1]]
+
+    def ends(self, entry, gathered):
+        return (entry[0] + gathered[0] >= self.volume) & (entry[1] + gathered[1] >= self.levels)
 
 
 def _exits(limit, pdf: pd.DataFrame) -> np.ndarray:
-    """Row where the bar left open at the end of the slice began, per possible start (n: none)."""
+    """Row where the window left open at the end of the slice began, per possible start (n: none)."""
     n = len(pdf)
     step = np.concatenate([limit.next_start(pdf), [n + 1]])
-    at = np.arange(n + 1)
-    goes = step <= n
-    hop = np.where(goes, np.minimum(step, n), at)
+    hop = np.where(step <= n, np.minimum(step, n), np.arange(n + 1))
     while True:
         farther = hop[hop]
         if (farther == hop).all():
@@ -117,118 +235,130 @@ def _exits(limit, pdf: pd.DataFrame) -> np.ndarray:
         hop = farther
 
 
-def _summary(limit, pdf: pd.DataFrame) -> pd.DataFrame:
+def _whole(limit, pdf: pd.DataFrame) -> list[int]:
+    """What the slice adds to a window running through it."""
+    gathered = limit.state(pdf, 0)
+    if isinstance(limit, SweepLimit):
+        gathered[1] = int(pdf["is_step"].sum())
+    return gathered
+
+
+def _summary(limit, pdf: pd.DataFrame) -> dict:
     n = len(pdf)
     seq = pdf["seq"].to_numpy()
     exits = _exits(limit, pdf)
-    rows = limit.opening_rows(pdf)
-    state = {}
-    for start in np.unique(np.concatenate([exits[rows + 1], exits[:1]])):
-        state[int(start)] = (
-            (FRESH, 0, 0) if start >= n else (int(seq[start]), *limit.measure(pdf, int(start), n))
-        )
-    leaves = [state[int(exits[r + 1])] for r in rows]
-    if isinstance(limit, VolumeLimit):
-        first, second = limit.gathered(pdf)["total"][rows], np.zeros(len(rows), dtype=np.int64)
-    else:
-        price = pdf["price_ticks"].to_numpy(dtype=np.int64)
-        first, second = np.maximum.accumulate(price)[rows], np.minimum.accumulate(price)[rows]
-    keep = np.ones(len(rows), dtype=bool)
-    if isinstance(limit, VolumeLimit):
-        # rows leading to the same state act as one: the earliest total reached decides nothing else
-        keep[:-1] = [leaves[i] != leaves[i + 1] for i in range(len(rows) - 1)]
-    whole = limit.measure(pdf, 0, n)
-    fresh = state[int(exits[0])]
-    return pd.DataFrame(
-        {
-            "first": [first[keep].tolist()],
-            "second": [second[keep].tolist()],
-            "leaves": [[list(x) for x, k in zip(leaves, keep) if k]],
-            "whole_first": [whole[0]],
-            "whole_second": [whole[1]],
-            "fresh": [list(fresh)],
-        }
-    )
-
-
-def _after(limit, entry: tuple[int, int, int], row) -> tuple[int, int, int]:
-    """State after a slice entered with ``entry`` = (start seq, measures)."""
+    starts, gathered = limit.openings(pdf)
+    ids = exits[starts]
+    state = {
+        int(start): [FRESH] if start >= n else [int(seq[start]), *limit.state(pdf, int(start))]
+        for start in np.unique(np.append(ids, exits[0]))
+    }
+    # openings leading to the same state act as one, the last of them
+    keep = np.append(ids[:-1] != ids[1:], True) if len(ids) else np.zeros(0, dtype=bool)
+    return {
+        "gathered": [g[keep].tolist() for g in gathered],
+        "leads_to": [state[int(i)] for i in ids[keep]],
+        "whole": _whole(limit, pdf),
+        "fresh": state[int(exits[0])],
+    }
+
+
+def _after(limit, entry: list[int], row: dict) -> list[int]:
+    """State after a slice entered with ``entry`` = [start seq, measures...]."""
     if entry[0] == FRESH:
-        return tuple(row.fresh)
-    one, two = limit.merged(entry[1:], np.asarray(row.first), np.asarray(row.second))
-    hit = np.flatnonzero(limit.closes(one, two))
-    if isinstance(limit, VolumeLimit):
-        one_all, _ = limit.merged(entry[1:], np.asarray([row.whole_first]), np.asarray([0]))
-        if not limit.closes(one_all, 0)[0]:
-            return (entry[0], int(one_all[0]), 0)
-        return tuple(row.leaves[hit[0]])
+        return list(row["fresh"])
+    hit = np.flatnonzero(limit.ends(entry[1:], [np.asarray(g) for g in row["gathered"]]))
     if len(hit):
-        return tuple(row.leaves[hit[0]])
-    high, low = limit.merged(entry[1:], np.asarray([row.whole_first]), np.asarray([row.whole_second]))
-    return (entry[0], int(high[0]), int(low[0]))
-
-
-def restarting(df: DataFrame, key: Sequence[str], limit, out: str = "bar_id", rows: int | None = None) -> DataFrame:
-    """Give each row the ``seq`` of the first row of its bar."""
-    key = list(key)
+        return list(row["leads_to"][hit[0]])
+    return [entry[0], *limit.through(entry[1:], row["whole"])]
+
+
+def _parts(pdf: pd.DataFrame, by: list[str]):
+    """Consecutive stretches of equal ``by`` in a frame sorted by it."""
+    if not by:
+        yield pdf
+        return
+    changed = np.zeros(len(pdf), dtype=bool)
+    for c in by:
+        values = pdf[c].to_numpy()
+        changed[1:] |= values[1:] != values[:-1]
+    edges = [0, *np.flatnonzero(changed), len(pdf)]
+    for lo, hi in zip(edges[:-1], edges[1:]):
+        yield pdf.iloc[lo:hi].reset_index(drop=True)
+
+
+def _mark(limit, part: pd.DataFrame) -> np.ndarray:
+    """Window ids of one slice of one key, from its entry state."""
+    n, at = len(part), 0
+    entry = [int(x) for x in part["_entry"].iloc[0]]
+    start = np.empty(n, dtype=np.int64)
+    if entry[0] != FRESH:
+        starts, gathered = limit.openings(part)
+        hit = np.flatnonzero(limit.ends(entry[1:], gathered))
+        at = int(starts[hit[0]]) if len(hit) else n
+        start[:at] = entry[0]
+    step, seq = limit.next_start(part), part["seq"].to_numpy()
+    while at < n:
+        stop = min(int(step[at]), n)
+        start[at:stop] = seq[at]
+        at = stop
+    return start
+
+
+def restarting(
+    df: DataFrame,
+    key: Sequence[str],
+    limit,
+    out: str = "bar_id",
+    within: Sequence[str] = (),
+    rows: int | None = None,
+) -> DataFrame:
+    """Give each row the ``seq`` of the first row of its window.
+
+    Windows belong to ``key + within``.  A task gets one slice of a ``key`` with
+    all its ``within`` values, which suits many small series (price levels)
+    sharing a sequence; a slice stays bounded either way.
+    """
+    key, within = list(key), list(within)
     rows = rows or slice_rows(df.sparkSession)
     sliced = df.withColumn("_slice", slice_of("seq", rows))
     types = {f.name: f.dataType.simpleString() for f in sliced.schema}
     kept = list(df.columns)
-    head = ", ".join(f"{c} {types[c]}" for c in [*key, "_slice"])
+    part = [*key, "_slice"]
+    full = [*key, *within, "_slice"]
+    head = ", ".join(f"{c} {types[c]}" for c in full)
 
     def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
-        made = _summary(limit, pdf.sort_values("seq", ignore_index=True))
-        for i, c in enumerate([*key, "_slice"]):
-            made.insert(i, c, [pdf[c].iloc[0]])
-        return made
+        made = []
+        for one in _parts(pdf.sort_values([*within, "seq"], ignore_index=True), within):
+            made.append({**{c: one[c].iloc[0] for c in full}, **_summary(limit, one)})
+        return pd.DataFrame(made)
 
-    needed = list(dict.fromkeys([*key, "_slice", "seq", "price_ticks", "quantity"]))
-    summaries = sliced.select(*needed).groupBy(*key, "_slice").applyInPandas(
+    needed = list(dict.fromkeys([*full, "seq", *limit.columns]))
+    summaries = sliced.select(*needed).groupBy(*part).applyInPandas(
         summarise,
-        f"{head}, first array<bigint>, second array<bigint>, leaves array<array<bigint>>, "
-        "whole_first bigint, whole_second bigint, fresh array<bigint>",
+        f"{head}, gathered array<array<bigint>>, leads_to array<array<bigint>>, whole array<bigint>, fresh array<bigint>",
     )
 
     def compose(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_slice", ignore_index=True)
-        entry, entries = (FRESH, 0, 0), []
-        for row in pdf.itertuples(index=False):
-            entries.append(list(entry))
-            entry = _after(limit, entry, row)
-        made = pdf[[*key, "_slice"]].copy()
-        made["_entry"] = entries
-        return made
-
-    entries = summaries.groupBy(*key).applyInPandas(compose, f"{head}, _entry array<bigint>")
+        made = []
+        for one in _parts(pdf.sort_values(full, ignore_index=True), within):
+            entry, entries = [FRESH], []
+            for row in one.to_dict("records"):
+                entries.append([int(x) for x in entry])
+                entry = _after(limit, entry, row)
+            done = one[full].copy()
+            done["_entry"] = entries
+            made.append(done)
+        return pd.concat(made, ignore_index=True)
+
+    spread = [F.pmod(F.xxhash64(*within), F.lit(256)).alias("_spread")] if within else []
+    entries = summaries.groupBy(*key, *spread).applyInPandas(compose, f"{head}, _entry array<bigint>")
 
     def mark(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq", ignore_index=True)
-        n = len(pdf)
-        entry = tuple(int(x) for x in pdf["_entry"].iloc[0])
-        start = np.empty(n, dtype=np.int64)
-        at = 0
-        if entry[0] != FRESH:
-            if isinstance(limit, VolumeLimit):
-                one, two = limit.merged(entry[1:], limit.gathered(pdf)["total"], np.zeros(n))
-            else:
-                price = pdf["price_ticks"].to_numpy(dtype=np.int64)
-                one, two = limit.merged(entry[1:], np.maximum.accumulate(price), np.minimum.accumulate(price))
-            hit = np.flatnonzero(limit.closes(one, two))
-            at = int(hit[0]) + 1 if len(hit) else n
-            start[:at] = entry[0]
-        step = limit.next_start(pdf)
-        seq = pdf["seq"].to_numpy()
-        while at < n:
-            stop = min(int(step[at]), n)
-            start[at:stop] = seq[at]
-            at = stop
-        pdf[out] = start
+        pdf = pdf.sort_values([*within, "seq"], ignore_index=True)
+        pdf[out] = np.concatenate([_mark(limit, one) for one in _parts(pdf, within)])
         return pdf[[*kept, out]]
 
     body = ", ".join(f"{c} {types[c]}" for c in kept)
-    return (
-        sliced.join(entries, [*key, "_slice"])
-        .groupBy(*key, "_slice")
-        .applyInPandas(mark, f"{body}, {out} bigint")
-    )
+    return sliced.join(entries, full).groupBy(*part).applyInPandas(mark, f"{body}, {out} bigint")

@@ -1,8 +1,8 @@
 """Sums and extremes over a sliding time window.
 
 Rows are first pre-aggregated per (key, microsecond), which bounds a time slice
-by its number of distinct timestamps however many events share one.  Slices as
-wide as the window are then processed together with the slice before them.
+by its number of distinct timestamps however many events share one.  Time slices
+are then processed together with the tail of the slice before them.
 Inside a slice the window edges are found by binary search over sorted
 timestamps, so the cost does not grow with the number of rows in the window.
 """
@@ -19,6 +19,9 @@ from pyspark.sql import functions as F
 from tickloom.plans.scan import whole
 
 
+SLICE_US = 60_000_000
+
+
 def _range_extreme(values: np.ndarray, lo: np.ndarray, hi: np.ndarray, pick) -> np.ndarray:
     """Extreme of values[lo:hi) for many ranges, by doubling tables."""
     empty = hi <= lo
@@ -64,9 +67,12 @@ def before_window(
         *[F.min_by(c, F.when(c.isNotNull(), F.col(seq))).cast("long").alias(n) for n, c in firsts.items()],
     ]
     per_ts = df.groupBy(*key, F.col(ts_us).alias("_ts")).agg(*at)
-    own = whole("_ts", width_us)
-    spread = per_ts.withColumn("_slice", F.explode(F.array(own, own + 1)))
-    names = [*sums, *maxs, *mins, *firsts]
+    length = max(width_us, SLICE_US)
+    own = whole("_ts", length)
+    spread = per_ts.withColumn("_slice", F.explode(F.sequence(own, whole(F.col("_ts") + F.lit(width_us), length))))
+    # plain names only: the function below travels to the executors
+    sum_names, max_names, min_names, first_names = list(sums), list(maxs), list(mins), list(firsts)
+    names = [*sum_names, *max_names, *min_names, *first_names]
     types = {f.name: f.dataType.simpleString() for f in df.select(*key).schema}
     schema = ", ".join(
         [f"{k} {types[k]}" for k in key] + ["_ts bigint"] + [f"{n} bigint" for n in names]
@@ -75,20 +81,20 @@ def before_window(
     def rows_of_slice(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_ts", ignore_index=True)
         ts = pdf["_ts"].to_numpy()
-        keep = (ts // width_us) == pdf["_slice"].iloc[0]
+        keep = (ts // length) == pdf["_slice"].iloc[0]
         lo = np.searchsorted(ts, ts - width_us, side="left")[keep]
         hi = np.flatnonzero(keep)
         out = {k: pdf[k].iloc[0] for k in key}
         out["_ts"] = ts[keep]
-        for name in sums:
+        for name in sum_names:
             total = np.concatenate([[0], np.cumsum(pdf[name].fillna(0).astype("int64").to_numpy())])
             out[name] = total[hi] - total[lo]
-        for name in [*maxs, *mins]:
-            high = name in maxs
+        for name in [*max_names, *min_names]:
+            high = name in max_names
             values = pdf[name].astype(float).fillna(-np.inf if high else np.inf).to_numpy()
             edge = _range_extreme(values, lo, hi, np.maximum if high else np.minimum)
             out[name] = pd.array(np.where(np.isfinite(edge), edge, np.nan), dtype="Float64").astype("Int64")
-        for name in firsts:
+        for name in first_names:
             col = pdf[name].astype("Int64")
             nxt = col.bfill()
             where = pd.Series(np.where(col.notna(), np.arange(len(col)), np.nan)).bfill().to_numpy()
