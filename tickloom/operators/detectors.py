@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tickloom import schema as S
 from tickloom.operators.bars import trade_columns
-from tickloom.plans import count_, last_, max_, min_, numbered, previous, running, sum_
+from tickloom.plans import count_, last_, materialize, max_, min_, numbered, previous, running, sum_
 from tickloom.plans.lookback import lookback
 from tickloom.plans.resets import BandLimit, SweepLimit, TimeLimit, restarting
 from tickloom.plans.scan import slice_of, slice_rows
@@ -151,8 +151,8 @@ def large_trade(df: DataFrame, s: LargeTrade = LargeTrade()) -> DataFrame:
 
 # -- sweep --------------------------------------------------------------------
 
-def sweep(df: DataFrame, s: Sweep = Sweep()) -> DataFrame:
-    """Same-side prints in quick succession through several prices; each run reports once."""
+def sweep_runs(df: DataFrame, s: Sweep = Sweep()) -> DataFrame:
+    """Prints with a known aggressor and the run (``run_id``) each belongs to."""
     eligible = trade_columns(df).where(F.col("aggressor") != S.UNKNOWN)
     chained = previous(eligible, [S.KEY], _side="aggressor", _ts="ts_us", _price="price_ticks")
     onward = F.when(F.col("aggressor") == S.BUY, F.col("price_ticks") >= F.col("_price")).otherwise(
@@ -165,7 +165,15 @@ def sweep(df: DataFrame, s: Sweep = Sweep()) -> DataFrame:
             "is_step": F.coalesce(F.col("price_ticks") != F.col("_price"), F.lit(False)).cast("long"),
         }
     ).drop("_side", "_ts", "_price")
-    runs = restarting(marked, [S.KEY], SweepLimit(s.min_volume, s.min_levels), out="run_id")
+    return restarting(marked, [S.KEY], SweepLimit(s.min_volume, s.min_levels), out="run_id")
+
+
+def sweep(df: DataFrame, s: Sweep = Sweep()) -> DataFrame:
+    """Same-side prints in quick succession through several prices; each run reports once."""
+    return sweeps_of(sweep_runs(df, s), s)
+
+
+def sweeps_of(runs: DataFrame, s: Sweep) -> DataFrame:
     inner = F.col("seq") > F.col("run_id")
     swept = runs.groupBy(S.KEY, "run_id").agg(
         (1 + F.sum(F.when(inner, F.col("is_step")).otherwise(0))).alias("levels"),
@@ -191,9 +199,16 @@ def sweep(df: DataFrame, s: Sweep = Sweep()) -> DataFrame:
 
 # -- absorption ---------------------------------------------------------------
 
+def absorption_windows(df: DataFrame, s: Absorption = Absorption()) -> DataFrame:
+    return restarting(trade_columns(df), [S.KEY], BandLimit(s.window_us, s.max_move), out="window_id")
+
+
 def absorption(df: DataFrame, s: Absorption = Absorption()) -> DataFrame:
     """Heavy volume inside a narrow band; once per anchored window."""
-    windows = restarting(trade_columns(df), [S.KEY], BandLimit(s.window_us, s.max_move), out="window_id")
+    return absorptions_of(materialize(absorption_windows(df, s), "absorption"), s)
+
+
+def absorptions_of(windows: DataFrame, s: Absorption) -> DataFrame:
     qty, zero = F.col("quantity"), F.lit(0).cast("long")
     run = running(
         windows, [S.KEY, "window_id"],
@@ -241,21 +256,39 @@ def iceberg(df: DataFrame, s: Iceberg = Iceberg()) -> DataFrame:
     )
 
 
-def replenishment(df: DataFrame, s: Replenishment = Replenishment()) -> DataFrame:
-    """A level emptied and restored several times within an anchored window."""
-    level = [S.KEY, "type", "price_ticks"]
+QUOTED = [S.KEY, "type", "price_ticks"]
+
+
+def replenishment_windows(
+    df: DataFrame, s: Replenishment = Replenishment(), before: DataFrame | None = None
+) -> DataFrame:
+    """Depth updates with their anchored window and whether they restore an emptied level.
+
+    ``before`` (level, ``_empty``) tells which levels were already empty.
+    """
+    level = QUOTED
     quotes = _clock(df).where(F.col("type").isin(S.BID_UPDATE, S.ASK_UPDATE)).select(
         *level, "seq", "ts_us", F.greatest(F.lit(0).cast("long"), "quantity").alias("size")
     )
     emptied = F.when(F.col("size") == 0, True).when(F.col("size") >= s.min_size, False)
     flagged = running(quotes, level, was_empty=last_(emptied, exclusive=True))
+    if before is not None:
+        flagged = flagged.join(before, level, "left").withColumn("was_empty", F.coalesce("was_empty", "_empty")).drop("_empty")
     flagged = flagged.withColumn(
         "is_restore", F.coalesce("was_empty", F.lit(False)) & (F.col("size") >= s.min_size)
     ).drop("was_empty")
-    windows = restarting(
+    return restarting(
         flagged, [S.KEY], TimeLimit(s.window_us), out="window_id", within=["type", "price_ticks"]
     )
-    counted = running(windows, [*level, "window_id"], restores=count_(F.col("is_restore")))
+
+
+def replenishment(df: DataFrame, s: Replenishment = Replenishment()) -> DataFrame:
+    """A level emptied and restored several times within an anchored window."""
+    return replenishments_of(materialize(replenishment_windows(df, s), "replenishment"), s)
+
+
+def replenishments_of(windows: DataFrame, s: Replenishment) -> DataFrame:
+    counted = running(windows, [*QUOTED, "window_id"], restores=count_(F.col("is_restore")))
     fired = counted.where(F.col("is_restore") & (F.col("restores") % s.times == 0))
     return _detection(
         fired, "Replenishment", F.when(F.col("type") == S.BID_UPDATE, "Bullish").otherwise("Bearish"),
@@ -265,21 +298,25 @@ def replenishment(df: DataFrame, s: Replenishment = Replenishment()) -> DataFram
 
 # -- stop run and regime --------------------------------------------------------
 
-def stop_run(df: DataFrame, s: StopRun = StopRun()) -> DataFrame:
-    """A break of the recent swing with a burst of volume, at most one per cooldown."""
+def stop_run(df: DataFrame, s: StopRun = StopRun(), seen: DataFrame | None = None, fires: DataFrame | None = None) -> DataFrame:
+    """A break of the recent swing with a burst of volume, at most one per cooldown.
+
+    When continuing a stream, ``seen`` (instrument_id, last_seq) excludes earlier rows
+    from firing and ``fires`` (instrument_id, ``_initial``) holds the last fire.
+    """
     trades = trade_columns(df)
     one, qty, price = F.lit(1).cast("long"), F.col("quantity"), F.col("price_ticks")
     swing = before_window(
-        trades, [S.KEY], s.lookback_us, sums={"_n": one, "_vol": qty}, maxs={"_hi": price}, mins={"_lo": price}
+        trades, [S.KEY], s.lookback_us, sums={"_n": one, "_vol": qty, "_short": qty}, maxs={"_hi": price}, mins={"_lo": price},
+        widths={"_short": s.short_us},
     )
-    burst = before_window(trades, [S.KEY], s.short_us, sums={"_short": qty})
     peers = running(
         trades, [S.KEY, "ts_us"], _pn=count_(exclusive=True), _pvol=sum_(qty, exclusive=True),
         _phi=max_(price, exclusive=True), _plo=min_(price, exclusive=True),
     )
     zero = F.lit(0).cast("long")
     earlier = F.coalesce("_pvol", zero)
-    both = peers.join(swing, [S.KEY, "ts_us"]).join(burst, [S.KEY, "ts_us"]).select(
+    both = peers.join(swing, [S.KEY, "ts_us"]).select(
         *trades.columns,
         (F.col("_n") + F.coalesce("_pn", zero)).alias("n"),
         F.greatest("_hi", "_phi").alias("swing_high"), F.least("_lo", "_plo").alias("swing_low"),
@@ -291,9 +328,15 @@ def stop_run(df: DataFrame, s: StopRun = StopRun()) -> DataFrame:
     broken = both.where(
         (F.col("n") >= s.min_prints) & (F.col("short_volume") >= s.burst * F.col("avg_burst")) & (up | down)
     ).withColumn("is_up", up)
-    fired = restarting(broken, [S.KEY], TimeLimit(s.cooldown_us, at_least=True), out="window_id").where(
-        F.col("seq") == F.col("window_id")
-    )
+    if seen is not None:
+        broken = broken.join(seen, S.KEY, "left").where(
+            F.col("seq") > F.coalesce("last_seq", F.lit(-1))
+        ).drop("last_seq")
+    # few rows behind costly windows, read twice below
+    broken = materialize(broken, "stop-run")
+    fired = restarting(
+        broken, [S.KEY], TimeLimit(s.cooldown_us, at_least=True), out="window_id", initial=fires
+    ).where(F.col("seq") == F.col("window_id"))
     level = F.when(F.col("is_up"), F.col("swing_high")).otherwise(F.col("swing_low"))
     return _detection(
         fired, "Stop-Run", F.when(F.col("is_up"), "Bullish").otherwise("Bearish"),

@@ -9,14 +9,15 @@ from its known entry states.
 
 from __future__ import annotations
 
+from itertools import groupby
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom import schema as S
-from tickloom.plans import count_, first_, running
-from tickloom.plans.resets import _parts
-from tickloom.plans.scan import slice_of, slice_rows
+from tickloom.plans import count_, first_, materialize, running
+from tickloom.plans.scan import slice_of, slice_rows, spread_over_tasks
 
 GONE = (0, 0, 0, 0)  # side, price, size, priority
 KEPT = -2  # taken over from the entry state
@@ -96,8 +97,14 @@ def composed(state: tuple, s: dict) -> tuple:
     return tuple(end)
 
 
-def _events(one: pd.DataFrame) -> list[tuple]:
-    return list(zip(*(one[c].tolist() for c in ("type", "side", "price_ticks", "quantity", "seq"))))
+def _by_order(pdf: pd.DataFrame, *extra: str):
+    """(epoch, order id, extra values, events) of each order of a slice."""
+    pdf = pdf.sort_values([*ORDER, "seq"], ignore_index=True)
+    columns = [pdf[c].tolist() for c in (*ORDER, *extra, "type", "side", "price_ticks", "quantity", "seq")]
+    width = len(ORDER) + len(extra)
+    for (epoch, order), rows in groupby(zip(*columns), key=lambda row: row[:2]):
+        rows = list(rows)
+        yield epoch, order, rows[0][2:width], [row[width:] for row in rows]
 
 
 def mbo_orders(df: DataFrame) -> DataFrame:
@@ -118,10 +125,13 @@ def mbo_orders(df: DataFrame) -> DataFrame:
     head = "instrument_id int, epoch bigint, order_id bigint, _slice bigint"
 
     def state_slice(pdf: pd.DataFrame) -> pd.DataFrame:
-        made = []
-        for one in _parts(pdf.sort_values([*ORDER, "seq"], ignore_index=True), ORDER):
-            made.append({**{c: one[c].iloc[0] for c in full}, **statement(_events(one))})
-        return pd.DataFrame(made)
+        instrument, at = pdf[S.KEY].iloc[0], pdf["_slice"].iloc[0]
+        return pd.DataFrame(
+            [
+                {S.KEY: instrument, "epoch": epoch, "order_id": order, "_slice": at, **statement(events)}
+                for epoch, order, _, events in _by_order(pdf)
+            ]
+        )
 
     statements = events.groupBy(*part).applyInPandas(
         state_slice,
@@ -130,26 +140,25 @@ def mbo_orders(df: DataFrame) -> DataFrame:
     )
 
     def compose(pdf: pd.DataFrame) -> pd.DataFrame:
-        made = []
-        for one in _parts(pdf.sort_values(full, ignore_index=True), ORDER):
-            state, entries = GONE, []
-            for s in one.to_dict("records"):
-                entries.append(list(state))
-                state = composed(state, s)
-            done = one[full].copy()
-            done["_entry"] = entries
-            made.append(done)
-        return pd.concat(made, ignore_index=True)
-
-    spread = F.pmod(F.xxhash64(*ORDER), F.lit(256)).alias("_spread")
+        pdf = pdf.sort_values(full, ignore_index=True)
+        entries, order, state = [], None, GONE
+        for s in pdf.to_dict("records"):
+            if (s["epoch"], s["order_id"]) != order:
+                order, state = (s["epoch"], s["order_id"]), GONE
+            entries.append(list(state))
+            state = composed(state, s)
+        made = pdf[full].copy()
+        made["_entry"] = entries
+        return made
+
+    spread = spread_over_tasks(df.sparkSession, ORDER).alias("_spread")
     entries = statements.groupBy(S.KEY, spread).applyInPandas(compose, f"{head}, _entry array<bigint>")
 
     def evaluate(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for one in _parts(pdf.sort_values([*ORDER, "seq"], ignore_index=True), ORDER):
-            state = tuple(int(x) for x in one["_entry"].iloc[0])
-            epoch, order = one["epoch"].iloc[0], one["order_id"].iloc[0]
-            for event in _events(one):
+        for epoch, order, (entry,), events in _by_order(pdf, "_entry"):
+            state = tuple(int(x) for x in entry)
+            for event in events:
                 state, outcome = applied(state, event)
                 out.append((epoch, order, event[4], outcome, *state))
         made = pd.DataFrame(
@@ -163,6 +172,7 @@ def mbo_orders(df: DataFrame) -> DataFrame:
         "instrument_id int, epoch bigint, order_id bigint, from_seq bigint, outcome string, side int, "
         "price_ticks bigint, size bigint, priority_seq bigint",
     )
+    changes = materialize(changes, "order-changes")
     changed = F.when(F.col("outcome") == "changed", F.col("from_seq"))
     chained = running(changes, [S.KEY, *ORDER], order="from_seq", to_seq=first_(changed, exclusive=True))
     ends = rows.where(resets).select(S.KEY, (F.col("epoch") - 1).alias("epoch"), F.col("seq").alias("_reset"))

@@ -118,14 +118,22 @@ def estimated_flags(df: DataFrame) -> DataFrame:
 
 # -- sequence -------------------------------------------------------------
 
-def sequence_audit(df: DataFrame, sequence: str = "seq", arrival: str = "seq") -> DataFrame:
+def sequence_audit(
+    df: DataFrame, sequence: str = "seq", arrival: str = "seq", before: DataFrame | None = None
+) -> DataFrame:
     """Outcome of every event against the highest sequence accepted before it.
 
     ``arrival`` is the position in which events arrived (recorder ordinal or
     log offset).  Rows without the has-sequence flag neither count nor advance.
+    ``before`` (instrument_id, last_sequence) tells what was accepted earlier.
     """
     sequenced = F.when(has_flag(S.HAS_SEQUENCE), F.col(sequence))
     out = running(df, [S.KEY], order=arrival, last_sequence=max_(sequenced, exclusive=True))
+    if before is not None:
+        known = before.select(S.KEY, F.col("last_sequence").alias("_known"))
+        out = out.join(known, S.KEY, "left").withColumn(
+            "last_sequence", F.greatest("last_sequence", "_known")
+        ).drop("_known")
     last = F.col("last_sequence")
     return out.withColumn(
         "outcome",
@@ -137,12 +145,14 @@ def sequence_audit(df: DataFrame, sequence: str = "seq", arrival: str = "seq") -
     )
 
 
-def clean_stream(df: DataFrame, sequence: str = "seq", arrival: str = "seq") -> DataFrame:
+def clean_stream(
+    df: DataFrame, sequence: str = "seq", arrival: str = "seq", before: DataFrame | None = None
+) -> DataFrame:
     """Without duplicates, and with a control row ahead of each gapped event.
 
     ``sub`` orders the control row (0) before its event (1).
     """
-    audited = sequence_audit(df, sequence, arrival).where(F.col("outcome") != DUPLICATE)
+    audited = sequence_audit(df, sequence, arrival, before).where(F.col("outcome") != DUPLICATE)
     parts = F.when(F.col("outcome") == GAP, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))
     exploded = audited.withColumn("sub", F.explode(parts))
     is_gap = F.col("sub") == 0

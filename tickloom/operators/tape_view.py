@@ -34,11 +34,13 @@ def tape_speed(df: DataFrame, short_us: int = 5_000_000, long_us: int = 60_000_0
         raise ValueError("the long window must exceed the short one")
     trades = trade_columns(df)
     one = F.lit(1).cast("long")
-    short = before_window(trades, [S.KEY], short_us, sums={"_sn": one, "_sq": F.col("quantity")})
-    long = before_window(trades, [S.KEY], long_us, sums={"_ln": one})
+    before = before_window(
+        trades, [S.KEY], long_us, sums={"_ln": one, "_sn": one, "_sq": F.col("quantity")},
+        widths={"_sn": short_us, "_sq": short_us},
+    )
     at = running(trades, [S.KEY, "ts_us"], _n=count_(), _q=sum_("quantity"))
     s, l = short_us / 1e6, long_us / 1e6
-    both = at.join(short, [S.KEY, "ts_us"]).join(long, [S.KEY, "ts_us"])
+    both = at.join(before, [S.KEY, "ts_us"])
     return both.select(
         S.KEY, "seq", "ts_us",
         ((F.col("_sn") + F.col("_n")) / F.lit(s)).alias("trades_per_second"),

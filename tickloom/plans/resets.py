@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.plans.scan import slice_of, slice_rows
+from tickloom.plans.scan import slice_of, slice_rows, spread_over_tasks
 
 FRESH = -1  # no window open
 
@@ -287,6 +287,13 @@ def _parts(pdf: pd.DataFrame, by: list[str]):
         yield pdf.iloc[lo:hi].reset_index(drop=True)
 
 
+def _opened(one: pd.DataFrame) -> list[int]:
+    """Entry state of a key's first slice."""
+    if "_initial" not in one.columns or one["_initial"].iloc[0] is None:
+        return [FRESH]
+    return [int(x) for x in one["_initial"].iloc[0]]
+
+
 def _mark(limit, part: pd.DataFrame) -> np.ndarray:
     """Window ids of one slice of one key, from its entry state."""
     n, at = len(part), 0
@@ -312,9 +319,13 @@ def restarting(
     out: str = "bar_id",
     within: Sequence[str] = (),
     rows: int | None = None,
+    initial: DataFrame | None = None,
 ) -> DataFrame:
     """Give each row the ``seq`` of the first row of its window.
 
+    ``initial`` (key columns, ``_initial`` = [start seq, measures...]) gives windows
+    already open before the first row.
+
     Windows belong to ``key + within``.  A task gets one slice of a ``key`` with
     all its ``within`` values, which suits many small series (price levels)
     sharing a sequence; a slice stays bounded either way.
@@ -343,7 +354,7 @@ def restarting(
     def compose(pdf: pd.DataFrame) -> pd.DataFrame:
         made = []
         for one in _parts(pdf.sort_values(full, ignore_index=True), within):
-            entry, entries = [FRESH], []
+            entry, entries = _opened(one), []
             for row in one.to_dict("records"):
                 entries.append([int(x) for x in entry])
                 entry = _after(limit, entry, row)
@@ -352,7 +363,9 @@ def restarting(
             made.append(done)
         return pd.concat(made, ignore_index=True)
 
-    spread = [F.pmod(F.xxhash64(*within), F.lit(256)).alias("_spread")] if within else []
+    spread = [spread_over_tasks(df.sparkSession, within).alias("_spread")] if within else []
+    if initial is not None:
+        summaries = summaries.join(initial, [*key, *within], "left")
     entries = summaries.groupBy(*key, *spread).applyInPandas(compose, f"{head}, _entry array<bigint>")
 
     def mark(pdf: pd.DataFrame) -> pd.DataFrame:

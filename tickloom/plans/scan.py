@@ -31,6 +31,12 @@ def slice_rows(spark: SparkSession) -> int:
     return int(spark.conf.get(SLICE_CONF, str(DEFAULT_SLICE_ROWS)))
 
 
+def spread_over_tasks(spark: SparkSession, columns: Sequence[str]) -> Column:
+    """Deal many small series out to as many groups as the session has shuffle partitions."""
+    n = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return F.pmod(F.xxhash64(*columns), F.lit(n))
+
+
 def whole(value: str | Column, unit: int) -> Column:
     """Floor of value / unit in exact integer arithmetic."""
     col = F.col(value) if isinstance(value, str) else value

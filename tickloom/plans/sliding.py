@@ -52,10 +52,12 @@ def before_window(
     mins: dict[str, Column] | None = None,
     firsts: dict[str, Column] | None = None,
     seq: str = "seq",
+    widths: dict[str, int] | None = None,
 ) -> DataFrame:
     """For each distinct timestamp t: aggregates over events with t - width <= ts < t.
 
-    ``firsts`` gives the value of the earliest event of the window.  Result has
+    ``firsts`` gives the value of the earliest event of the window; ``widths``
+    gives single aggregates a shorter window than ``width_us``.  Result has
     one row per (key, timestamp); sums are 0 and extremes NULL when empty.
     """
     sums, maxs, mins, firsts = sums or {}, maxs or {}, mins or {}, firsts or {}
@@ -78,17 +80,22 @@ def before_window(
         [f"{k} {types[k]}" for k in key] + ["_ts bigint"] + [f"{n} bigint" for n in names]
     )
 
+    shorter = dict(widths or {})
+
     def rows_of_slice(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_ts", ignore_index=True)
         ts = pdf["_ts"].to_numpy()
         keep = (ts // length) == pdf["_slice"].iloc[0]
-        lo = np.searchsorted(ts, ts - width_us, side="left")[keep]
+        edge_of = {
+            width: np.searchsorted(ts, ts[keep] - width, side="left") for width in {width_us, *shorter.values()}
+        }
+        lo = edge_of[width_us]
         hi = np.flatnonzero(keep)
         out = {k: pdf[k].iloc[0] for k in key}
         out["_ts"] = ts[keep]
         for name in sum_names:
             total = np.concatenate([[0], np.cumsum(pdf[name].fillna(0).astype("int64").to_numpy())])
-            out[name] = total[hi] - total[lo]
+            out[name] = total[hi] - total[edge_of[shorter.get(name, width_us)]]
         for name in [*max_names, *min_names]:
             high = name in max_names
             values = pdf[name].astype(float).fillna(-np.inf if high else np.inf).to_numpy()

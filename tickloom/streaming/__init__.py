@@ -1 +1 @@
-
+"""The operators as Structured Streaming jobs."""
