@@ -69,17 +69,18 @@ def test_slices_agree_with_rows(kind):
         starts, _ = by_rows(kind, list(pdf.itertuples(index=False)), a, b)
         entry = [FRESH]
         for s in range(0, n, size):
-            part = pdf.iloc[s:s + size].reset_index(drop=True)
+            part = {c: pdf[c].to_numpy(dtype=np.int64)[s:s + size] for c in pdf.columns}
+            length = len(part["seq"])
             if entry[0] != FRESH:
                 first, gathered = limit.openings(part)
                 hit = np.flatnonzero(limit.ends(entry[1:], gathered))
-                at = int(first[hit[0]]) if len(hit) else len(part)
+                at = int(first[hit[0]]) if len(hit) else length
                 assert starts[s:s + at] == [(entry[0] - 5) // 3] * at
             else:
                 at = 0
             nxt = limit.next_start(part)
-            while at < len(part):
-                stop = min(int(nxt[at]), len(part))
+            while at < length:
+                stop = min(int(nxt[at]), length)
                 assert starts[s + at:s + stop] == [s + at] * (stop - at)
                 at = stop
             entry = _after(limit, entry, _summary(limit, part))

@@ -8,16 +8,15 @@ book checkpoint is.
 from __future__ import annotations
 
 import bisect
-from collections.abc import Iterable, Sequence
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom import schema as S
-from tickloom.plans import count_, first_, last_, numbered, previous, running, sum_
+from tickloom.plans import count_, first_, last_, materialize, previous, running
 from tickloom.plans.asof import asof
+from tickloom.plans.grouped import grouped_map
 from tickloom.plans.scan import slice_of, slice_rows
 
 LEVEL = ["instrument_id", "side", "price_ticks"]
@@ -97,7 +96,6 @@ def snapshots(rows: DataFrame, every: int) -> DataFrame:
 
 def _best_of_slice(pdf: pd.DataFrame) -> pd.DataFrame:
     """Best bid and ask after every row of a slice that starts with its snapshot (seq NULL)."""
-    pdf = pdf.sort_values("seq", na_position="first", ignore_index=True)
     prices: dict[int, list[int]] = {S.BID: [], S.ASK: []}
     sizes: dict[tuple[int, int], int] = {}
     seqs, bids, asks = [], [], []
@@ -141,14 +139,15 @@ def best_prices(df: DataFrame) -> DataFrame:
     start = snapshots(rows, every).select(
         S.KEY, "_slice", F.lit(None).cast("long").alias("seq"), F.lit(False).alias("is_reset"), "side", "price_ticks", "size"
     )
-    return live.unionByName(start).groupBy(S.KEY, "_slice").applyInPandas(
-        _best_of_slice, "instrument_id int, seq bigint, best_bid bigint, best_ask bigint"
+    return grouped_map(
+        live.unionByName(start), [S.KEY, "_slice"], ["seq"], _best_of_slice,
+        "instrument_id int, seq bigint, best_bid bigint, best_ask bigint",
     )
 
 
 def best_bid_ask(df: DataFrame, samples: DataFrame) -> DataFrame:
     """Best prices and spread as of sampled sequences (instrument_id, seq)."""
-    out = asof(samples, best_prices(df), [S.KEY], "seq", ["best_bid", "best_ask"])
+    out = asof(samples, materialize(best_prices(df), "best-prices"), [S.KEY], "seq", ["best_bid", "best_ask"])
     return out.withColumn("spread", F.col("best_ask") - F.col("best_bid"))
 
 
@@ -194,7 +193,8 @@ def book_validity(df: DataFrame, sticky_gap: bool = True) -> DataFrame:
         .when(_is_update() & ~held, "ok")
     )
     reasons = running(states.withColumn("_reason", reason), [S.KEY], reason=last_("_reason"))
-    priced = asof(reasons.select(S.KEY, "seq", "type", "reason"), best_prices(df), [S.KEY], "seq", ["best_bid", "best_ask"])
+    best = materialize(best_prices(df), "best-prices")
+    priced = asof(reasons.select(S.KEY, "seq", "type", "reason"), best, [S.KEY], "seq", ["best_bid", "best_ask"])
     crossed = F.col("best_bid") >= F.col("best_ask")
     return priced.withColumn(
         "reason",

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tickloom import schema as S
 from tickloom.operators.bars import trade_columns
 from tickloom.plans import count_, last_, materialize, max_, min_, numbered, previous, running, sum_
+from tickloom.plans.grouped import grouped_map
 from tickloom.plans.lookback import lookback
 from tickloom.plans.resets import BandLimit, SweepLimit, TimeLimit, restarting
 from tickloom.plans.scan import slice_of, slice_rows
@@ -128,7 +129,6 @@ def large_trade(df: DataFrame, s: LargeTrade = LargeTrade()) -> DataFrame:
         columns = [*trades.columns, "threshold"]
 
         def candidates(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values("idx", ignore_index=True)
             size, idx = pdf["quantity"].to_numpy(), pdf["idx"].to_numpy()
             mine = np.flatnonzero((idx // rows == pdf["_slice"].iloc[0]) & (size >= fixed))
             threshold = np.full(len(mine), fixed, dtype=np.int64)
@@ -144,7 +144,7 @@ def large_trade(df: DataFrame, s: LargeTrade = LargeTrade()) -> DataFrame:
             return out.loc[good, columns]
 
         schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in trades.schema) + ", threshold bigint"
-        hit = spread.groupBy(S.KEY, "_slice").applyInPandas(candidates, schema)
+        hit = grouped_map(spread, [S.KEY, "_slice"], ["idx"], candidates, schema)
     text = F.format_string("Large trade %d (threshold %d)", "quantity", "threshold")
     return _detection(hit, "Large Trade", _bias(), text, {"size": F.col("quantity"), "threshold": F.col("threshold")})
 
@@ -382,6 +382,7 @@ def market_regime(df: DataFrame, s: MarketRegime = MarketRegime()) -> DataFrame:
         "regime",
         F.when(tps <= s.quiet, "Quiet").when(tps <= s.normal, "Normal").when(tps <= s.fast, "Fast").otherwise("Extreme"),
     )
+    named = materialize(named, "regime")
     changed = previous(named, [S.KEY], _was="regime").where(F.col("regime") != F.coalesce("_was", F.lit("Quiet")))
     return _detection(
         changed, "Market Regime", F.lit("None"),

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tickloom import schema as S
 from tickloom.plans import count_, first_, materialize, running
+from tickloom.plans.grouped import grouped_map
 from tickloom.plans.scan import slice_of, slice_rows, spread_over_tasks
 
 GONE = (0, 0, 0, 0)  # side, price, size, priority
@@ -99,7 +100,6 @@ def composed(state: tuple, s: dict) -> tuple:
 
 def _by_order(pdf: pd.DataFrame, *extra: str):
     """(epoch, order id, extra values, events) of each order of a slice."""
-    pdf = pdf.sort_values([*ORDER, "seq"], ignore_index=True)
     columns = [pdf[c].tolist() for c in (*ORDER, *extra, "type", "side", "price_ticks", "quantity", "seq")]
     width = len(ORDER) + len(extra)
     for (epoch, order), rows in groupby(zip(*columns), key=lambda row: row[:2]):
@@ -133,8 +133,8 @@ def mbo_orders(df: DataFrame) -> DataFrame:
             ]
         )
 
-    statements = events.groupBy(*part).applyInPandas(
-        state_slice,
+    statements = grouped_map(
+        events, part, [*ORDER, "seq"], state_slice,
         f"{head}, unknown array<bigint>, thresholds array<bigint>, leads array<array<bigint>>, filled bigint, "
         "price bigint, same array<bigint>, other array<bigint>",
     )
@@ -167,8 +167,8 @@ def mbo_orders(df: DataFrame) -> DataFrame:
         made.insert(0, S.KEY, pdf[S.KEY].iloc[0])
         return made
 
-    changes = events.join(entries, full).groupBy(*part).applyInPandas(
-        evaluate,
+    changes = grouped_map(
+        events.join(entries, full), part, [*ORDER, "seq"], evaluate,
         "instrument_id int, epoch bigint, order_id bigint, from_seq bigint, outcome string, side int, "
         "price_ticks bigint, size bigint, priority_seq bigint",
     )

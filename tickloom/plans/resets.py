@@ -25,13 +25,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tickloom.plans.grouped import edges, grouped_map
 from tickloom.plans.scan import slice_of, slice_rows, spread_over_tasks
 
 FRESH = -1  # no window open
 
 
-def _ints(pdf: pd.DataFrame, column: str) -> np.ndarray:
-    return pdf[column].to_numpy(dtype=np.int64)
+Columns = dict[str, np.ndarray]  # the rows of one series, in order
 
 
 def _extent(fits, price: np.ndarray) -> np.ndarray:
@@ -63,17 +63,17 @@ class VolumeLimit:
     def __init__(self, limit: int):
         self.limit = int(limit)
 
-    def next_start(self, pdf):
-        total = np.concatenate([[0], np.cumsum(_ints(pdf, "quantity"))])
+    def next_start(self, rows):
+        total = np.concatenate([[0], np.cumsum(rows["quantity"])])
         return np.searchsorted(total[1:], total[:-1] + self.limit, side="left") + 1
 
-    def openings(self, pdf):
-        total = np.cumsum(_ints(pdf, "quantity"))
-        rows = np.arange(min(len(total), int(np.searchsorted(total, self.limit)) + 1))
-        return rows + 1, [total[rows]]
+    def openings(self, rows):
+        total = np.cumsum(rows["quantity"])
+        at = np.arange(min(len(total), int(np.searchsorted(total, self.limit)) + 1))
+        return at + 1, [total[at]]
 
-    def state(self, pdf, start):
-        return [int(pdf["quantity"].iloc[start:].sum())]
+    def state(self, rows, start):
+        return [int(rows["quantity"][start:].sum())]
 
     def through(self, entry, whole):
         return [entry[0] + whole[0]]
@@ -90,18 +90,18 @@ class RangeLimit:
     def __init__(self, limit: int):
         self.limit = int(limit)
 
-    def next_start(self, pdf):
-        return _extent(lambda spread: spread < self.limit, _ints(pdf, "price_ticks")) + 1
+    def next_start(self, rows):
+        return _extent(lambda spread: spread < self.limit, rows["price_ticks"]) + 1
 
-    def openings(self, pdf):
-        price = _ints(pdf, "price_ticks")
+    def openings(self, rows):
+        price = rows["price_ticks"]
         high, low = np.maximum.accumulate(price), np.minimum.accumulate(price)
         new = np.concatenate([[True], (np.diff(high) != 0) | (np.diff(low) != 0)])
-        rows = np.flatnonzero(new[: int(np.searchsorted(high - low, self.limit)) + 1])
-        return rows + 1, [high[rows], low[rows]]
+        at = np.flatnonzero(new[: int(np.searchsorted(high - low, self.limit)) + 1])
+        return at + 1, [high[at], low[at]]
 
-    def state(self, pdf, start):
-        part = pdf["price_ticks"].iloc[start:]
+    def state(self, rows, start):
+        part = rows["price_ticks"][start:]
         return [int(part.max()), int(part.min())]
 
     def through(self, entry, whole):
@@ -119,18 +119,18 @@ class TimeLimit:
     def __init__(self, width_us: int, at_least: bool = False):
         self.reach = int(width_us) - (1 if at_least else 0)
 
-    def next_start(self, pdf):
-        ts = _ints(pdf, "ts_us")
+    def next_start(self, rows):
+        ts = rows["ts_us"]
         nxt = np.searchsorted(ts, ts + self.reach, side="right")
         return np.where(nxt < len(ts), nxt, len(ts) + 1)
 
-    def openings(self, pdf):
-        ts = _ints(pdf, "ts_us")
-        rows = np.arange(min(len(ts), int(np.searchsorted(ts, ts[0] + self.reach, side="right")) + 1))
-        return rows, [ts[rows]]
+    def openings(self, rows):
+        ts = rows["ts_us"]
+        at = np.arange(min(len(ts), int(np.searchsorted(ts, ts[0] + self.reach, side="right")) + 1))
+        return at, [ts[at]]
 
-    def state(self, pdf, start):
-        return [int(pdf["ts_us"].iloc[start])]
+    def state(self, rows, start):
+        return [int(rows["ts_us"][start])]
 
     def through(self, entry, whole):
         return entry
@@ -147,23 +147,23 @@ class BandLimit:
     def __init__(self, width_us: int, ticks: int):
         self.width, self.ticks = int(width_us), int(ticks)
 
-    def next_start(self, pdf):
-        ts = _ints(pdf, "ts_us")
+    def next_start(self, rows):
+        ts = rows["ts_us"]
         late = np.searchsorted(ts, ts + self.width, side="right")
-        far = _extent(lambda spread: spread <= self.ticks, _ints(pdf, "price_ticks"))
+        far = _extent(lambda spread: spread <= self.ticks, rows["price_ticks"])
         nxt = np.minimum(late, far)
         return np.where(nxt < len(ts), nxt, len(ts) + 1)
 
-    def openings(self, pdf):
-        ts, price = _ints(pdf, "ts_us"), _ints(pdf, "price_ticks")
+    def openings(self, rows):
+        ts, price = rows["ts_us"], rows["price_ticks"]
         high, low = np.maximum.accumulate(price), np.minimum.accumulate(price)
         surely = (ts - ts[0] > self.width) | (high - low > self.ticks)
-        rows = np.arange(min(len(ts), int(np.argmax(surely)) + 1 if surely.any() else len(ts)))
-        return rows, [ts[rows], high[rows], low[rows]]
+        at = np.arange(int(np.argmax(surely)) + 1 if surely.any() else len(ts))
+        return at, [ts[at], high[at], low[at]]
 
-    def state(self, pdf, start):
-        part = pdf["price_ticks"].iloc[start:]
-        return [int(pdf["ts_us"].iloc[start]), int(part.max()), int(part.min())]
+    def state(self, rows, start):
+        part = rows["price_ticks"][start:]
+        return [int(rows["ts_us"][start]), int(part.max()), int(part.min())]
 
     def through(self, entry, whole):
         return [entry[0], max(entry[1], whole[1]), min(entry[2], whole[2])]
@@ -186,35 +186,35 @@ class SweepLimit:
     def __init__(self, volume: int, levels: int):
         self.volume, self.levels = int(volume), int(levels)
 
-    def next_start(self, pdf):
-        n = len(pdf)
-        total = np.concatenate([[0], np.cumsum(_ints(pdf, "quantity"))])
-        steps = np.cumsum(_ints(pdf, "is_step"))
+    def next_start(self, rows):
+        n = len(rows["seq"])
+        total = np.concatenate([[0], np.cumsum(rows["quantity"])])
+        steps = np.cumsum(rows["is_step"])
         by_volume = np.searchsorted(total[1:], total[:-1] + self.volume, side="left")
         by_levels = np.searchsorted(steps, steps + self.levels - 1, side="left")
         # a window needs at least two rows to be a run
         done = np.maximum(np.maximum(by_volume, by_levels), np.arange(n) + 1)
-        breaks = np.append(np.flatnonzero(_ints(pdf, "is_break")), n + 1)
+        breaks = np.append(np.flatnonzero(rows["is_break"]), n + 1)
         broken = breaks[np.searchsorted(breaks, np.arange(n), side="right")]
         return np.where(done < n, np.minimum(done + 1, broken), broken)
 
-    def openings(self, pdf):
-        breaks = np.flatnonzero(_ints(pdf, "is_break"))
-        first = int(breaks[0]) if len(breaks) else len(pdf)
-        total = np.cumsum(_ints(pdf, "quantity"))[:first]
-        steps = np.cumsum(_ints(pdf, "is_step"))[:first]
+    def openings(self, rows):
+        breaks = np.flatnonzero(rows["is_break"])
+        first = int(breaks[0]) if len(breaks) else len(rows["seq"])
+        total = np.cumsum(rows["quantity"])[:first]
+        steps = np.cumsum(rows["is_step"])[:first]
         surely = (total >= self.volume) & (steps >= self.levels)
         if surely.any():
-            rows = np.arange(int(np.argmax(surely)) + 1)
-            return rows + 1, [total[rows], steps[rows]]
+            at = np.arange(int(np.argmax(surely)) + 1)
+            return at + 1, [total[at], steps[at]]
         starts = np.arange(first) + 1
         if len(breaks):
             starts = np.append(starts, first)
             total, steps = np.append(total, self.AHEAD), np.append(steps, self.AHEAD)
         return starts, [total, steps]
 
-    def state(self, pdf, start):
-        return [int(pdf["quantity"].iloc[start:].sum()), 1 + int(pdf["is_step"].iloc[start + 1:].sum())]
+    def state(self, rows, start):
+        return [int(rows["quantity"][start:].sum()), 1 + int(rows["is_step"][start + 1:].sum())]
 
     def through(self, entry, whole):
         return [entry[0] + whole[0], entry[1] + whole[1]]
@@ -223,10 +223,10 @@ class SweepLimit:
         return (entry[0] + gathered[0] >= self.volume) & (entry[1] + gathered[1] >= self.levels)
 
 
-def _exits(limit, pdf: pd.DataFrame) -> np.ndarray:
+def _exits(limit, rows: Columns) -> np.ndarray:
     """Row where the window left open at the end of the slice began, per possible start (n: none)."""
-    n = len(pdf)
-    step = np.concatenate([limit.next_start(pdf), [n + 1]])
+    n = len(rows["seq"])
+    step = np.concatenate([limit.next_start(rows), [n + 1]])
     hop = np.where(step <= n, np.minimum(step, n), np.arange(n + 1))
     while True:
         farther = hop[hop]
@@ -235,22 +235,22 @@ def _exits(limit, pdf: pd.DataFrame) -> np.ndarray:
         hop = farther
 
 
-def _whole(limit, pdf: pd.DataFrame) -> list[int]:
+def _whole(limit, rows: Columns) -> list[int]:
     """What the slice adds to a window running through it."""
-    gathered = limit.state(pdf, 0)
+    gathered = limit.state(rows, 0)
     if isinstance(limit, SweepLimit):
-        gathered[1] = int(pdf["is_step"].sum())
+        gathered[1] = int(rows["is_step"].sum())
     return gathered
 
 
-def _summary(limit, pdf: pd.DataFrame) -> dict:
-    n = len(pdf)
-    seq = pdf["seq"].to_numpy()
-    exits = _exits(limit, pdf)
-    starts, gathered = limit.openings(pdf)
+def _summary(limit, rows: Columns) -> dict:
+    seq = rows["seq"]
+    n = len(seq)
+    exits = _exits(limit, rows)
+    starts, gathered = limit.openings(rows)
     ids = exits[starts]
     state = {
-        int(start): [FRESH] if start >= n else [int(seq[start]), *limit.state(pdf, int(start))]
+        int(start): [FRESH] if start >= n else [int(seq[start]), *limit.state(rows, int(start))]
         for start in np.unique(np.append(ids, exits[0]))
     }
     # openings leading to the same state act as one, the last of them
@@ -258,7 +258,7 @@ def _summary(limit, pdf: pd.DataFrame) -> dict:
     return {
         "gathered": [g[keep].tolist() for g in gathered],
         "leads_to": [state[int(i)] for i in ids[keep]],
-        "whole": _whole(limit, pdf),
+        "whole": _whole(limit, rows),
         "fresh": state[int(exits[0])],
     }
 
@@ -273,38 +273,24 @@ def _after(limit, entry: list[int], row: dict) -> list[int]:
     return [entry[0], *limit.through(entry[1:], row["whole"])]
 
 
-def _parts(pdf: pd.DataFrame, by: list[str]):
-    """Consecutive stretches of equal ``by`` in a frame sorted by it."""
-    if not by:
-        yield pdf
-        return
-    changed = np.zeros(len(pdf), dtype=bool)
-    for c in by:
-        values = pdf[c].to_numpy()
-        changed[1:] |= values[1:] != values[:-1]
-    edges = [0, *np.flatnonzero(changed), len(pdf)]
-    for lo, hi in zip(edges[:-1], edges[1:]):
-        yield pdf.iloc[lo:hi].reset_index(drop=True)
+def _series(pdf: pd.DataFrame, within: list[str], columns: Sequence[str]):
+    """Each series of a slice: where it lies, and its columns as arrays."""
+    arrays = {c: pdf[c].to_numpy(dtype=np.int64) for c in columns}
+    for lo, hi in edges(pdf, within):
+        yield lo, hi, {c: a[lo:hi] for c, a in arrays.items()}
 
 
-def _opened(one: pd.DataFrame) -> list[int]:
-    """Entry state of a key's first slice."""
-    if "_initial" not in one.columns or one["_initial"].iloc[0] is None:
-        return [FRESH]
-    return [int(x) for x in one["_initial"].iloc[0]]
-
-
-def _mark(limit, part: pd.DataFrame) -> np.ndarray:
-    """Window ids of one slice of one key, from its entry state."""
-    n, at = len(part), 0
-    entry = [int(x) for x in part["_entry"].iloc[0]]
+def _mark(limit, rows: Columns, entry: list[int]) -> np.ndarray:
+    """Window ids of one slice of one series, from its entry state."""
+    seq = rows["seq"]
+    n, at = len(seq), 0
     start = np.empty(n, dtype=np.int64)
     if entry[0] != FRESH:
-        starts, gathered = limit.openings(part)
+        starts, gathered = limit.openings(rows)
         hit = np.flatnonzero(limit.ends(entry[1:], gathered))
         at = int(starts[hit[0]]) if len(hit) else n
         start[:at] = entry[0]
-    step, seq = limit.next_start(part), part["seq"].to_numpy()
+    step = limit.next_start(rows)
     while at < n:
         stop = min(int(step[at]), n)
         start[at:stop] = seq[at]
@@ -331,47 +317,55 @@ def restarting(
     sharing a sequence; a slice stays bounded either way.
     """
     key, within = list(key), list(within)
-    rows = rows or slice_rows(df.sparkSession)
+    spark = df.sparkSession
+    rows = rows or slice_rows(spark)
+    kept = list(df.columns)
     sliced = df.withColumn("_slice", slice_of("seq", rows))
+    if within:
+        sliced = sliced.withColumn("_spread", spread_over_tasks(spark, within).cast("int"))
     types = {f.name: f.dataType.simpleString() for f in sliced.schema}
-    kept = list(df.columns)
-    part = [*key, "_slice"]
-    full = [*key, *within, "_slice"]
+    lane = [*key, "_spread"] if within else key
+    part, full = [*lane, "_slice"], [*lane, *within, "_slice"]
     head = ", ".join(f"{c} {types[c]}" for c in full)
+    used = list(dict.fromkeys(["seq", *limit.columns]))
 
     def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
-        made = []
-        for one in _parts(pdf.sort_values([*within, "seq"], ignore_index=True), within):
-            made.append({**{c: one[c].iloc[0] for c in full}, **_summary(limit, one)})
-        return pd.DataFrame(made)
-
-    needed = list(dict.fromkeys([*full, "seq", *limit.columns]))
-    summaries = sliced.select(*needed).groupBy(*part).applyInPandas(
-        summarise,
+        names = {c: pdf[c].tolist() for c in full}
+        return pd.DataFrame(
+            [
+                {**{c: v[lo] for c, v in names.items()}, **_summary(limit, series)}
+                for lo, _, series in _series(pdf, within, used)
+            ]
+        )
+
+    summaries = grouped_map(
+        sliced.select(*dict.fromkeys([*full, *used])), part, [*within, "seq"], summarise,
         f"{head}, gathered array<array<bigint>>, leads_to array<array<bigint>>, whole array<bigint>, fresh array<bigint>",
     )
+    if initial is not None:
+        summaries = summaries.join(initial, [*key, *within], "left")
 
     def compose(pdf: pd.DataFrame) -> pd.DataFrame:
-        made = []
-        for one in _parts(pdf.sort_values(full, ignore_index=True), within):
-            entry, entries = _opened(one), []
-            for row in one.to_dict("records"):
+        pdf = pdf.sort_values(full, ignore_index=True)
+        records, entries = pdf.to_dict("records"), []
+        for lo, hi in edges(pdf, within):
+            opened = records[lo].get("_initial")
+            entry = [FRESH] if opened is None else list(opened)
+            for row in records[lo:hi]:
                 entries.append([int(x) for x in entry])
                 entry = _after(limit, entry, row)
-            done = one[full].copy()
-            done["_entry"] = entries
-            made.append(done)
-        return pd.concat(made, ignore_index=True)
+        made = pdf[full].copy()
+        made["_entry"] = entries
+        return made
 
-    spread = [spread_over_tasks(df.sparkSession, within).alias("_spread")] if within else []
-    if initial is not None:
-        summaries = summaries.join(initial, [*key, *within], "left")
-    entries = summaries.groupBy(*key, *spread).applyInPandas(compose, f"{head}, _entry array<bigint>")
+    entries = summaries.groupBy(*lane).applyInPandas(compose, f"{head}, _entry array<bigint>")
 
     def mark(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([*within, "seq"], ignore_index=True)
-        pdf[out] = np.concatenate([_mark(limit, one) for one in _parts(pdf, within)])
+        entry = pdf["_entry"].to_numpy()
+        pdf[out] = np.concatenate(
+            [_mark(limit, series, [int(x) for x in entry[lo]]) for lo, _, series in _series(pdf, within, used)]
+        )
         return pdf[[*kept, out]]
 
     body = ", ".join(f"{c} {types[c]}" for c in kept)
-    return sliced.join(entries, full).groupBy(*part).applyInPandas(mark, f"{body}, {out} bigint")
+    return grouped_map(sliced.join(entries, full), part, [*within, "seq"], mark, f"{body}, {out} bigint")

@@ -140,15 +140,13 @@ def running(
             Window.unboundedPreceding, -1 if run.exclusive else 0
         )
 
-    return (
-        sliced.join(carry, part)
-        .select(
-            *df.columns,
-            *[
-                run.combine(F.col(f"_carry_{name}"), run.fold(run.value).over(inside(run))).alias(name)
-                for name, run in runs.items()
-            ],
-        )
+    # window first: its partitioning and order by (key, slice) serve the join as they are
+    inner = sliced.withColumns(
+        {f"_inner_{name}": run.fold(run.value).over(inside(run)) for name, run in runs.items()}
+    )
+    return inner.join(carry, part).select(
+        *df.columns,
+        *[run.combine(F.col(f"_carry_{name}"), F.col(f"_inner_{name}")).alias(name) for name, run in runs.items()],
     )
 
 

@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tickloom.plans.grouped import grouped_map
 from tickloom.plans.scan import whole
 
 
@@ -83,7 +84,6 @@ def before_window(
     shorter = dict(widths or {})
 
     def rows_of_slice(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_ts", ignore_index=True)
         ts = pdf["_ts"].to_numpy()
         keep = (ts // length) == pdf["_slice"].iloc[0]
         edge_of = {
@@ -110,8 +110,4 @@ def before_window(
             out[name] = pd.array(np.where(inside, value, np.nan), dtype="Float64").astype("Int64")
         return pd.DataFrame(out, columns=[*key, "_ts", *names])
 
-    return (
-        spread.groupBy(*key, "_slice")
-        .applyInPandas(rows_of_slice, schema)
-        .withColumnRenamed("_ts", ts_us)
-    )
+    return grouped_map(spread, [*key, "_slice"], ["_ts"], rows_of_slice, schema).withColumnRenamed("_ts", ts_us)
