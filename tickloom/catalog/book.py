@@ -81,13 +81,17 @@ def _(spark, sf):
 GRID = 250
 
 
+def checkpoints(spark, sf):
+    return shared(spark, sf, "book-checkpoints", lambda: k.book_checkpoints(disturbed(spark, sf), GRID))
+
+
 @query("book_checkpoints", with_fast(f"""SELECT g.instrument_id, g.before_seq, list({{'price_ticks': price_ticks, 'size': size}} ORDER BY price_ticks DESC) FILTER (side = 1) AS bids,
   list({{'price_ticks': price_ticks, 'size': size}} ORDER BY price_ticks) FILTER (side = 2) AS asks
   FROM (SELECT DISTINCT instrument_id, seq // {GRID} * {GRID} AS before_seq FROM rows) g JOIN intervals i ON i.instrument_id = g.instrument_id AND from_seq < before_seq AND (to_seq IS NULL OR to_seq >= before_seq)
   GROUP BY ALL""".replace("FILTER (side = 1) AS bids", "FILTER (side = 1) AS b0").replace("FILTER (side = 2) AS asks", "FILTER (side = 2) AS a0").join(
       ["SELECT instrument_id, before_seq, len(coalesce(b0, [])) AS n_bids, len(coalesce(a0, [])) AS n_asks, b0[1].price_ticks AS top_bid, a0[1].price_ticks AS top_ask, a0[1].size AS top_ask_size FROM (", ")"]), DISTURBED))
 def _(spark, sf):
-    out = k.book_checkpoints(disturbed(spark, sf), GRID)
+    out = checkpoints(spark, sf)
     return out.select(
         "instrument_id", "before_seq", F.size("bids").cast("long").alias("n_bids"), F.size("asks").cast("long").alias("n_asks"),
         F.get("bids", F.lit(0))["price_ticks"].alias("top_bid"), F.get("asks", F.lit(0))["price_ticks"].alias("top_ask"),
@@ -98,7 +102,7 @@ def _(spark, sf):
 @query("book_restore", with_fast(_asof_sql(str(MIDDLE)), DISTURBED))
 def _(spark, sf):
     tape = disturbed(spark, sf)
-    return k.book_restore(k.book_checkpoints(tape, GRID), tape, MIDDLE)
+    return k.book_restore(checkpoints(spark, sf), tape, MIDDLE)
 
 
 @query("dom_ladder", with_fast("""SELECT instrument_id, price_ticks, bid_size, ask_size, CAST(sum(bid_size) OVER (PARTITION BY instrument_id ORDER BY price_ticks) AS BIGINT) AS cumulative_bid,

@@ -219,16 +219,16 @@ def book_restore(checkpoints: DataFrame, df: DataFrame, at: int) -> DataFrame:
     nearest = usable.groupBy(S.KEY).agg(F.max("before_seq").alias("before_seq"))
     start = usable.join(nearest, [S.KEY, "before_seq"])
 
-    def side(column: str, code: int) -> DataFrame:
-        return start.select(S.KEY, "before_seq", F.explode(column).alias("l")).select(
-            S.KEY, (F.col("before_seq") - 1).alias("seq"), F.lit(code + 5).alias("type"), F.lit(code).alias("side"),
-            "l.price_ticks", F.col("l.size").alias("quantity"),
-        )
+    def levels(column: str, code: int) -> Column:
+        return F.transform(column, lambda l: F.struct(F.lit(code).alias("side"), l["price_ticks"].alias("price_ticks"), l["size"].alias("quantity")))
 
+    standing = start.select(
+        S.KEY, (F.col("before_seq") - 1).alias("seq"), F.explode(F.concat(levels("bids", S.BID), levels("asks", S.ASK))).alias("l")
+    ).select(S.KEY, "seq", (F.col("l.side") + 5).alias("type"), "l.side", "l.price_ticks", "l.quantity")
     later = df.join(nearest, S.KEY, "left").where(
         (F.col("seq") >= F.coalesce("before_seq", F.lit(0))) & (F.col("seq") <= at)
     ).select(S.KEY, "seq", "type", "side", "price_ticks", "quantity")
-    return book_levels_asof(side("bids", S.BID).unionByName(side("asks", S.ASK)).unionByName(later))
+    return book_levels_asof(standing.unionByName(later))
 
 
 def dom_ladder(levels: DataFrame, profile: DataFrame, area: DataFrame, n: int) -> DataFrame:
