@@ -145,12 +145,15 @@ def test_averages(spark):
 
 
 def test_long_average_over_blocks(spark):
-    values = [80000 + (n * 37) % 101 for n in range(1000)]
-    y, expected = None, []
-    for n, v in enumerate(values):
-        y = sum(values[:20]) / 20 if n == 19 else (y + (v - y) * 2 / 21 if n > 19 else None)
-        expected.append(y)
-    assert column(i.ema(closes(spark, values), "close", 20), "ema")[19:] == pytest.approx(expected[19:], abs=1e-6)
+    values = [80000 + (n * 37) % 101 for n in range(2000)]
+    for p in (2, 3, 20):
+        y, expected = None, []
+        for n, v in enumerate(values):
+            y = sum(values[:p]) / p if n == p - 1 else (y + (v - y) * 2 / (p + 1) if n >= p else None)
+            expected.append(y)
+        got = column(i.ema(closes(spark, values), "close", p), "ema")
+        assert got[:p - 1] == [None] * (p - 1)
+        assert got[p - 1:] == pytest.approx(expected[p - 1:], abs=1e-6)
 
 
 def test_chaikin(spark):

@@ -165,7 +165,7 @@ def _(spark, sf):
     return fp.footprint_fingerprint(fp.footprint_bar(levels(spark, sf), minute_bars(spark, sf), SET))
 
 
-@query("footprint_settings", with_fast(f"""SELECT instrument_id, CASE instrument_id WHEN 1 THEN 45 ELSE 75 END AS large_trade, CASE instrument_id WHEN 1 THEN 2 ELSE 4 END AS min_imbalance,
+@query("footprint_settings", with_fast(f"""SELECT instrument_id, CASE instrument_id WHEN 1 THEN 45 ELSE 75 END::BIGINT AS large_trade, CASE instrument_id WHEN 1 THEN 2 ELSE 4 END::BIGINT AS min_imbalance,
   count(*) FILTER (max_print >= CASE instrument_id WHEN 1 THEN 45 ELSE 75 END) AS large_levels, count(*) AS levels FROM pub GROUP BY ALL""", BARS, LV))
 def _(spark, sf):
     table = fp.settings_table(spark, {1: fp.NQ, 2: fp.ES})
@@ -188,7 +188,8 @@ def _(spark, sf):
     return out.withColumns({"intensity": F.round("intensity", 6), "background": F.round("background", 6)})
 
 
-@query("large_prints_by_percentile")
+@query("large_prints_by_percentile", with_fast(f"""SELECT {BARKEY}, price_ticks, max_print FROM pub JOIN (SELECT instrument_id, min(quantity) FILTER (r >= ceil(0.99::DOUBLE * n)) AS lim FROM
+  (SELECT *, row_number() OVER (PARTITION BY instrument_id ORDER BY quantity) AS r, count(*) OVER (PARTITION BY instrument_id) AS n FROM assigned) GROUP BY 1) USING (instrument_id) WHERE max_print >= lim""", BARS, LV))
 def _(spark, sf):
     s = replace(SET, large_trade_percentile=0.99)
     return fp.large_trade_levels(levels(spark, sf), s, minute_trades(spark, sf))

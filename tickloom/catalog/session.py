@@ -6,7 +6,7 @@ from tickloom.catalog.bars import BARS, minute_bars
 from tickloom.catalog.base import days, fast, query, shared, with_days, with_fast
 from tickloom.catalog.book import _asof_sql
 from tickloom.catalog.calendar import DATED
-from tickloom.catalog.detectors import detections
+from tickloom.catalog.detectors import _PARTS, detections
 from tickloom.catalog.flow import CVD
 from tickloom.catalog.footprint import levels as footprint_levels
 from tickloom.catalog.footprint import LV
@@ -107,7 +107,7 @@ def _(spark, sf):
 
 
 @query("part_health", with_days("""SELECT 'venue=CME/root=' || CASE instrument_id WHEN 1 THEN 'NQ/contract=NQM4' ELSE 'ES/contract=ESM4' END || '/date=' || trading_date AS folder,
-  CASE WHEN instrument_id = 1 AND trading_date = DATE '2024-01-09' THEN 1 ELSE 0 END AS corrupt, CASE WHEN instrument_id = 1 AND trading_date = DATE '2024-01-09' THEN 1 ELSE 0 END AS leftovers,
+  CASE WHEN instrument_id = 1 AND trading_date = DATE '2024-01-09' THEN 1 ELSE 0 END::BIGINT AS corrupt, CASE WHEN instrument_id = 1 AND trading_date = DATE '2024-01-09' THEN 1 ELSE 0 END::BIGINT AS leftovers,
   true AS has_valid FROM (SELECT DISTINCT instrument_id, trading_date FROM dated)""", DATED))
 def _(spark, sf):
     out = r.part_health(spark, _damaged(spark, sf))
@@ -242,7 +242,7 @@ def _(spark, sf):
     return registry.BARS["time"](fast(spark, sf), 60_000_000).agg(F.count(F.lit(1)).alias("bars"))
 
 
-@query("registered_detectors", None)
+@query("registered_detectors", with_fast("SELECT detector, count(*) AS detections FROM detections GROUP BY 1", *_PARTS))
 def _(spark, sf):
     """Detections per registered detector that has any."""
     from tickloom.operators.detectors import detection_counts

@@ -299,8 +299,16 @@ def large_trade_levels(levels: DataFrame, settings: FootprintSettings, trades: D
     shown = published(levels)
     if s.large_trade_percentile is None:
         return shown.where(F.col("max_print") >= s.large_trade).select(*BAR, "price_ticks", "max_print")
-    limit = trades.groupBy(S.KEY).agg(
-        F.percentile_approx("quantity", s.large_trade_percentile, 10_000).alias("_limit")
+    # nearest rank over one row per distinct size
+    key = Window.partitionBy(S.KEY)
+    sizes = trades.groupBy(S.KEY, "quantity").agg(F.count(F.lit(1)).alias("_n")).withColumns(
+        {
+            "_upto": F.sum("_n").over(key.orderBy("quantity").rowsBetween(Window.unboundedPreceding, 0)),
+            "_all": F.sum("_n").over(key),
+        }
+    )
+    limit = sizes.where(F.col("_upto") >= F.ceil(F.lit(s.large_trade_percentile) * F.col("_all"))).groupBy(S.KEY).agg(
+        F.min("quantity").alias("_limit")
     )
     return shown.join(limit, S.KEY).where(F.col("max_print") >= F.col("_limit")).select(
         *BAR, "price_ticks", "max_print"

@@ -197,7 +197,7 @@ def mbo_queue(orders: DataFrame, at: int) -> DataFrame:
     """Orders of each level in queue order as of ``at``."""
     queue = Window.partitionBy(S.KEY, "side", "price_ticks").orderBy("priority_seq")
     return _live(orders, at).select(
-        S.KEY, "side", "price_ticks", F.row_number().over(queue).alias("position"), "order_id", "size", "priority_seq"
+        S.KEY, "side", "price_ticks", F.row_number().over(queue).cast("long").alias("position"), "order_id", "size", "priority_seq"
     )
 
 

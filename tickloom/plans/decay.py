@@ -9,6 +9,7 @@ row per block.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -18,7 +19,8 @@ from pyspark.sql import functions as F
 
 from tickloom.plans.scan import whole
 
-BLOCK = 256
+LONGEST_BLOCK = 1 << 14
+SAFE_EXPONENT = 460.0  # e**460 is about 1e200, well inside a double
 
 
 @dataclass(frozen=True)
@@ -35,6 +37,13 @@ class Average:
         return self.start + self.period - 1
 
 
+def block_size(wanted: list[Average]) -> int:
+    """Rows per block: as many as the discount factors allow without overflow."""
+    rates = [-math.log(1.0 - a.alpha) for a in wanted if a.alpha < 1.0]
+    longest = min([LONGEST_BLOCK, *[int(SAFE_EXPONENT / r) for r in rates]])
+    return max(longest, *[a.ready + 1 for a in wanted])
+
+
 def ema(value: str | Column, period: int, start: int = 0) -> Average:
     return Average(F.col(value) if isinstance(value, str) else value, period, 2.0 / (period + 1), start)
 
@@ -46,7 +55,7 @@ def rma(value: str | Column, period: int, start: int = 0) -> Average:
 def averages(df: DataFrame, key: Sequence[str], index: str = "idx", **wanted: Average) -> DataFrame:
     """Add each average, NULL until it is ready; ``index`` is dense and 0-based."""
     key = list(key)
-    size = max(BLOCK, *[a.ready + 1 for a in wanted.values()])
+    size = block_size(list(wanted.values()))
     block = [*key, "_block"]
     upto = Window.partitionBy(*block).orderBy(index).rowsBetween(Window.unboundedPreceding, 0)
     at = F.col(index)
