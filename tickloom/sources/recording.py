@@ -60,7 +60,13 @@ def scan_session(
 
 
 def replay_range(df: DataFrame, start: Column, end: Column, closed: str = "both") -> DataFrame:
-    """Events from ``start`` to ``end``; the end counts unless ``closed='left'``."""
+    """Events from ``start`` to ``end``; the end counts unless ``closed='left'``.
+
+    The range is also put on the ``date`` partition (a trading date is at most
+    three days after its events), so that other days are not listed or read.
+    """
+    if "date" in df.columns:
+        df = df.where(F.col("date").between(F.date_sub(F.to_date(start), 2), F.date_add(F.to_date(end), 4)))
     upper = F.col("ts") <= end if closed == "both" else F.col("ts") < end
     return df.where((F.col("ts") >= start) & upper)
 
