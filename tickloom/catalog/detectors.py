@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from tickloom.catalog.bars import BARS, minute_bars
 from tickloom.catalog.base import fast, query, shared, with_fast
 from tickloom.operators import detectors as d
+from tickloom.plans.by_instrument import by_instrument
 
 S_LARGE = d.LargeTrade(fixed=40, percentile=0.98, window=500)
 S_SWEEP = d.Sweep(min_levels=3, max_gap_us=8_000_000, min_volume=30)
@@ -34,6 +35,13 @@ def _(spark, sf):
     return show(d.large_trade(fast(spark, sf), S_LARGE), size="size", threshold="threshold")
 
 
+@query("large_trade_by_instrument", with_fast("""SELECT instrument_id, seq, ts_us, price_ticks, CASE aggressor WHEN 1 THEN 'Bullish' ELSE 'Bearish' END AS bias,
+  CAST(quantity AS DOUBLE) AS size, CAST(CASE instrument_id WHEN 1 THEN threshold ELSE greatest(60, threshold) END AS DOUBLE) AS threshold FROM large WHERE quantity >= CASE instrument_id WHEN 1 THEN 40 ELSE 60 END""", LARGE))
+def _(spark, sf):
+    by = {1: S_LARGE, 2: d.LargeTrade(fixed=60, percentile=0.98, window=500)}
+    return show(by_instrument(d.large_trade, [fast(spark, sf)], by), size="size", threshold="threshold")
+
+
 GO = "a.side = x.a AND x.t - a.t <= 8000000 AND CASE WHEN x.a = 1 THEN x.p >= a.p ELSE x.p <= a.p END"
 LEVELS = f"CASE WHEN {GO} THEN a.levels + CASE WHEN x.p <> a.p THEN 1 ELSE 0 END ELSE 1 END"
 VOLUME = f"CASE WHEN {GO} THEN a.vol + x.q ELSE x.q END"

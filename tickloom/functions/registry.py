@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -106,6 +106,11 @@ class Preset:
     background: str = "none"
     settings: fp.FootprintSettings = field(default_factory=fp.FootprintSettings)
 
+    def for_root(self, root: str) -> fp.FootprintSettings:
+        """The preset with the thresholds of an instrument."""
+        own = fp.ES if root == "ES" else fp.NQ
+        return replace(self.settings, large_trade=own.large_trade, min_imbalance=own.min_imbalance).validated()
+
 
 # Built-in presets as (name, cell mode, background).
 PRESETS = {
