@@ -193,64 +193,74 @@ def imbalance_markers(levels: DataFrame, ratio: float = 3.0, min_volume: int = 1
     )
 
 
+SIDES = {"Buy": ("buy_imbalance", "ask", "stacked_buy"), "Sell": ("sell_imbalance", "bid", "stacked_sell")}
+
+
 def _zoned(flags: DataFrame, side: str, s: FootprintSettings) -> DataFrame:
-    """Number the zones of one side within each bar.
+    """Add the zone of each flagged level of one side, and whether the zone counts.
 
     Runs of flagged neighbours are islands.  With ``allow_one_gap`` an island
     may join the next one across a single price that did not trade; as a zone
-    uses one such gap at most, linked islands pair up in order.
+    uses one such gap at most, linked islands pair up in order.  All windows
+    share the partitioning by bar.
     """
-    flag, volume = (F.col("buy_imbalance"), "ask") if side == "Buy" else (F.col("sell_imbalance"), "bid")
+    name, volume, _ = SIDES[side]
+    flag = F.col(name)
     by_price = Window.partitionBy(*BAR).orderBy("price_ticks")
     so_far = by_price.rowsBetween(Window.unboundedPreceding, 0)
     step = F.col("price_ticks") - F.lag("price_ticks").over(by_price)
     before = F.coalesce(F.lag(flag).over(by_price), F.lit(False))
-    island_start = flag & ~(before & (step == 1))
-    chain_start = island_start & ~(before & (step == 2))
-    marked = flags.withColumn("_island", F.coalesce(island_start, flag)).withColumn(
-        "_chain", F.coalesce(chain_start, F.col("_island"))
+    island_start = F.coalesce(flag & ~(before & (step == 1)), flag)
+    chain_start = F.coalesce(flag & ~(before & ((step == 1) | (step == 2))), flag)
+    numbered = flags.withColumns({"_start": island_start, "_chain": chain_start}).withColumns(
+        {"_i": F.count_if("_start").over(so_far), "_c": F.count_if("_chain").over(so_far)}
     )
-    numbered = marked.withColumns(
-        {"_i": F.count_if("_island").over(so_far), "_c": F.count_if("_chain").over(so_far)}
-    ).where(flag)
     if s.allow_one_gap:
         in_chain = Window.partitionBy(*BAR, "_c")
-        zone = F.struct(F.col("_c"), F.floor((F.col("_i") - F.min("_i").over(in_chain)) / 2).alias("pair"))
+        first = F.min(F.when(flag, F.col("_i"))).over(in_chain)
+        zone = F.struct(F.col("_c").alias("run"), F.floor((F.col("_i") - first) / 2).alias("pair"))
     else:
-        zone = F.struct(F.col("_i"), F.lit(0).alias("pair"))
-    return numbered.select(*BAR, "price_ticks", F.col(volume).alias("_volume"), zone.alias("_zone"))
+        zone = F.struct(F.col("_i").alias("run"), F.lit(0).cast("long").alias("pair"))
+    of_zone = Window.partitionBy(*BAR, "_zone")
+    counts = (F.count_if(flag).over(of_zone) >= s.stacked_count) & (
+        F.sum(F.when(flag, F.col(volume))).over(of_zone) >= s.min_stack_volume
+    )
+    return (
+        numbered.withColumn("_zone", zone).withColumn("_stacked", flag & counts)
+        .drop("_start", "_chain", "_i", "_c")
+    )
 
 
-def stacked_zones(flags: DataFrame, settings: FootprintSettings) -> DataFrame:
-    """Zones of stacked imbalances per bar and side."""
+def stacked_flags(flags: DataFrame, settings: FootprintSettings) -> DataFrame:
+    """Levels that belong to a zone, flagged per side; ``zone_buy`` and ``zone_sell`` tell which."""
     s = settings.validated()
-    out = None
-    for side in ("Buy", "Sell"):
-        zones = (
-            _zoned(flags, side, s).groupBy(*BAR, "_zone")
-            .agg(F.min("price_ticks").alias("low"), F.max("price_ticks").alias("high"),
-                 F.count(F.lit(1)).alias("levels"), F.sum("_volume").alias("volume"))
-            .where((F.col("levels") >= s.stacked_count) & (F.col("volume") >= s.min_stack_volume))
-            .select(*BAR, F.lit(side).alias("side"), "low", "high", "levels")
+    for side, (_, _, stacked) in SIDES.items():
+        flags = _zoned(flags, side, s).withColumnsRenamed(
+            {"_zone": f"zone_{side.lower()}", "_stacked": stacked}
         )
-        out = zones if out is None else out.unionByName(zones)
-    return out
+    return flags
 
 
-def stacked_flags(flags: DataFrame, settings: FootprintSettings) -> DataFrame:
-    """Levels that belong to a zone, flagged per side."""
-    s = settings.validated()
-    out = flags
-    for side, name in (("Buy", "stacked_buy"), ("Sell", "stacked_sell")):
-        zone = Window.partitionBy(*BAR, "_zone")
-        members = (
-            _zoned(flags, side, s)
-            .withColumn("_n", F.count(F.lit(1)).over(zone)).withColumn("_v", F.sum("_volume").over(zone))
-            .where((F.col("_n") >= s.stacked_count) & (F.col("_v") >= s.min_stack_volume))
-            .select(*BAR, "price_ticks", F.lit(True).alias(name))
+def zones_of(stacked: DataFrame) -> DataFrame:
+    """Zones of levels flagged by ``stacked_flags``, one row each."""
+    member = F.array_compact(
+        F.array(
+            *[
+                F.when(F.col(name), F.struct(F.lit(side).alias("side"), F.col(f"zone_{side.lower()}").alias("zone")))
+                for side, (_, _, name) in SIDES.items()
+            ]
         )
-        out = out.join(members, [*BAR, "price_ticks"], "left").withColumn(name, F.coalesce(name, F.lit(False)))
-    return out
+    )
+    return (
+        stacked.select(*BAR, "price_ticks", F.explode(member).alias("m")).groupBy(*BAR, "m")
+        .agg(F.min("price_ticks").alias("low"), F.max("price_ticks").alias("high"), F.count(F.lit(1)).alias("levels"))
+        .select(*BAR, F.col("m.side").alias("side"), "low", "high", "levels")
+    )
+
+
+def stacked_zones(flags: DataFrame, settings: FootprintSettings) -> DataFrame:
+    """Zones of stacked imbalances per bar and side."""
+    return zones_of(stacked_flags(flags, settings))
 
 
 def _with_bar(levels: DataFrame, bars: DataFrame, *columns: str) -> DataFrame:
@@ -344,7 +354,7 @@ def footprint_bar(levels: DataFrame, bars: DataFrame, settings: FootprintSetting
         _auction(at_low).alias("unfinished_low"),
         F.sort_array(F.collect_list(nested)).alias("levels"),
     )
-    zones = stacked_zones(flags, s).groupBy(*BAR).agg(
+    zones = zones_of(flags).groupBy(*BAR).agg(
         F.count(F.lit(1)).alias("zone_count"),
         F.sort_array(F.collect_list(F.struct("side", "low", "high", F.col("levels").alias("count")))).alias("zones"),
     )
