@@ -117,11 +117,16 @@ def _(spark, sf):
     return carry.latest(spark, path, ["instrument_id", "start_us", "price_ticks"])
 
 
-@query("stream_tape_speed", with_fast(f"""SELECT instrument_id, start_us, start_us + 60000000 AS end_us, round(count(*) / 60.0::DOUBLE, 6) AS trades_per_second, round(sum(quantity) / 60.0::DOUBLE, 6) AS contracts_per_second
-  FROM (SELECT *, ts_us // 5000000 * 5000000 - 5000000 * unnest(range(12)) AS start_us FROM trades) GROUP BY ALL HAVING start_us + 60000000 <= {WATERMARK.format(source='trades')}"""))
+SPEEDS = ("trades_per_second", "contracts_per_second", "trades_per_second_long", "acceleration")
+
+
+@query("stream_tape_speed", with_fast(f"""SELECT instrument_id, start_us, start_us + 60000000 AS end_us, round(sn / 5.0::DOUBLE, 6) AS trades_per_second, round(sq / 5.0::DOUBLE, 6) AS contracts_per_second,
+  round(n / 60.0::DOUBLE, 6) AS trades_per_second_long, round((sn / 5.0::DOUBLE) / (n / 60.0::DOUBLE), 6) AS acceleration FROM (SELECT instrument_id, start_us, count(*) AS n,
+  count(*) FILTER (ts_us >= start_us + 55000000) AS sn, coalesce(sum(quantity) FILTER (ts_us >= start_us + 55000000), 0) AS sq
+  FROM (SELECT *, ts_us // 5000000 * 5000000 - 5000000 * unnest(range(12)) AS start_us FROM trades) GROUP BY ALL HAVING start_us + 60000000 <= {WATERMARK.format(source='trades')})"""))
 def _(spark, sf):
     out = appended(spark, windows.stream_tape_speed(feed(spark, sf, "fast", fast(spark, sf))), "stream-speed")
-    return out.withColumns({c: F.round(c, 6) for c in ("trades_per_second", "contracts_per_second")})
+    return out.withColumns({c: F.round(c, 6) for c in SPEEDS})
 
 
 @query("stream_activity_sessions", with_fast(f"""SELECT instrument_id, min(ts_us) AS start_us, max(ts_us) + 5000000 AS end_us, count(*) AS events FROM (SELECT *, count(*) FILTER (is_new) OVER (PARTITION BY instrument_id ORDER BY seq) AS s FROM

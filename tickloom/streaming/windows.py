@@ -46,22 +46,23 @@ def stream_profile(stream: DataFrame, interval: str = "1 hour", delay: str = "10
 
 
 def stream_tape_speed(stream: DataFrame, long: int = 60, short: int = 5, delay: str = "10 seconds") -> DataFrame:
-    """Prints and contracts per second over sliding windows of ``long`` seconds, every ``short`` seconds.
-
-    The last ``short`` seconds of each window give the short rate.
-    """
+    """Tape speed every ``short`` seconds: rates of the last ``short`` and the last ``long`` seconds."""
     qty = F.col("quantity")
-    timed = trades(stream).withWatermark("ts", delay)
-    counted = timed.groupBy(S.KEY, F.window("ts", f"{long} seconds", f"{short} seconds")).agg(
+    windowed = trades(stream).withWatermark("ts", delay).withColumn(
+        "_w", F.window("ts", f"{long} seconds", f"{short} seconds")
+    )
+    is_late = F.unix_micros("ts") >= F.unix_micros("_w.end") - F.lit(short * 1_000_000)
+    counted = windowed.groupBy(S.KEY, "_w").agg(
         F.count(F.lit(1)).alias("_n"),
-        F.sum(qty).alias("_q"),
-        F.max("ts").alias("last_ts"),
+        F.count_if(is_late).alias("_short_n"),
+        F.sum(F.when(is_late, qty).otherwise(F.lit(0).cast("long"))).alias("_short_q"),
     )
     return counted.select(
-        S.KEY, F.unix_micros("window.start").alias("start_us"), F.unix_micros("window.end").alias("end_us"),
-        (F.col("_n") / F.lit(float(long))).alias("trades_per_second"),
-        (F.col("_q") / F.lit(float(long))).alias("contracts_per_second"),
-    )
+        S.KEY, F.unix_micros("_w.start").alias("start_us"), F.unix_micros("_w.end").alias("end_us"),
+        (F.col("_short_n") / F.lit(float(short))).alias("trades_per_second"),
+        (F.col("_short_q") / F.lit(float(short))).alias("contracts_per_second"),
+        (F.col("_n") / F.lit(float(long))).alias("trades_per_second_long"),
+    ).withColumn("acceleration", F.col("trades_per_second") / F.col("trades_per_second_long"))
 
 
 def stream_activity_sessions(stream: DataFrame, gap: str = "5 seconds", delay: str = "10 seconds") -> DataFrame:
