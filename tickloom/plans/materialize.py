@@ -8,19 +8,41 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+#: Spark drops a query's shuffle files when it ends, instead of when the driver's garbage is collected.
+CLEANUP_CONF = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder named by the cluster; a temporary one only where none is named (tests)."""
-    folder = spark.conf.get(CHECKPOINT_CONF, None)
-    if not folder:
-        folder = spark.sparkContext.getConf().get(CHECKPOINT_CONF)
+    """Folder named by the cluster in ``spark.checkpoint.dir``.
+
+    Where it is unset, a temporary folder serves a session whose driver and
+    tasks are one process (``local[n]``); on a cluster that is an error, since
+    executors would write to disks that the others cannot see.
+    """
+    folder = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getConf().get(CHECKPOINT_CONF)
     if not folder:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"{CHECKPOINT_CONF} must name a folder that driver and executors share (master {master})")
         folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set(CHECKPOINT_CONF, folder)
     return folder.rstrip("/")
 
 
+def write_table(df: DataFrame, path: str) -> None:
+    """Write ``df`` as Parquet; its shuffle files go as soon as it is written."""
+    spark = df.sparkSession
+    before = spark.conf.get(CLEANUP_CONF, None)
+    spark.conf.set(CLEANUP_CONF, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP_CONF)
+        else:
+            spark.conf.set(CLEANUP_CONF, before)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet and read it back as a leaf of later plans.
 
@@ -29,5 +51,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tickloom-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    write_table(df, path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def remove_table(spark: SparkSession, path: str) -> None:
+    """Delete a table whose readers are through."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
