@@ -61,7 +61,7 @@ def _op8_sql() -> str:
       string_split_regex({place}, {p}) AS pieces FROM d)) WHERE length(vals[i]) >= {least}""")
     return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, {_FOLD} AS folded FROM documents),
 spans AS ({' UNION ALL '.join(each)}),
-own AS (SELECT substr(text, s + n - v + 1, v) AS val, count(DISTINCT doc_id) AS repos, count(DISTINCT source) AS owners
+own AS (SELECT substr(spans.text, s + n - v + 1, v) AS val, count(DISTINCT doc_id) AS repos, count(DISTINCT source) AS owners
   FROM spans JOIN documents USING (doc_id) GROUP BY 1),
 one AS (SELECT p.*, kind || ':' || s || ':' || (s + n) AS span, NOT (repos >= {secrets.EXAMPLE_REPOS} AND owners >= {secrets.EXAMPLE_OWNERS}) AS live
   FROM spans p JOIN own ON val = substr(text, s + n - v + 1, v)),
