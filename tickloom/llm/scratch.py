@@ -47,5 +47,5 @@ def row_key(text: Column) -> Column:
 
 def same_row(left: DataFrame, right: DataFrame, how: str = "left") -> DataFrame:
     """Join on ``doc_id`` (null matches null) and ``row_key``, keeping the left side's copies of both."""
-    on = left["doc_id"].eqNullSafe(right["doc_id"]) & (left["row_key"] == right["row_key"])
-    return left.join(right, on, how).drop(right["doc_id"]).drop(right["row_key"])
+    other = right.select(*[right[c].alias(f"_{c}" if c in ("doc_id", "row_key") else c) for c in right.columns])
+    return left.join(other, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("row_key") == F.col("_row_key")), how).drop("_doc_id", "_row_key")

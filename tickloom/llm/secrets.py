@@ -142,8 +142,9 @@ def redact(docs: DataFrame, mark: str = "<secret>", **how) -> DataFrame:
     Overlapping spans (a value may match two patterns) are replaced once.
     """
     live = scan(docs, **how).select("doc_id", "row_key", F.filter("spans", lambda s: s["live"]).alias("live")).where(F.size("live") > 0).dropDuplicates(["doc_id", "row_key"])
-    keyed = docs.withColumn("row_key", row_key(F.col("text")))
-    joined = keyed.join(live, keyed["doc_id"].eqNullSafe(live["doc_id"]) & (keyed["row_key"] == live["row_key"]), "left").select(*[keyed[c] for c in docs.columns], live["live"].alias("_live"))
+    # other columns travel in a struct, so that none can clash
+    keyed = docs.select("doc_id", row_key(F.col("text")).alias("row_key"), "text", F.struct(*docs.columns).alias("_row"))
+    joined = same_row(keyed, live.withColumnRenamed("live", "_live"))
     begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(state: Column, s: Column) -> Column:
@@ -156,7 +157,7 @@ def redact(docs: DataFrame, mark: str = "<secret>", **how) -> DataFrame:
 
     cleaned = F.aggregate("_live", begin, step, lambda state: F.concat(state["out"], F.substring(F.col("text"), state["at"] + 1, F.length("text"))))
     text = F.when(F.col("_live").isNull(), F.col("text")).otherwise(cleaned)
-    out = joined.withColumn("text", text)
+    put = {"text": text}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_live").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        put["n_chars"] = F.when(F.col("_live").isNull(), F.col("_row.n_chars")).otherwise(F.length(text)).cast(docs.schema["n_chars"].dataType)
+    return joined.select(*[put.get(c, F.col("_row")[c]).alias(c) for c in docs.columns])
