@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import decontaminate, licenses, secrets
+from tickloom.llm import decontaminate, licenses, packing, secrets, simhash, suffixes, warc, window_dedup
+from tickloom.llm.scratch import Scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -73,13 +74,70 @@ SELECT doc_id, CAST(coalesce(a, 0) AS BIGINT) AS n_assign, CAST(coalesce(k, 0) A
 FROM d LEFT JOIN agg USING (doc_id)"""
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return window_dedup.deduplicate(table(spark, sf_dir, "documents"))
+
+
+OP3_SQL = r"""WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 12], ' ')) AS k
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) > 12)),
+own AS (SELECT k, min(doc_id) AS f FROM win GROUP BY k),
+hit AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS p FROM win JOIN own USING (k) WHERE f < doc_id),
+words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS t, count(*) AS n FROM words ANTI JOIN hit USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)"""
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives go to the shared folder and are read back from there."""
+    archives = warc.write_archives(table(spark, sf_dir, "pages"), Scratch(spark, "archives").path("warc"))
+    return warc.page_rows(warc.read_archives(spark, archives, with_payload=False))
+
+
+OP5_SQL = """WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS digest FROM pages),
+f AS (SELECT digest, min(page_id) AS first FROM p GROUP BY digest)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest,
+  CASE WHEN n >= 100 AND first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 100 AND first <> page_id THEN first END AS refers_to, CAST(NULL AS VARCHAR) AS problem
+FROM p JOIN f USING (digest)"""
+
+
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.deduplicate(table(spark, sf_dir, "documents"))
+
+
+def vocabulary() -> str:
+    """Public vocabulary file of the packing query."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary())
+
+
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hex_print("print").alias("fingerprint"), "component_id")
+
+
 QUERIES: dict[str, Query] = {
     "op1_licenses": op1_licenses,
+    "op3_substring_dedup": op3_substring_dedup,
+    "op5_warc": op5_warc,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_decontamination": op7_decontamination,
     "op8_secrets": op8_secrets,
+    "op9_packing": op9_packing,
+    "op10_simhash": op10_simhash,
 }
+#: The others (bytes at every place, token ids, XXH64) have no DuckDB form; ``tests/llm`` has brute force for them.
 ORACLES: dict[str, str] = {
     "op1_licenses": licenses.oracle_sql(),
+    "op3_substring_dedup": OP3_SQL,
+    "op5_warc": OP5_SQL,
     "op7_decontamination": OP7_SQL,
     "op8_secrets": _op8_sql(),
 }
