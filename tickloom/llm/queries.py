@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import decontaminate, licenses, packing, secrets, simhash, suffixes, warc, window_dedup
+from tickloom.llm import decontaminate, licenses, packing, secrets, simhash, suffixes, topk, warc, window_dedup
 from tickloom.llm.scratch import Scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -89,6 +89,18 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) A
 FROM d LEFT JOIN kept USING (doc_id)"""
 
 
+def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
+OP4_SQL = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5"""
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Archives go to the shared folder and are read back from there."""
     archives = warc.write_archives(table(spark, sf_dir, "pages"), Scratch(spark, "archives").path("warc"))
@@ -126,6 +138,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_licenses": op1_licenses,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_topk": op4_topk,
     "op5_warc": op5_warc,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_decontamination": op7_decontamination,
@@ -137,6 +150,7 @@ QUERIES: dict[str, Query] = {
 ORACLES: dict[str, str] = {
     "op1_licenses": licenses.oracle_sql(),
     "op3_substring_dedup": OP3_SQL,
+    "op4_topk": OP4_SQL,
     "op5_warc": OP5_SQL,
     "op7_decontamination": OP7_SQL,
     "op8_secrets": _op8_sql(),
