@@ -129,3 +129,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, shi
         F.coalesce("items", F.array().cast("array<string>")).alias("items"),
         ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"),
     )
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
+    """``docs`` without the contaminated rows; all columns stay."""
+    bad = decontaminate(docs, benchmark, **how).where("contaminated").select(F.col("doc_id").alias("_doc_id"), F.col("row_key").alias("_row_key")).distinct()
+    on = docs["doc_id"].eqNullSafe(bad["_doc_id"]) & (row_key(docs["text"]) == bad["_row_key"])
+    return docs.join(bad, on, "left_anti")

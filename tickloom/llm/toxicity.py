@@ -36,7 +36,7 @@ SAMPLE_ROWS = 20_000
 VOCABULARY = 20_000
 #: Weight of the prior as a part of the sample; standard errors taken off the odds; odds below which a token counts as any
 #: other; toxic documents a token must be in.
-PRIOR, ERRORS_OFF, LEAST_ODDS, LEAST_DOCS = 0.05, 1.5, 2.0, 3
+PRIOR, ERRORS_OFF, LEAST_ODDS, LEAST_DOCS = 0.05, 1.5, 2.75, 3
 #: Score of every other token.
 BACKGROUND = -0.25
 
@@ -127,10 +127,12 @@ class Model:
         self.__post_init__()
 
     def excess(self, segments: list[tuple[int, int, float]], size: int) -> float:
-        """Normalised scores above zero, summed; the best one where none is."""
+        """Normalised scores above zero, summed; the best one where none is. On a logarithmic scale to either side of zero, so
+        that a long text with many segments does not set the slope for all."""
         level = math.log(self.density * (size + 1))
         each = [self.rate * s - level for *_, s in segments]
-        return sum(e for e in each if e > 0) or max(each, default=-level)
+        total = sum(e for e in each if e > 0) or max(each, default=-level)
+        return math.copysign(math.log1p(abs(total)), total)
 
     def probability(self, excess: float) -> float:
         return 1 / (1 + math.exp(-max(-500.0, min(500.0, self.offset + self.slope * excess))))
