@@ -1,0 +1,40 @@
+"""Stages against what their operators say of the same input."""
+
+import corpus_pipeline
+from pyspark.sql import functions as F
+
+from tests.conftest import SMALL
+from tickloom.llm import decontaminate, queries, secrets, simhash, toxicity
+
+
+def test_stages(spark):
+    docs = queries.table(spark, SMALL, "documents").cache()
+    names = docs.columns
+    ids = lambda df: {r.doc_id for r in df.select("doc_id").collect()}
+    out = {}
+    now = docs
+    for name, stage in corpus_pipeline.STAGES:
+        out[name] = (now, stage(spark, now, SMALL).cache())
+        now = out[name][1]
+        if name != "packing":
+            assert now.columns == names
+    before, after = out["toxicity"]
+    scored = toxicity.score(before, queries.toxicity_model(spark, SMALL))
+    assert ids(after) == ids(scored.where("predicted = 0"))
+    before, after = out["near_duplicates"]
+    assert ids(after) == ids(simhash.near_duplicates(before).where("doc_id = component_id"))
+    before, after = out["decontamination"]
+    assert ids(after) == ids(decontaminate.decontaminate(before, queries.table(spark, SMALL, "benchmark")).where("NOT contaminated"))
+    before, after = out["secrets"]
+    assert ids(after) == ids(before)
+    changed = ids(after.join(before.select("doc_id", F.col("text").alias("t")), "doc_id").where("text <> t"))
+    assert changed == ids(secrets.digest_columns(secrets.scan(before)).where("n_live > 0"))
+    before, after = out["packing"]
+    assert ids(after) == ids(before)
+    total = after.groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("m"))
+    assert total.where("n <> m").count() == 0
+    docs.unpersist()
+
+
+def test_run(spark):
+    assert corpus_pipeline.run(spark, SMALL).columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]

@@ -25,7 +25,7 @@ COPYRIGHT_LINE = r"^[\x20\t#*/;-]*(?:copyright[\x20:,]|\(c\)|©|all rights reser
 PUNCTUATION = r"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F«»‘’“”–—…]+"
 #: Equivalent spellings (variant, canonical), whole words, applied in this order.
 SPELLINGS = (
-    (" licence", " license"), (" sub license", " sublicense"), (" sub licence", " sublicense"),
+    (" licence", " license"), (" sub license", " sublicense"), (" sub licence", " sublicense"), (" sublicence", " sublicense"),
     (" non commercial", " noncommercial"), (" authorisation", " authorization"), (" authorised", " authorized"),
     (" organisation", " organization"), (" recognised", " recognized"), (" favour", " favor"),
     (" behaviour", " behavior"), (" fulfil ", " fulfill "), (" per cent", " percent"),

@@ -143,21 +143,21 @@ def redact(docs: DataFrame, mark: str = "<secret>", **how) -> DataFrame:
     """
     live = scan(docs, **how).select("doc_id", "row_key", F.filter("spans", lambda s: s["live"]).alias("live")).where(F.size("live") > 0).dropDuplicates(["doc_id", "row_key"])
     # other columns travel in a struct, so that none can clash
-    keyed = docs.select("doc_id", row_key(F.col("text")).alias("row_key"), "text", F.struct(*docs.columns).alias("_row"))
+    keyed = docs.select("doc_id", row_key(F.col("text")).alias("row_key"), F.col("text").alias("_text"), F.struct(*docs.columns).alias("_row"))
     joined = same_row(keyed, live.withColumnRenamed("live", "_live"))
     begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(state: Column, s: Column) -> Column:
-        between = F.substring(F.col("text"), state["at"] + 1, s["start"] - state["at"])
+        between = F.substring(F.col("_text"), state["at"] + 1, s["start"] - state["at"])
         apart = s["start"] >= state["at"]
         return F.struct(
             F.greatest(state["at"], s["end"]).alias("at"),
             F.when(apart, F.concat(state["out"], between, F.lit(mark))).otherwise(state["out"]).alias("out"),
         )
 
-    cleaned = F.aggregate("_live", begin, step, lambda state: F.concat(state["out"], F.substring(F.col("text"), state["at"] + 1, F.length("text"))))
-    text = F.when(F.col("_live").isNull(), F.col("text")).otherwise(cleaned)
-    put = {"text": text}
+    cleaned = F.aggregate("_live", begin, step, lambda state: F.concat(state["out"], F.substring(F.col("_text"), state["at"] + 1, F.length("_text"))))
+    done = joined.select("_row", "_live", F.when(F.col("_live").isNull(), F.col("_text")).otherwise(cleaned).alias("_new"))
+    put = {"text": F.col("_new")}
     if "n_chars" in docs.columns:
-        put["n_chars"] = F.when(F.col("_live").isNull(), F.col("_row.n_chars")).otherwise(F.length(text)).cast(docs.schema["n_chars"].dataType)
-    return joined.select(*[put.get(c, F.col("_row")[c]).alias(c) for c in docs.columns])
+        put["n_chars"] = F.when(F.col("_live").isNull(), F.col("_row.n_chars")).otherwise(F.length("_new")).cast(docs.schema["n_chars"].dataType)
+    return done.select(*[put.get(c, F.col("_row")[c]).alias(c) for c in docs.columns])
