@@ -2,10 +2,18 @@
 
 from pyspark.sql import functions as F
 
-from tickloom.catalog.base import fast, query, shared, with_fast
+from tickloom.catalog.base import TAPE_DAYS, days, fast, query, shared, with_fast
+from tickloom.catalog.calendar import DATED
+from tickloom.operators import calendar as c
 from tickloom.operators import bars as b
 
 MINUTE = 60_000_000
+DATED_TRADES = DATED + ", dtrades AS (SELECT * FROM dated WHERE type = 5 AND quantity > 0)"
+
+
+def dated_tape(spark, sf):
+    """The tape of several days with its trading dates."""
+    return shared(spark, sf, "dated-tape", lambda: c.trading_date(days(spark, sf)))
 
 OHLC = """instrument_id, bar_id, arg_min(price_ticks, seq) AS "open", max(price_ticks) AS high, min(price_ticks) AS low, arg_max(price_ticks, seq) AS "close",
   CAST(sum(quantity) AS BIGINT) AS volume, CAST(sum(CASE aggressor WHEN 1 THEN quantity ELSE 0 END) AS BIGINT) AS buy, CAST(sum(CASE aggressor WHEN 2 THEN quantity ELSE 0 END) AS BIGINT) AS sell,
@@ -104,3 +112,43 @@ def _(spark, sf):
 @query("resample_bars", with_fast(f"SELECT {OHLC.replace(', min(ts_us) AS start_ts, max(ts_us) AS end_ts', '')}, bar_id * 900000000 AS start_us FROM (SELECT * EXCLUDE (bar_id), bar_id // 15 AS bar_id FROM assigned) GROUP BY instrument_id, bar_id", BARS))
 def _(spark, sf):
     return b.resample_bars(minute_bars(spark, sf), 15 * MINUTE).drop("delta")
+
+
+def _session_fold(state: str, fold: str) -> str:
+    return f"""SELECT t.*, s.start_seq AS bar_id FROM dtrades t ASOF JOIN (SELECT instrument_id, trading_date, unnest(r.starts) AS start_seq FROM
+    (SELECT instrument_id, trading_date, list_reduce(l, lambda a, x: {fold}, {state}) AS r FROM dlists)) s
+    ON t.instrument_id = s.instrument_id AND t.trading_date = s.trading_date AND t.seq >= s.start_seq"""
+
+
+_VOLUME_FOLD = ("{'fresh': true, 'v': 0::BIGINT, 'starts': []::BIGINT[]}", """{'fresh': (CASE WHEN a.fresh THEN 0 ELSE a.v END) + x.q >= 400, 'v': (CASE WHEN a.fresh THEN 0 ELSE a.v END) + x.q,
+  'starts': CASE WHEN a.fresh THEN list_append(a.starts, x.s) ELSE a.starts END}""")
+_RANGE_FOLD = ("{'fresh': true, 'h': 0::BIGINT, 'l': 0::BIGINT, 'starts': []::BIGINT[]}", """{'fresh': (CASE WHEN a.fresh THEN 0 ELSE greatest(a.h, x.p) - least(a.l, x.p) END) >= 6,
+  'h': CASE WHEN a.fresh THEN x.p ELSE greatest(a.h, x.p) END, 'l': CASE WHEN a.fresh THEN x.p ELSE least(a.l, x.p) END,
+  'starts': CASE WHEN a.fresh THEN list_append(a.starts, x.s) ELSE a.starts END}""")
+_HOUR = 3_600_000_000
+SESSION_BARS = f"""dlists AS (SELECT instrument_id, trading_date, list({{'s': seq, 'p': price_ticks, 'q': quantity}} ORDER BY seq) AS l FROM dtrades GROUP BY ALL),
+kinds AS (
+  SELECT 'time' AS kind, *, max(ts_us // {_HOUR}) OVER (PARTITION BY instrument_id, trading_date ORDER BY seq) AS bar_id FROM dtrades
+  UNION ALL BY NAME SELECT 'tick' AS kind, * EXCLUDE (n), max(CASE WHEN n % 7 = 0 THEN seq END) OVER (PARTITION BY instrument_id, trading_date ORDER BY seq) AS bar_id
+    FROM (SELECT *, row_number() OVER (PARTITION BY instrument_id, trading_date ORDER BY seq) - 1 AS n FROM dtrades)
+  UNION ALL BY NAME SELECT 'volume' AS kind, * FROM ({_session_fold(*_VOLUME_FOLD)})
+  UNION ALL BY NAME SELECT 'range' AS kind, * FROM ({_session_fold(*_RANGE_FOLD)})),
+sbars AS (SELECT kind, trading_date, {OHLC} FROM kinds GROUP BY kind, trading_date, instrument_id, bar_id)"""
+
+
+@query("session_bars", "WITH " + ",\n".join([TAPE_DAYS, DATED_TRADES, SESSION_BARS]) + f"""
+SELECT kind, trading_date, instrument_id, bar_id, "open", high, low, "close", volume, trades, first_seq, last_seq,
+  CASE kind WHEN 'time' THEN bar_id * {_HOUR} ELSE start_ts END AS start_us,
+  CASE WHEN kind = 'time' AND bar_id < max(bar_id) OVER (PARTITION BY kind, instrument_id, trading_date) THEN (bar_id + 1) * {_HOUR} ELSE end_ts END AS end_us,
+  last_seq < max(last_seq) OVER (PARTITION BY kind, instrument_id)
+    OR CASE kind WHEN 'time' THEN false WHEN 'tick' THEN trades >= 7 WHEN 'volume' THEN volume >= 400 ELSE high - low >= 6 END AS is_closed
+FROM sbars""")
+def _(spark, sf):
+    """All four kinds of bars on a tape of several days, force-closed at the end of each trading date."""
+    tape = dated_tape(spark, sf)
+    kinds = [b.time_bars(tape, _HOUR, "trading_date"), b.tick_bars(tape, 7, "trading_date"), b.volume_bars(tape, 400, "trading_date"), b.range_bars(tape, 6, "trading_date")]
+    out = None
+    for bars in kinds:
+        one = bars.select("kind", "trading_date", "instrument_id", "bar_id", "open", "high", "low", "close", "volume", "trades", "first_seq", "last_seq", "start_us", "end_us", "is_closed")
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -44,6 +44,14 @@ def days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recorded_tape(spark, sf_dir, "days")
 
 
+#: Three fifths of the tape, whatever its length.
+POSITION = "(SELECT max(seq) * 3 // 5 FROM tape)"
+
+
+def position(spark: SparkSession, sf_dir: str) -> int:
+    return fast(spark, sf_dir).agg({"seq": "max"}).first()[0] * 3 // 5
+
+
 def _tape_sql(pace: str) -> str:
     us = "epoch_us(ts)"
     if pace == "fast":

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tickloom.catalog.base import fast, query, shared, with_fast
+from tickloom.catalog.base import POSITION, fast, position, query, shared, with_fast
 from tickloom.catalog.profile import AREA, PROFILE, session_profile
 from tickloom.operators import book as k
 from tickloom.operators import profile as p
@@ -31,15 +31,12 @@ def _asof_sql(at: str) -> str:
     return f"SELECT instrument_id, side, price_ticks, size FROM intervals WHERE from_seq <= {at} AND (to_seq IS NULL OR to_seq > {at})"
 
 
-MIDDLE = 617  # a sequence well inside every size of the test tape
-
-
-@query("book_levels_asof", with_fast(_asof_sql("(SELECT max(seq) FROM tape)") + " UNION ALL " + _asof_sql(str(MIDDLE)).replace("side,", "side + 10 AS side,"), DISTURBED))
+@query("book_levels_asof", with_fast(_asof_sql("(SELECT max(seq) FROM tape)") + " UNION ALL " + _asof_sql(POSITION).replace("side,", "side + 10 AS side,"), DISTURBED))
 def _(spark, sf):
     """At the end of the tape, and (sides shown as 11, 12) in its middle."""
     tape = disturbed(spark, sf)
     return k.book_levels_asof(tape).unionByName(
-        k.book_levels_asof(tape, MIDDLE).withColumn("side", F.col("side") + 10))
+        k.book_levels_asof(tape, position(spark, sf)).withColumn("side", F.col("side") + 10))
 
 
 @query("level_intervals", with_fast("SELECT * FROM intervals", DISTURBED))
@@ -99,10 +96,10 @@ def _(spark, sf):
     )
 
 
-@query("book_restore", with_fast(_asof_sql(str(MIDDLE)), DISTURBED))
+@query("book_restore", with_fast(_asof_sql(POSITION), DISTURBED))
 def _(spark, sf):
     tape = disturbed(spark, sf)
-    return k.book_restore(checkpoints(spark, sf), tape, MIDDLE)
+    return k.book_restore(checkpoints(spark, sf), tape, position(spark, sf))
 
 
 @query("dom_ladder", with_fast("""SELECT instrument_id, price_ticks, bid_size, ask_size, CAST(sum(bid_size) OVER (PARTITION BY instrument_id ORDER BY price_ticks) AS BIGINT) AS cumulative_bid,

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tickloom.catalog.bars import ASSIGNED, BARS, minute_bars, minute_trades
+from tickloom.catalog.bars import ASSIGNED, BARS, DATED_TRADES, dated_tape, minute_bars, minute_trades
 from tickloom.catalog.base import days, fast, query, shared, with_days, with_fast
 from tickloom.catalog.calendar import DATED
 from tickloom.operators import calendar as c
@@ -13,7 +13,6 @@ from tickloom.operators.quality import trades
 SIGNED = "CASE aggressor WHEN 1 THEN quantity WHEN 2 THEN -quantity ELSE 0 END"
 RUN = "OVER (PARTITION BY instrument_id ORDER BY seq)"
 CVD = f"cvd AS (SELECT *, CAST(sum({SIGNED}) {RUN} AS BIGINT) AS cvd FROM trades)"
-DATED_TRADES = DATED + ", dtrades AS (SELECT * FROM dated WHERE type = 5 AND quantity > 0)"
 
 
 def _vwap_sql(source: str, part: str, columns: str) -> str:
@@ -24,7 +23,7 @@ def _vwap_sql(source: str, part: str, columns: str) -> str:
 
 
 def day_trades(spark, sf):
-    return trades(shared(spark, sf, "dated-tape", lambda: c.trading_date(days(spark, sf))))
+    return trades(dated_tape(spark, sf))
 
 
 def _rounded(df):

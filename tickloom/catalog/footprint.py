@@ -173,7 +173,9 @@ def _(spark, sf):
     )
 
 
-@query("footprint_fingerprint")
+@query("footprint_fingerprint", with_fast(f"""SELECT b.instrument_id, b.bar_id, md5(concat_ws('|', b."open", b.high, b.low, b."close", coalesce(CAST(poc AS VARCHAR), ''), coalesce(ls, ''), coalesce(zs, ''))) AS fingerprint FROM bars b
+  LEFT JOIN (SELECT {BARKEY}, {POC_SQL.format(m='total')} AS poc, string_agg(concat_ws(':', price_ticks, bid, ask, unknown, fl.trades, max_print), ',' ORDER BY price_ticks) AS ls FROM fl JOIN bars USING ({BARKEY}) GROUP BY ALL) r USING ({BARKEY})
+  LEFT JOIN (SELECT {BARKEY}, string_agg(concat_ws(':', side, low, high, levels), ',' ORDER BY side, low, high) AS zs FROM zones GROUP BY ALL) z USING ({BARKEY})""", BARS, LV, FLAGS, _zones_sql(False)))
 def _(spark, sf):
     return fp.footprint_fingerprint(fp.footprint_bar(levels(spark, sf), minute_bars(spark, sf), SET))
 

@@ -34,6 +34,25 @@ def _(spark, sf):
     return cells(spark, sf)
 
 
+FINE = 2_000_000  # more columns than a display keeps
+
+
+@query("liquidity_heatmap_fine", with_fast("SELECT instrument_id, col, count(*) AS levels, CAST(sum(size) AS BIGINT) AS size FROM cells GROUP BY ALL", HEAT.replace(str(STEP), str(FINE))))
+def _(spark, sf):
+    """Depth of every column at a fine interval, the oldest included."""
+    fine = h.liquidity_heatmap(h.heat_intervals(fast(spark, sf), FINE))
+    return fine.groupBy("instrument_id", "col").agg(F.count(F.lit(1)).alias("levels"), F.sum("size").alias("size"))
+
+
+@query("heatmap_faint", with_fast("""SELECT m.instrument_id, m.col, m.price_ticks, m.size FROM
+  (SELECT instrument_id, col, price_ticks, CAST(sum(size) AS BIGINT) AS size FROM cells JOIN win USING (instrument_id) WHERE price_ticks >= lo AND price_ticks < hi GROUP BY ALL) m
+  JOIN scales USING (instrument_id) WHERE least(1, m.size / absolute) >= 0.2""", HEAT))
+def _(spark, sf):
+    """Cells of at least a fifth of the scale."""
+    s = spans(spark, sf)
+    return h.heatmap_cells(cells(spark, sf), h.heatmap_scale(s), h.price_window(s), least_intensity=0.2).select("instrument_id", "col", "price_ticks", "size")
+
+
 @query("heatmap_range", with_fast("SELECT * FROM cells WHERE col BETWEEN 40 AND 49", HEAT))
 def _(spark, sf):
     return h.liquidity_heatmap(spans(spark, sf), 40, 49)
@@ -73,7 +92,7 @@ def _(spark, sf):
 
 @query("heatmap_cells", with_fast("""SELECT m.instrument_id, m.col, m.price_ticks, m.size, m.price_ticks < mid AS is_below, round(least(1, m.size / absolute), 6) AS intensity FROM
   (SELECT instrument_id, col, price_ticks, CAST(sum(size) AS BIGINT) AS size FROM cells JOIN win USING (instrument_id) WHERE price_ticks >= lo AND price_ticks < hi GROUP BY ALL HAVING sum(size) >= 10) m
-  JOIN mids USING (instrument_id, col) JOIN scales USING (instrument_id) WHERE m.size / absolute > 0.012""", HEAT))
+  JOIN mids USING (instrument_id, col) JOIN scales USING (instrument_id)""", HEAT))
 def _(spark, sf):
     s = spans(spark, sf)
     out = h.heatmap_cells(cells(spark, sf), h.heatmap_scale(s), h.price_window(s), 10)

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tickloom.catalog.base import fast, query, shared, with_fast
+from tickloom.catalog.base import POSITION, fast, position, query, shared, with_fast
 from tickloom.operators import orders as o
 
 # eight consecutive events belong to one order; the first adds it
@@ -44,7 +44,7 @@ mbo_f AS (SELECT instrument_id, epoch, order_id, unnest(list_reduce(l, lambda a,
    {{'side': 0, 'price': 0::BIGINT, 'size': 0::BIGINT, 'prio': 0::BIGINT, 'out': []::STRUCT(from_seq BIGINT, outcome VARCHAR, side INTEGER, price_ticks BIGINT, size BIGINT, priority_seq BIGINT)[]}}).out, recursive := true) FROM mbo_l),
 orders AS (SELECT f.*, coalesce(min(n.from_seq), min(r.seq)) AS to_seq FROM mbo_f f LEFT JOIN mbo_f n ON n.instrument_id = f.instrument_id AND n.epoch = f.epoch AND n.order_id = f.order_id AND n.from_seq > f.from_seq AND n.outcome = 'changed'
   LEFT JOIN mbo_e r ON r.type = 10 AND r.instrument_id = f.instrument_id AND r.epoch = f.epoch + 1 GROUP BY ALL),
-live AS (SELECT * FROM orders WHERE outcome = 'changed' AND size > 0 AND from_seq <= 617 AND (to_seq IS NULL OR to_seq > 617))"""
+live AS (SELECT * FROM orders WHERE outcome = 'changed' AND size > 0 AND from_seq <= {POSITION} AND (to_seq IS NULL OR to_seq > {POSITION}))"""
 
 
 def lifecycles(spark, sf):
@@ -58,12 +58,12 @@ def _(spark, sf):
 
 @query("mbo_levels", with_fast("SELECT instrument_id, side, price_ticks, CAST(sum(size) AS BIGINT) AS size, count(*) AS orders FROM live GROUP BY ALL", MBO))
 def _(spark, sf):
-    return o.mbo_levels(lifecycles(spark, sf), 617)
+    return o.mbo_levels(lifecycles(spark, sf), position(spark, sf))
 
 
 @query("mbo_queue", with_fast("SELECT instrument_id, side, price_ticks, row_number() OVER (PARTITION BY instrument_id, side, price_ticks ORDER BY priority_seq) AS position, order_id, size, priority_seq FROM live", MBO))
 def _(spark, sf):
-    return o.mbo_queue(lifecycles(spark, sf), 617)
+    return o.mbo_queue(lifecycles(spark, sf), position(spark, sf))
 
 
 @query("mbo_diagnostics", with_fast("""SELECT instrument_id, count(*) FILTER (outcome = 'unknown') AS unknown_orders, count(*) FILTER (outcome = 'duplicate') AS duplicate_adds,

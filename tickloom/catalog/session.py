@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tickloom.catalog.bars import BARS, minute_bars
-from tickloom.catalog.base import days, fast, query, shared, with_days, with_fast
+from tickloom.catalog.base import POSITION, days, fast, position, query, shared, with_days, with_fast
 from tickloom.catalog.book import _asof_sql
 from tickloom.catalog.calendar import DATED
 from tickloom.catalog.detectors import _PARTS, detections
@@ -68,6 +68,14 @@ def _(spark, sf):
     return plain(r.replay_range(tape, _at(FROM_US), _at(TO_US), closed="left"))
 
 
+@query("replay_range_closed", with_days(f"SELECT {PLAIN} FROM tape WHERE ts_us >= {FROM_US} AND ts_us <= (SELECT max(ts_us) FROM tape WHERE ts_us < {TO_US})"))
+def _(spark, sf):
+    """Both ends count (the end is the time of an event), in replay order."""
+    tape = r.scan_session(spark, recording(spark, sf))
+    last = tape.where(F.col("ts") < _at(TO_US)).agg(F.max("ts")).first()[0]
+    return plain(r.replay_range(tape, _at(FROM_US), F.lit(last), ordered=True))
+
+
 @query("historical_trades", with_days(f"SELECT {PLAIN} FROM tape WHERE type = 5 AND instrument_id = 2 AND ts_us >= {FROM_US} AND ts_us < {TO_US}"))
 def _(spark, sf):
     tape = r.scan_session(spark, recording(spark, sf))
@@ -108,10 +116,17 @@ def _(spark, sf):
 
 @query("part_health", with_days("""SELECT 'venue=CME/root=' || CASE instrument_id WHEN 1 THEN 'NQ/contract=NQM4' ELSE 'ES/contract=ESM4' END || '/date=' || trading_date AS folder,
   CASE WHEN instrument_id = 1 AND trading_date = DATE '2024-01-09' THEN 1 ELSE 0 END::BIGINT AS corrupt, CASE WHEN instrument_id = 1 AND trading_date = DATE '2024-01-09' THEN 1 ELSE 0 END::BIGINT AS leftovers,
-  true AS has_valid FROM (SELECT DISTINCT instrument_id, trading_date FROM dated)""", DATED))
+  (count(*) + 499) // 500 AS least_valid FROM dated GROUP BY instrument_id, trading_date""", DATED))
 def _(spark, sf):
     out = r.part_health(spark, _damaged(spark, sf))
-    return out.select("folder", F.col("corrupt"), F.col("leftovers"), (F.col("valid") == F.col("parts") - F.col("corrupt")).alias("has_valid"))
+    # a folder's events fill at least so many parts of 500; slices of the sequence may start further ones
+    events = r.scan_session(spark, _damaged(spark, sf), skip_corrupt=True).groupBy("contract", "date").count()
+    least = events.select(
+        F.format_string("venue=CME/root=%s/contract=%s/date=%s", F.substring("contract", 1, 2), "contract", F.col("date").cast("string")).alias("folder"),
+        F.expr("(count + 499) div 500").alias("least"),
+    )
+    checked = out.join(least, "folder").where((F.col("valid") == F.col("parts") - F.col("corrupt")) & (F.col("valid") >= F.col("least")))
+    return checked.select("folder", "corrupt", "leftovers", F.col("least").alias("least_valid"))
 
 
 # -- session state --------------------------------------------------------------
@@ -129,7 +144,9 @@ def _(spark, sf):
     return session.session_state(fast(spark, sf))
 
 
-@query("session_digest")
+@query("session_digest", with_fast("""SELECT instrument_id, md5(concat_ws('|', events, trades, coalesce(CAST(best_bid AS VARCHAR), ''), coalesce(CAST(best_ask AS VARCHAR), ''), cvd, coalesce(CAST(poc AS VARCHAR), ''),
+  coalesce(CAST(last_close AS VARCHAR), ''), completed_bars, vwap_milli)) AS digest
+  FROM state JOIN best USING (instrument_id) JOIN traded USING (instrument_id) JOIN pocs USING (instrument_id)""", PROFILE, STATE))
 def _(spark, sf):
     return session.session_digest(session.session_state(fast(spark, sf)))
 
@@ -139,14 +156,26 @@ def _(spark, sf):
     return session.verify_reproducible(fast(spark, sf)).select("instrument_id", "is_same")
 
 
-@query("market_snapshot", with_fast("""SELECT 'bars' AS part, count(*) AS n FROM bars WHERE first_seq <= 617 UNION ALL SELECT 'profile', count(*) FROM (SELECT DISTINCT instrument_id, price_ticks FROM trades WHERE seq <= 617)
-  UNION ALL SELECT 'tape', 100 UNION ALL SELECT 'dom', 82 UNION ALL SELECT 'cvd', 2
-  UNION ALL SELECT 'book', count(*) FROM (SELECT arg_max(quantity, seq) AS size FROM tape WHERE type IN (6, 7) AND seq <= 617 GROUP BY instrument_id, side, price_ticks HAVING size > 0)""", BARS))
+@query("market_snapshot", with_fast(f"""SELECT 'bars' AS part, instrument_id, bar_id AS a, volume AS b FROM bars WHERE first_seq <= {POSITION}
+  UNION ALL SELECT 'profile', instrument_id, price_ticks, CAST(sum(quantity) AS BIGINT) FROM trades WHERE seq <= {POSITION} AND aggressor > 0 GROUP BY ALL
+  UNION ALL SELECT 'tape', instrument_id, seq, quantity FROM (SELECT * FROM trades WHERE seq <= {POSITION} ORDER BY ts_us DESC, seq DESC, instrument_id LIMIT 60)
+  UNION ALL SELECT 'cvd', instrument_id, 0, CAST(sum(CASE aggressor WHEN 1 THEN quantity WHEN 2 THEN -quantity ELSE 0 END) AS BIGINT) FROM trades WHERE seq <= {POSITION} GROUP BY ALL
+  UNION ALL SELECT 'book', instrument_id, side * 1000000000 + price_ticks, size FROM (SELECT instrument_id, side, price_ticks, arg_max(quantity, seq) AS size FROM tape WHERE type IN (6, 7) AND seq <= {POSITION} GROUP BY ALL HAVING size > 0)
+  UNION ALL SELECT 'dom', instrument_id, 0, 31 FROM (SELECT DISTINCT instrument_id FROM tape)""", BARS))
 def _(spark, sf):
-    parts = session.market_snapshot(fast(spark, sf), 617, minute_bars(spark, sf))
+    """Contents of the parts; of the ladder, its rungs."""
+    parts = session.market_snapshot(fast(spark, sf), position(spark, sf), minute_bars(spark, sf), prints=60, rungs=15)
+    shown = {
+        "bars": parts["bars"].select("instrument_id", F.col("bar_id").alias("a"), F.col("volume").alias("b")),
+        "profile": parts["profile"].where("total > 0").select("instrument_id", F.col("price_ticks").alias("a"), F.col("total").alias("b")),
+        "tape": parts["tape"].select("instrument_id", F.col("seq").alias("a"), F.col("quantity").alias("b")),
+        "cvd": parts["cvd"].select("instrument_id", F.lit(0).cast("long").alias("a"), F.col("cvd").alias("b")),
+        "book": parts["book"].select("instrument_id", (F.col("side").cast("long") * 1_000_000_000 + F.col("price_ticks")).alias("a"), F.col("size").alias("b")),
+        "dom": parts["dom"].groupBy("instrument_id").agg(F.lit(0).cast("long").alias("a"), F.count(F.lit(1)).alias("b")),
+    }
     out = None
-    for name in ("bars", "profile", "tape", "dom", "cvd", "book"):
-        one = parts[name].agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("part"), "n")
+    for name, part in shown.items():
+        one = part.select(F.lit(name).alias("part"), "instrument_id", "a", "b")
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -226,20 +255,49 @@ def _(spark, sf):
     return spark.read.schema("id bigint, text string, tags array<string>").json(path)
 
 
+@query("export_annotations", with_fast("""SELECT CAST(seq AS VARCHAR) AS id, CASE WHEN k % 7 <> 0 AND k % 11 <> 0 AND k % 5 <> 0 THEN printf('%.2f', (1 + k % 13) / CAST(k % 5 AS DOUBLE)) END AS risk_reward, 'true' AS manual_unverified
+  FROM tape WHERE type <> 5"""))
+def _(spark, sf):
+    """Annotations written as CSV, missing risk/reward as empty fields, and read back."""
+    import uuid
+
+    path = f"{shared_folder(spark)}/tickloom-export-{uuid.uuid4().hex}"
+    review.export_review(review.risk_reward(annotations(spark, sf)), path, "csv")
+    return spark.read.option("header", True).option("escape", '"').csv(path).select("id", "risk_reward", "manual_unverified")
+
+
+@query("export_bookmarks", with_fast("SELECT seq AS id, instrument_id, ts_us + 1500000 AS replay_us FROM tape WHERE type = 7"))
+def _(spark, sf):
+    """Bookmarks written as JSON lines and read back."""
+    import uuid
+
+    path = f"{shared_folder(spark)}/tickloom-export-{uuid.uuid4().hex}"
+    review.export_review(fast(spark, sf).where("type = 7").select(F.col("seq").alias("id"), "instrument_id", (F.col("ts_us") + 1_500_000).alias("replay_us")), path, "json")
+    return spark.read.schema("id bigint, instrument_id int, replay_us bigint").json(path)
+
+
 # -- registries --------------------------------------------------------------------
 
-@query("registered_indicators", with_fast('SELECT instrument_id, count(*) AS bars FROM bars GROUP BY 1', BARS))
+@query("registered_indicators", with_fast("""SELECT instrument_id, idx, CASE WHEN idx >= 19 THEN CAST(max(high) OVER r AS DOUBLE) END AS dc_upper, CASE WHEN idx >= 19 THEN CAST(min(low) OVER r AS DOUBLE) END AS dc_lower,
+  CAST("close" - lag("close", 10) OVER w AS DOUBLE) AS momentum, round(100.0::DOUBLE * ("close" - lag("close", 9) OVER w) / lag("close", 9) OVER w, 4) AS roc
+  FROM bars WINDOW w AS (PARTITION BY instrument_id ORDER BY idx), r AS (PARTITION BY instrument_id ORDER BY idx ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)""", BARS))
 def _(spark, sf):
-    """Every registered indicator applied in turn to the bars, by its id."""
+    """Indicators found by their ids in any case, one on top of the other."""
     bars = minute_bars(spark, sf)
-    for id in ("DC", "roc", "Mom", "BB"):
+    for id in ("DC", "roc", "Mom"):
         bars = registry.run_indicator(id, bars)
-    return bars.groupBy("instrument_id").agg(F.count(F.lit(1)).alias("bars"))
+    return bars.select("instrument_id", "idx", *[F.col(x).cast("double").alias(x) for x in ("dc_upper", "dc_lower", "momentum")], F.round("roc", 4).alias("roc"))
 
 
-@query("registered_bars", with_fast('SELECT count(*) AS bars FROM (SELECT DISTINCT instrument_id, bar_id FROM bars)', BARS))
+@query("registered_bars", with_fast("""SELECT 'time' AS name, instrument_id, bar_id, count(*) AS trades FROM assigned GROUP BY ALL
+  UNION ALL SELECT 'tick', instrument_id, bar_id, count(*) FROM (SELECT *, (row_number() OVER (PARTITION BY instrument_id ORDER BY seq) - 1) // 50 AS bar_id FROM trades) GROUP BY ALL""", BARS))
 def _(spark, sf):
-    return registry.BARS["time"](fast(spark, sf), 60_000_000).agg(F.count(F.lit(1)).alias("bars"))
+    """Bar builders found by name."""
+    out = None
+    for name, size in (("time", 60_000_000), ("tick", 50)):
+        one = registry.BARS[name](fast(spark, sf), size).select(F.lit(name).alias("name"), "instrument_id", "bar_id", "trades")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query("registered_detectors", with_fast("SELECT detector, count(*) AS detections FROM detections GROUP BY 1", *_PARTS))

@@ -138,8 +138,9 @@ def contract_calendar(roots: DataFrame, first_year: int, last_year: int) -> Data
 def front_month(dates: DataFrame, roll_days: int = 8) -> DataFrame:
     """Per (root, date): the first contract at least ``roll_days`` from expiry.
 
-    A quarter's expiry is an expression of the date, so at most five candidate
-    quarters are compared on the row itself and no calendar is joined.
+    A quarter's expiry is an expression of the date, so the few candidate
+    quarters that ``roll_days`` can reach are compared on the row itself and no
+    calendar is joined.
     """
     date = F.col("trading_date")
     quarter_start = F.trunc(date, "quarter")
@@ -152,7 +153,7 @@ def front_month(dates: DataFrame, roll_days: int = 8) -> DataFrame:
             F.month(month).alias("month"),
         )
 
-    candidates = F.array(*[candidate(i) for i in range(5)])
+    candidates = F.array(*[candidate(i) for i in range(max(5, roll_days // 89 + 3))])
     good = F.filter(candidates, lambda c: F.datediff(c["expiry"], date) >= roll_days)
     code = F.element_at(F.array(*[F.lit(c) for c in "HMUZ"]), (F.col("front.month") / 3).cast("int"))
     current = F.filter(candidates, lambda c: c["expiry"] >= date)

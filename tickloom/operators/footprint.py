@@ -366,10 +366,14 @@ def footprint_bar(levels: DataFrame, bars: DataFrame, settings: FootprintSetting
 
 
 def footprint_fingerprint(footprints: DataFrame) -> DataFrame:
-    """Content hash of each bar, the same for any order of its trades within the levels."""
-    return footprints.select(
-        *BAR, F.xxhash64("open", "high", "low", "close", "poc", "levels", "zones").alias("fingerprint")
-    )
+    """MD5 of each bar's prices, levels and zones as text, the same for any order of its trades within the levels."""
+    def text(x: Column) -> Column:
+        return F.coalesce(x.cast("string"), F.lit(""))
+
+    levels = F.transform(F.array_sort("levels"), lambda x: F.concat_ws(":", *[text(x[c]) for c in ("price_ticks", "bid", "ask", "unknown", "trades", "max_print")]))
+    zones = F.transform(F.array_sort("zones"), lambda z: F.concat_ws(":", *[text(z[c]) for c in ("side", "low", "high", "count")]))
+    parts = [text(F.col(c)) for c in ("open", "high", "low", "close", "poc")] + [F.coalesce(F.array_join(x, ","), F.lit("")) for x in (levels, zones)]
+    return footprints.select(*BAR, F.md5(F.concat_ws("|", *parts)).alias("fingerprint"))
 
 
 def cell_metric(mode: str) -> Column:

@@ -34,17 +34,19 @@ def heat_intervals(df: DataFrame, interval_us: int = 250_000) -> DataFrame:
     )
 
 
-def clipped(intervals: DataFrame, start: int | None = None, end: int | None = None, max_columns: int = 4096) -> DataFrame:
-    """Intervals inside columns [start, end] that retention (newest ``max_columns``) still holds."""
-    low = F.greatest(F.col("last_col") - max_columns + 1, F.lit(0 if start is None else start))
+def clipped(intervals: DataFrame, start: int | None = None, end: int | None = None, max_columns: int | None = None) -> DataFrame:
+    """Intervals inside columns [start, end]; of the newest ``max_columns`` only if a number is given."""
+    low = F.lit(0 if start is None else start).cast("long")
+    if max_columns is not None:
+        low = F.greatest(F.col("last_col") - max_columns + 1, low)
     high = F.least(F.col("last_col"), F.col("last_col") if end is None else F.lit(end))
     return intervals.withColumns(
         {"from_col": F.greatest("from_col", low), "to_col": F.least("to_col", high + 1)}
     ).where(F.col("from_col") < F.col("to_col"))
 
 
-def liquidity_heatmap(intervals: DataFrame, start: int | None = None, end: int | None = None, max_columns: int = 4096) -> DataFrame:
-    """Cells (column, side, price, size) of the asked columns."""
+def liquidity_heatmap(intervals: DataFrame, start: int | None = None, end: int | None = None, max_columns: int | None = None) -> DataFrame:
+    """Cells (column, side, price, size) of the asked columns, all of them by default."""
     cut = clipped(intervals, start, end, max_columns)
     return cut.select(
         S.KEY, F.explode(F.sequence(F.col("from_col"), F.col("to_col") - 1)).alias("col"), "side", "price_ticks", "size"
@@ -52,6 +54,7 @@ def liquidity_heatmap(intervals: DataFrame, start: int | None = None, end: int |
 
 
 def heatmap_retention(intervals: DataFrame, max_columns: int = 4096) -> DataFrame:
+    """What a display that keeps the newest ``max_columns`` columns still holds."""
     return clipped(intervals, max_columns=max_columns)
 
 
@@ -111,16 +114,20 @@ def default_window(mids: DataFrame) -> DataFrame:
 
 
 def heatmap_cells(
-    cells: DataFrame, scale: DataFrame, window: DataFrame, min_size: int = 1, mode: str = "absolute"
+    cells: DataFrame, scale: DataFrame, window: DataFrame, min_size: int = 1, mode: str = "absolute",
+    least_intensity: float = 0.0,
 ) -> DataFrame:
-    """Cells to draw: both sides merged, inside the price window, coloured by position around the middle."""
+    """Cells to draw: both sides merged, inside the price window, coloured by position around the middle.
+
+    Cells fainter than ``least_intensity`` are left out; by default none is.
+    """
     inside = cells.join(window, S.KEY).where((F.col("price_ticks") >= F.col("lo")) & (F.col("price_ticks") < F.col("hi")))
     merged = inside.groupBy(S.KEY, "col", "price_ticks").agg(F.sum("size").alias("size")).where(F.col("size") >= min_size)
     lit = merged.join(column_mid(cells, window), [S.KEY, "col"]).join(
         scale.select(S.KEY, F.col(mode).alias("_top")), S.KEY
     )
     return lit.withColumn("intensity", heatmap_intensity(F.col("size"), F.col("_top"), mode)).where(
-        F.col("intensity") > 0.012
+        F.col("intensity") >= least_intensity
     ).select(S.KEY, "col", "price_ticks", "size", (F.col("price_ticks") < F.col("mid")).alias("is_below"), "intensity")
 
 

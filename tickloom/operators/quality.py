@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -82,10 +85,14 @@ def is_valid_event() -> Column:
     )
 
 
-def parse_contract(df: DataFrame, col: str = "symbol") -> DataFrame:
-    """Root, month, year of symbols such as NQZ5, NQZ25, NQZ2025; NULL where not understood."""
+def parse_contract(df: DataFrame, col: str = "symbol", roots: Sequence[str] = ("NQ", "ES")) -> DataFrame:
+    """Root, month, year of symbols such as NQZ5, NQZ25, NQZ2025; NULL where not understood.
+
+    ``roots`` are those of the instrument dimension; the longest one that fits is taken.
+    """
     text = F.upper(F.trim(F.col(col)))
-    pattern = r"^(NQ|ES)([HMUZ])(\d{4}|\d{2}|\d)$"
+    known = "|".join(re.escape(r) for r in sorted(roots, key=len, reverse=True))
+    pattern = rf"^({known})([HMUZ])(\d{{4}}|\d{{2}}|\d)$"
     root, code, digits = (F.regexp_extract(text, pattern, i) for i in (1, 2, 3))
     year = digits.try_cast("int")
     month = F.coalesce(*[F.when(code == c, F.lit(m)) for c, m in QUARTER_MONTHS.items()])

@@ -63,5 +63,5 @@ def export_review(df: DataFrame, path: str, format: str = "csv") -> None:
     if "tags" in df.columns:
         flat = flat.withColumn("tags", F.concat_ws("|", "tags"))
     if "risk_reward" in df.columns:
-        flat = flat.withColumn("risk_reward", F.format_string("%.2f", "risk_reward")).withColumn("manual_unverified", F.lit(True))
+        flat = flat.withColumn("risk_reward", F.when(F.col("risk_reward").isNotNull(), F.format_string("%.2f", "risk_reward"))).withColumn("manual_unverified", F.lit(True))
     flat.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').csv(path)

@@ -44,8 +44,9 @@ def session_state(df: DataFrame, interval_us: int = 60_000_000) -> DataFrame:
 
 
 def session_digest(state: DataFrame) -> DataFrame:
-    """64-bit digest of each instrument's state."""
-    return state.select(S.KEY, F.xxhash64(*STATE).alias("digest"))
+    """MD5 of each instrument's state, its values in the order of STATE joined by ``|`` (null: empty)."""
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in STATE]
+    return state.select(S.KEY, F.md5(F.concat_ws("|", *parts)).alias("digest"))
 
 
 def verify_reproducible(df: DataFrame) -> DataFrame:
@@ -56,8 +57,13 @@ def verify_reproducible(df: DataFrame) -> DataFrame:
     return one.join(two, S.KEY, "full").withColumn("is_same", F.equal_null("digest", "second_digest"))
 
 
-def market_snapshot(df: DataFrame, at: int, bars: DataFrame, detections: DataFrame | None = None) -> dict[str, DataFrame]:
-    """The assembled view as of sequence ``at``; each part is planned only when used."""
+def market_snapshot(
+    df: DataFrame, at: int, bars: DataFrame, detections: DataFrame | None = None, prints: int = 100, rungs: int = 20,
+) -> dict[str, DataFrame]:
+    """The assembled view as of sequence ``at``; each part is planned only when used.
+
+    ``prints`` trades of the tape and ``rungs`` price steps around the market are shown.
+    """
     seen = df.where(F.col("seq") <= at)
     traded = trades_(seen)
     levels = book.book_levels_asof(seen)
@@ -66,12 +72,12 @@ def market_snapshot(df: DataFrame, at: int, bars: DataFrame, detections: DataFra
     parts = {
         "bars": bars.where(F.col("first_seq") <= at),
         "book": levels,
-        "dom": book.dom_ladder(levels, volume, area, 20),
+        "dom": book.dom_ladder(levels, volume, area, rungs),
         "profile": volume,
         "value_area": area,
         "cvd": traded.groupBy(S.KEY).agg(F.sum(flow.signed_quantity()).alias("cvd")),
         "vwap": flow.vwap_total(traded, [S.KEY]),
-        "tape": tape_view.time_and_sales(seen, 100),
+        "tape": tape_view.time_and_sales(seen, prints),
     }
     if detections is not None:
         parts["detections"] = detections.where(F.col("seq") <= at)

@@ -28,8 +28,8 @@ def as_recorded(df: DataFrame, venue: str = "CME") -> DataFrame:
     return placed.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in RECORDED])
 
 
-def record_session(df: DataFrame, path: str, max_records: int = 10_000, mode: str = "append") -> None:
-    """Write immutable parts of at most ``max_records`` events, in sequence order.
+def record_session(df: DataFrame, path: str, max_records: int = 2_000_000, mode: str = "append") -> None:
+    """Write immutable parts of at most ``max_records`` events (some 128 MB by default), in sequence order.
 
     A contract's day is spread over tasks by slices of its sequence, so a busy
     contract does not end up in one task.  The output committer publishes
@@ -59,8 +59,8 @@ def scan_session(
     return df
 
 
-def replay_range(df: DataFrame, start: Column, end: Column, closed: str = "both") -> DataFrame:
-    """Events from ``start`` to ``end``; the end counts unless ``closed='left'``.
+def replay_range(df: DataFrame, start: Column, end: Column, closed: str = "both", ordered: bool = False) -> DataFrame:
+    """Events from ``start`` to ``end``; the end counts unless ``closed='left'``. ``ordered`` sorts them for replay.
 
     The range is also put on the ``date`` partition (a trading date is at most
     three days after its events), so that other days are not listed or read.
@@ -68,7 +68,8 @@ def replay_range(df: DataFrame, start: Column, end: Column, closed: str = "both"
     if "date" in df.columns:
         df = df.where(F.col("date").between(F.date_sub(F.to_date(start), 2), F.date_add(F.to_date(end), 4)))
     upper = F.col("ts") <= end if closed == "both" else F.col("ts") < end
-    return df.where((F.col("ts") >= start) & upper)
+    kept = df.where((F.col("ts") >= start) & upper)
+    return kept.orderBy("ts", "seq", "instrument_id") if ordered else kept
 
 
 def historical_trades(df: DataFrame, contract: str, start: Column, end: Column) -> DataFrame:
