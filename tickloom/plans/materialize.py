@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,13 +31,13 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def write_table(df: DataFrame, path: str) -> None:
-    """Write ``df`` as Parquet; its shuffle files go as soon as it is written."""
-    spark = df.sparkSession
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of queries run inside go as each query ends."""
     before = spark.conf.get(CLEANUP_CONF, None)
     spark.conf.set(CLEANUP_CONF, "true")
     try:
-        df.write.parquet(path)
+        yield
     finally:
         if before is None:
             spark.conf.unset(CLEANUP_CONF)
@@ -43,6 +45,12 @@ def write_table(df: DataFrame, path: str) -> None:
             spark.conf.set(CLEANUP_CONF, before)
 
 
+def write_table(df: DataFrame, path: str) -> None:
+    """Write ``df`` as Parquet; its shuffle files go as soon as it is written."""
+    with shuffles_freed(df.sparkSession):
+        df.write.parquet(path)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet and read it back as a leaf of later plans.
 
