@@ -16,6 +16,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tickloom.plans.materialize import shuffles_freed
+
 ROWS = 2
 #: Counters of each row: 2^28, of which one bit each (64 MB in all) is sent to the tasks.
 CELLS = 1 << 28
@@ -108,7 +110,9 @@ def merged_sketch(block_rows: DataFrame, least: int, cells: int = CELLS) -> Sket
     per_row = cells // size
     merged = block_rows.repartition("block").mapInArrow(_merge, BLOCK_SCHEMA).select("block", "seen" if least == 1 else "again")
     bits = [np.zeros(cells // 8, np.uint8) for _ in range(ROWS)]
-    for block, packed in merged.toLocalIterator():
+    with shuffles_freed(block_rows.sparkSession):
+        found = merged.collect()
+    for block, packed in found:
         row, place = divmod(block, per_row)
         bits[row][place * size // 8: (place + 1) * size // 8] = np.frombuffer(zlib.decompress(packed), np.uint8)
     return Sketch(bits, cells)
