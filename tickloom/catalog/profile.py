@@ -16,13 +16,18 @@ levels AS (SELECT *, buy + sell AS total, buy - sell AS delta FROM profile)"""
 
 
 def area_sql(source: str, keys: str, weight: str, target: str) -> str:
-    """Step by step: the set of taken levels grows by the larger neighbour of the two ends."""
-    return f"""ranked AS (SELECT *, price_ticks - poc AS away, sign(price_ticks - poc) AS side,
-  min({weight}) OVER (PARTITION BY {keys}, sign(price_ticks - poc) ORDER BY abs(price_ticks - poc)) AS rank
-  FROM (SELECT *, first_value(price_ticks) OVER (PARTITION BY {keys} ORDER BY {weight} DESC, price_ticks DESC) AS poc FROM {source})),
-taken AS (SELECT *, coalesce(sum({weight}) OVER (PARTITION BY {keys} ORDER BY abs(side), rank DESC, side DESC, abs(away)
-  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before_ FROM ranked),
-area AS (SELECT {keys}, max(poc) AS poc, min(price_ticks) AS val, max(price_ticks) AS vah FROM taken WHERE side = 0 OR before_ < {target} GROUP BY {keys})"""
+    """The walk itself, level by level: from the point of control the larger of the two next levels is taken (the upper one on
+    a tie) until the target is reached."""
+    up, down = "a.i < len(up) AND (a.j >= len(down) OR up[a.i + 1] >= down[a.j + 1])", "a.j < len(down)"
+    return f"""marked AS (SELECT *, first_value(price_ticks) OVER (PARTITION BY {keys} ORDER BY {weight} DESC, price_ticks DESC) AS poc FROM {source}),
+ends_ AS (SELECT {keys}, poc, any_value({target}) AS goal, CAST(sum({weight}) FILTER (price_ticks = poc) AS BIGINT) AS own,
+  coalesce(list(CAST({weight} AS BIGINT) ORDER BY price_ticks) FILTER (price_ticks > poc), []) AS up, list(price_ticks ORDER BY price_ticks) FILTER (price_ticks > poc) AS up_prices,
+  coalesce(list(CAST({weight} AS BIGINT) ORDER BY price_ticks DESC) FILTER (price_ticks < poc), []) AS down, list(price_ticks ORDER BY price_ticks DESC) FILTER (price_ticks < poc) AS down_prices
+  FROM marked GROUP BY {keys}, poc),
+walked AS (SELECT *, list_reduce(range(len(up) + len(down)), lambda a, x: CASE WHEN a.s >= goal THEN a
+    WHEN {up} THEN {{'i': a.i + 1, 'j': a.j, 's': a.s + up[a.i + 1]}} WHEN {down} THEN {{'i': a.i, 'j': a.j + 1, 's': a.s + down[a.j + 1]}} ELSE a END,
+    {{'i': 0::BIGINT, 'j': 0::BIGINT, 's': own}}) AS w FROM ends_),
+area AS (SELECT {keys}, poc, CASE WHEN w.j > 0 THEN down_prices[w.j] ELSE poc END AS val, CASE WHEN w.i > 0 THEN up_prices[w.i] ELSE poc END AS vah FROM walked)"""
 
 
 AREA = ("shown AS (SELECT * FROM (SELECT *, ceil(sum(total + unknown) OVER (PARTITION BY instrument_id) * 0.7::DOUBLE) AS target FROM levels) WHERE total > 0),\n"
