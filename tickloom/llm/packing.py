@@ -48,16 +48,17 @@ class WordIds(dict):
 
     def text(self, data: bytes) -> bytes:
         words = data.split()
-        new = set(words).difference(self)
-        if not new:
-            return b"".join(map(self.__getitem__, words))
-        if len(self) + len(new) > MEMO_WORDS:
-            self.clear()
-            new = set(words)
-        fresh = list(new)
-        found = dict(zip(fresh, self.encode(fresh), strict=True))
-        self.update((w, ids) for w, ids in found.items() if len(w) <= MEMO_BYTES)
-        return b"".join(found[w] if w in found else self[w] for w in words)
+        fresh = [word for word in set(words) if word not in self]
+        if fresh:
+            if len(self) + len(fresh) > MEMO_WORDS:
+                self.clear()
+                fresh = list(set(words))
+            self.update(zip(fresh, self.encode(fresh), strict=True))
+        ids = b"".join(map(self.__getitem__, words))
+        for word in fresh:
+            if len(word) > MEMO_BYTES:
+                del self[word]
+        return ids
 
 
 @lru_cache(maxsize=2)
