@@ -9,6 +9,7 @@ padded. Tokens are those of a public vocabulary file, then one end token.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -37,6 +38,8 @@ class WordIds(dict):
     """
 
     def __init__(self, path: str):
+        # a task has one core; read by the library at each call
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         super().__init__()
