@@ -30,7 +30,7 @@ def test_top_k(spark, seed, blocks):
     rng = random.Random(seed)
     rows = [(i, [rng.gauss(0, 1) for _ in range(6)], 1, 2, "d") for i in range(400)]
     rows += [(1000 + i, list(rows[7][1]), 1, 2, "d") for i in range(40)]  # ties
-    rows += [(500, None, 1, 2, "d"), (501, [1.0, None, 1, 1, 1, 1], 1, 2, "d"), (502, [float("nan")] * 6, 1, 2, "d"), (503, [float("inf")] * 6, 1, 2, "d"),
+    rows += [(500, None, 1, 2, "d"), (501, [1.0, None, 1.0, 1.0, 1.0, 1.0], 1, 2, "d"), (502, [float("nan")] * 6, 1, 2, "d"), (503, [float("inf")] * 6, 1, 2, "d"),
              (504, [], 1, 2, "d"), (None, [9.0] * 6, 1, 2, "d"), (510, [1.0, 2.0], 1, 2, "d"), (511, [1.0, 3.0], 1, 2, "d"), (520, [1.0, 2.0, 3.0], 1, 2, "d"),
              (530, [-0.001] * 6, 1, 2, "d"), (540, [100_000.0] * 6, 1, 2, "d"), rows[0]]
     found = topk.top_k(spark.createDataFrame(rows, VECTORS).repartition(3), k=5, every=10, candidates=blocks[0], queries=blocks[1])

@@ -158,7 +158,8 @@ def _link_inside(radius: int):
         for group, signed in _groups(batches, ["mask", "key", "chunk"], ["print"]):
             shared = np.zeros(len(group), bool)
             same = group[1:] == group[:-1]
-            shared[1:], shared[:-1] = same, shared[:-1] | same
+            shared[1:] |= same
+            shared[:-1] |= same
             group, signed = group[shared], signed[shared]
             prints = signed.view(np.uint64)
             table, found, at, step = distance_table(prints), [], np.arange(len(group)), 1
