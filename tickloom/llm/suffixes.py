@@ -49,7 +49,7 @@ NO_ID = -(1 << 63)
 
 ANCHOR_SCHEMA = "id long, row_key long, first int, starts int, c1 long, c2 long, right long, left long"
 CONTEXT_SCHEMA = "c1 long, c2 long, ahead int, starts int, suffix binary, context binary"
-COMPARED_SCHEMA = "c1 long, c2 long, low int, high int, h1 long, h2 long"
+COMPARED_SCHEMA = "c1 long, c2 long, low int, high int, h1 array<long>, h2 array<long>"
 
 
 def sliding_least(keys: np.ndarray, width: int) -> np.ndarray:
@@ -194,10 +194,11 @@ def _intervals(which: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, np.nd
 
 def _compare(length: int, lead: int):
     """A bucket of suffixes: repeated starts found inside, and the starts of its outer runs."""
-    def rows(c1, c2, low=None, high=None, h1=None, h2=None) -> pa.RecordBatch:
-        n = len(c1)
-        parts = [pa.array(x, t) if x is not None else pa.nulls(n, t) for x, t in zip((c1, c2, low, high, h1, h2), (pa.int64(),) * 2 + (pa.int32(),) * 2 + (pa.int64(),) * 2, strict=True)]
-        return pa.RecordBatch.from_arrays(parts, names=["c1", "c2", "low", "high", "h1", "h2"])
+    def rows(c1: np.ndarray, c2: np.ndarray, **more: pa.Array) -> pa.RecordBatch:
+        columns = {"c1": pa.array(c1, pa.int64()), "c2": pa.array(c2, pa.int64())}
+        for name, kind in (("low", pa.int32()), ("high", pa.int32()), ("h1", pa.list_(pa.int64())), ("h2", pa.list_(pa.int64()))):
+            columns[name] = more[name].cast(kind) if name in more else pa.nulls(len(c1), kind)
+        return pa.RecordBatch.from_pydict(columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
@@ -222,16 +223,17 @@ def _compare(length: int, lead: int):
             repeated = np.zeros(len(by), bool)
             repeated[by[1:][same]] = repeated[by[:-1][same]] = True
             found, low, high = _intervals(which[repeated], offset[repeated])
-            yield rows(c1[part][found], c2[part][found], low.astype(np.int32), high.astype(np.int32))
-            # outer runs of the bucket
-            outer = np.zeros(len(which), bool)
+            yield rows(c1[part][found], c2[part][found], low=pa.array(low), high=pa.array(high))
+            # outer runs of the bucket: one row per context, with the hashes of all its starts
+            count = edges[b] - edges[a]
+            outer = np.zeros(count, bool)
             if a == 0:
-                outer |= which < edges[1]
+                outer[: edges[1]] = True
             if b == len(edges) - 1:
-                outer |= which >= edges[-2] - edges[a]
-            some = np.flatnonzero(outer)
-            if len(some):
-                yield rows(c1[part][which[some]], c2[part][which[some]], offset[some].astype(np.int32), None, h1[some].view(np.int64), h2[some].view(np.int64))
+                outer[edges[-2] - edges[a]:] = True
+            cuts = np.cumsum([0, *starts[part]]).astype(np.int32)
+            hashes = {n: pa.ListArray.from_arrays(pa.array(cuts), pa.array(h.view(np.int64))).filter(pa.array(outer)) for n, h in (("h1", h1), ("h2", h2))}
+            yield rows(c1[part][outer], c2[part][outer], **hashes)
             a = b
 
     return run
@@ -293,7 +295,9 @@ def repeated_starts(base: DataFrame, scratch: Scratch, length: int, lead: int, c
     ranged = contexts.repartitionByRange(buckets, F.substring("suffix", 1, lead), F.xxhash64("suffix"))
     compared = scratch.keep(ranged.mapInArrow(_compare(length, lead), COMPARED_SCHEMA), "compared")
     inside = compared.where("high IS NOT NULL").select("c1", "c2", "low", "high")
-    outer = compared.where("high IS NULL")
+    # dealt out by context: a token that many texts share fills a few neighbouring buckets
+    packed = compared.where("high IS NULL").repartition(buckets, "c1", "c2")
+    outer = packed.select("c1", "c2", F.posexplode(F.arrays_zip("h1", "h2")).alias("low", "h")).select("c1", "c2", "low", "h.h1", "h.h2")
     again = scratch.keep(outer.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "again")
     across = outer.join(again, ["h1", "h2"]).select("c1", "c2", "low", F.col("low").alias("high"))
     whole = distinct.where("n > 1").select("c1", "c2", F.lit(0).alias("low"), (F.col("starts") - 1).alias("high"))
