@@ -40,6 +40,18 @@ def ascii_lower(column: Column) -> Column:
     return F.translate(column, UPPER, LOWER)
 
 
+def hashed_sample(df: DataFrame, keys: list[str], rows: int, count: int) -> DataFrame:
+    """At most ``rows`` of the ``count`` rows of ``df``: those with the smallest hash of ``keys``.
+
+    Rows with a hash beyond any that can be chosen go first, so that partitions
+    send on about twice the sample together, however many they are.
+    """
+    at = F.xxhash64(*keys)
+    if count > 2 * rows:
+        df = df.where(at < F.lit(-(1 << 63) + int((1 << 64) * 2 * rows / count)).cast("long"))
+    return df.orderBy(at, *keys).limit(rows)
+
+
 def row_key(text: Column) -> Column:
     """Second half of a row's key beside its id: rows that share an id but not a text stay apart, repeated rows share a result."""
     return F.xxhash64(F.coalesce(text, F.lit("")))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.scratch import Scratch
+from tickloom.llm.scratch import Scratch, hashed_sample
 
 #: Labelled rows of each class learned from, at most (those with the smallest hash of the id).
 SAMPLE_ROWS = 20_000
@@ -233,8 +233,9 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, vo
     scratch = Scratch(docs.sparkSession, "toxicity")
     marked = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     marked = scratch.keep(marked, "marked")
-    by_hash = [F.xxhash64("_id"), F.col("_id")]
-    sample = marked.where("toxic = 1").orderBy(*by_hash).limit(sample_rows).union(marked.where("toxic = 0").orderBy(*by_hash).limit(sample_rows))
+    class_rows = dict(marked.groupBy("toxic").count().collect())
+    one, other = (hashed_sample(marked.where(F.col("toxic") == t), ["_id"], sample_rows, class_rows.get(t, 0)) for t in (1, 0))
+    sample = one.union(other)
     # at most 2 * sample_rows rows of two numbers
     chosen = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("_id"))
     texts = chosen.select("text", "toxic", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest")).dropDuplicates(["digest", "toxic"])
@@ -258,7 +259,6 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, vo
     model.rate = rate_of(np.full(len(hits), 1 / (2 + sum(r.size for r in clean))), hits, BACKGROUND)
     # maximum likelihood of the density, given the rate, from the best scores of clean texts
     model.density = len(clean) / max(1e-9, sum((r.size + 1) * math.exp(-model.rate * (r.scores[0] if r.scores else 0.0)) for r in clean))
-    class_rows = dict(marked.groupBy("toxic").count().collect())
     share = Counter(r.toxic for r in seen)
     x = np.array([model.excess([(0, 0, s) for s in r.scores], r.size) for r in seen])
     y = np.array([r.toxic for r in seen], float)

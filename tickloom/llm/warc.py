@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm.scratch import Scratch
+from tickloom.llm.scratch import Scratch, hashed_sample
 
 #: Fixed values of the formats: frame types, record version.
 DICTIONARY_FRAME, ZSTD_FRAME = 0x184D2A5D, b"\x28\xb5\x2f\xfd"
@@ -33,7 +33,7 @@ CRLF = b"\r\n"
 REVISIT_BYTES = 100
 #: Archive size at which a task starts the next one.
 ARCHIVE_BYTES = 256 << 20
-#: The dictionary is trained on at most this many payloads (those with the smallest digests), at most so many characters of each.
+#: The dictionary is trained on at most this many payloads (those with the smallest hashes), at most so many characters of each.
 SAMPLE_PAGES, SAMPLE_CHARS, DICTIONARY_BYTES = 400, 16_384, 64 << 10
 LEVEL, CHUNK = 3, 1 << 20
 DATE = "1970-01-01T00:00:00Z"
@@ -145,7 +145,8 @@ def write_archives(pages: DataFrame, folder: str, dictionary: bytes | None = Non
     html = F.coalesce("html", F.lit(""))
     base = pages.select(F.col("page_id").cast("long"), "url", html.alias("html"), F.octet_length(html).cast("long").alias("size"), F.sha2(html, 256).alias("digest"))
     if dictionary is None:
-        samples = base.where("size > 0").orderBy("digest", "page_id").limit(SAMPLE_PAGES).select(F.substring("html", 1, SAMPLE_CHARS).alias("html"))
+        some = base.where("size > 0").select("page_id", "digest", F.substring("html", 1, SAMPLE_CHARS).alias("html"))
+        samples = hashed_sample(some, ["page_id", "digest"], SAMPLE_PAGES, some.count())
         dictionary = train([row.html.encode() for row in samples.collect()])
     # combined before the shuffle, stored so that a payload that many pages share can be split in the join
     firsts = scratch.keep(
@@ -246,7 +247,8 @@ def _reader(with_payload: bool):
 def read_archives(spark: SparkSession, archives: DataFrame, with_payload: bool = True) -> DataFrame:
     """All records of the archives listed in ``archives`` (path), one row each; see RECORD_SCHEMA."""
     paths = archives.select("path").where("path IS NOT NULL")
-    return paths.repartition("path").mapInArrow(_reader(with_payload), RECORD_SCHEMA)
+    # a number of its own: Spark would read a list this short in one task
+    return paths.repartition(max(1, paths.count()), "path").mapInArrow(_reader(with_payload), RECORD_SCHEMA)
 
 
 def page_rows(records: DataFrame) -> DataFrame:
