@@ -14,6 +14,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import DataStreamWriter
 
+from tickloom.plans.materialize import remove_table
+
 Step = Callable[[DataFrame, dict[str, DataFrame] | None], tuple[DataFrame, dict[str, DataFrame]]]
 
 
@@ -42,6 +44,9 @@ def carried(stream: DataFrame, step: Step, path: str) -> DataStreamWriter:
             )
         finally:
             batch.unpersist()
+        # a retry of this batch reads the state before it; what is older has no reader left
+        for name in [*after, "names"]:
+            remove_table(spark, f"{path}/state/{name}/batch_id={batch_id - 2}")
 
     return stream.writeStream.foreachBatch(on_batch).option("checkpointLocation", f"{path}/checkpoint")
 

@@ -95,8 +95,14 @@ def stream_threshold_bars(stream: DataFrame, path: str, kind: str, size: int) ->
 SUMS = ["_cvd", "_v", "_pv", "_ppv"]
 
 
-def cvd_vwap_step() -> Step:
-    """Running delta and VWAP per trading date; only the latest date of an instrument is kept."""
+def cvd_vwap_step(keep_days: int = 7) -> Step:
+    """Running delta and VWAP per trading date.
+
+    The sums of every date within ``keep_days`` of an instrument's newest one
+    are kept, so that late trades of an earlier date go on from where it
+    stood. A trade older than that starts from nothing and is marked
+    ``is_too_late``.
+    """
 
     def step(batch, before):
         trades = b.trade_columns(batch).withColumn("trading_date", trading_date_of(F.col("ts_us")))
@@ -104,15 +110,19 @@ def cvd_vwap_step() -> Step:
         parts = {"_cvd": flow.signed_quantity(), **flow._sums()}
         run = running(trades, key, **{n: sum_(c) for n, c in parts.items()})
         totals = trades.groupBy(*key).agg(*[F.sum(c).alias(n) for n, c in parts.items()])
+        too_late = F.lit(False)
         if before:
             known = before["sums"]
             carry = known.select(*key, *[F.col(n).alias(f"_known{n}") for n in SUMS])
-            run = run.join(carry, key, "left")
+            newest = known.groupBy(S.KEY).agg(F.max("trading_date").alias("_newest"))
+            run = run.join(carry, key, "left").join(newest, S.KEY, "left")
+            too_late = F.coalesce(F.date_diff("_newest", "trading_date") > keep_days, F.lit(False))
             for n in SUMS:
                 run = run.withColumn(n, F.coalesce(F.col(n) + F.col(f"_known{n}"), F.col(n))).drop(f"_known{n}")
             totals = totals.unionByName(known).groupBy(*key).agg(*[F.sum(n).alias(n) for n in SUMS])
-        newest = totals.groupBy(S.KEY).agg(F.max("trading_date").alias("trading_date"))
-        kept = totals.join(newest, key, "left_semi").select(
+        run = run.withColumn("is_too_late", too_late).drop("_newest")
+        last = totals.groupBy(S.KEY).agg(F.max("trading_date").alias("_newest"))
+        kept = totals.join(last, S.KEY).where(F.date_diff("_newest", "trading_date") <= keep_days).select(
             *key, F.col("_cvd").cast("bigint").alias("_cvd"), F.col("_v").cast("bigint").alias("_v"),
             F.col("_pv").cast(flow.WIDE).alias("_pv"), F.col("_ppv").cast(flow.WIDE).alias("_ppv"),
         )
