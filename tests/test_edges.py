@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tests.test_fixtures import tape, trade_tape
 from tickloom.operators import bars as b
 from tickloom.operators import calendar, heatmap, quality, review
-from tickloom.plans import materialize as m
+from tickloom.plans.materialize import shared_folder
 from tickloom.streaming.steps import cvd_vwap_step
 
 DAY = 24 * 3600
@@ -80,7 +80,7 @@ def test_no_local_folder_on_a_cluster():
                 return Conf()
 
     with pytest.raises(ValueError, match="share"):
-        m.shared_folder(Cluster())
+        shared_folder(Cluster())
 
 
 def test_shipping(spark):
