@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm.components import connected_components
-from tickloom.llm.scratch import Scratch
+from tickloom.llm.scratch import Scratch, row_key
 
 WORDS, RADIUS, SEED = 4, 4, 42
 #: Fingerprints of one key that one task compares; larger groups are dealt out.
@@ -59,14 +59,15 @@ def _fingerprints(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints = [_signed(fingerprint((text.as_py() or "").encode().lower().split(), size)) for text in batch["text"]]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(prints, pa.int64())], names=["doc_id", "print"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["row_key"], pa.array(prints, pa.int64())], names=["doc_id", "row_key", "print"])
 
     return run
 
 
 def fingerprints(docs: DataFrame, size: int = WORDS) -> DataFrame:
-    """doc_id, print (the 64 bits as a signed number), a row per row of ``docs`` (doc_id, text)."""
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_fingerprints(size), "doc_id long, print long")
+    """doc_id, row_key, print (the 64 bits as a signed number), a row per row of ``docs`` (doc_id, text)."""
+    rows = docs.select(F.col("doc_id").cast("long"), row_key(F.col("text")).alias("row_key"), "text")
+    return rows.mapInArrow(_fingerprints(size), "doc_id long, row_key long, print long")
 
 
 def key_masks(radius: int, blocks: int) -> list[int]:
@@ -243,7 +244,7 @@ def link(prints: DataFrame, scratch: Scratch, radius: int = RADIUS, chunk: int =
 
 
 def near_duplicates(docs: DataFrame, size: int = WORDS, radius: int = RADIUS, chunk: int = CHUNK) -> DataFrame:
-    """Groups of near-duplicates among ``docs`` (doc_id, text): doc_id, print, component_id (smallest id reachable).
+    """Groups of near-duplicates among ``docs`` (doc_id, text): doc_id, row_key, print, component_id (smallest id reachable).
 
     Null and empty texts have fingerprint zero, which links like any other.
     Repeated rows give repeated results. A row without an id takes part in
@@ -258,7 +259,7 @@ def near_duplicates(docs: DataFrame, size: int = WORDS, radius: int = RADIUS, ch
     named = scratch.keep(rooted, "rooted")
     names = scratch.keep(named.groupBy("root").agg(F.min("first").alias("component_id")), "names")
     of_print = scratch.keep(named.join(names, "root").select("print", "component_id"), "components")
-    return marked.join(of_print, "print").select("doc_id", "print", "component_id")
+    return marked.join(of_print, "print").select("doc_id", "row_key", "print", "component_id")
 
 
 def hex_print(column: str) -> Column:
@@ -266,9 +267,12 @@ def hex_print(column: str) -> Column:
 
 
 def keep_first(docs: DataFrame, **how) -> DataFrame:
-    """``docs`` without near-duplicates: of every component the rows of its smallest id, once each; all columns stay.
+    """``docs`` without near-duplicates: of every component the document with its smallest id; all columns stay.
 
-    Rows without an id are kept only where their component has no id at all.
+    A repeated row stays repeated. Rows without an id are kept only where
+    their component has no id at all.
     """
-    found = near_duplicates(docs, **how).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_first")).distinct()
-    return docs.join(found, docs["doc_id"].cast("long").eqNullSafe(found["_first"]), "left_semi")
+    found = near_duplicates(docs, **how).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    first = found.select(F.col("doc_id").alias("_doc_id"), F.col("row_key").alias("_row_key")).distinct()
+    on = docs["doc_id"].cast("long").eqNullSafe(first["_doc_id"]) & (row_key(docs["text"]) == first["_row_key"])
+    return docs.join(first, on, "left_semi")
