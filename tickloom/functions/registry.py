@@ -8,6 +8,7 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import DataFrame, SparkSession
 
 from tickloom.operators import bars as b
+from tickloom.operators import detectors, flow, price_action, profile, tape_view
 from tickloom.operators import footprint as fp
 from tickloom.operators import indicators as i
 
@@ -80,21 +81,34 @@ def register_bars(name: str, build: Callable[[DataFrame, int], DataFrame]) -> No
     BARS[name] = build
 
 
-# Study codes with their group and state.
-STUDIES = {
-    "Volume & Profile": {"VBP": "Active", "VOL": "Active", "BAC": "EngineReady", "DP": "EngineReady",
-                         "TPO": "EngineReady", "VPS": "Planned", "VWAP": "EngineReady"},
-    "Order Flow & Tape": {"FP": "EngineReady", "IMB": "EngineReady", "CVD": "Active", "LT": "Active",
-                          "ICE": "Active", "SOT": "EngineReady", "SR": "Active"},
-    "Technical & Price Action": {"FVG": "EngineReady", "ORB": "EngineReady", "ADR": "EngineReady",
-                                 "MTF": "Planned", "AD": "EngineReady", "GAP": "EngineReady"},
-    "Technical Indicators": {c: "Active" for c in ("MA", "BB", "DC", "KC", "RSI", "MACD", "ADX", "ATR", "STOCH", "CCI", "ROC", "MOM")},
+# Study codes by group, with the operator that computes each; None would mean that there is none yet.
+STUDIES: dict[str, dict[str, Callable | None]] = {
+    "Volume & Profile": {
+        "VBP": profile.volume_profile, "VOL": b.bar_volume_strip, "BAC": profile.bid_ask_profile, "DP": profile.delta_profile,
+        "TPO": profile.tpo_profile, "VPS": profile.value_area, "VWAP": flow.vwap,
+    },
+    "Order Flow & Tape": {
+        "FP": fp.footprint_bar, "IMB": fp.imbalance_markers, "CVD": flow.cvd, "LT": detectors.large_trade, "ICE": detectors.iceberg,
+        "SOT": tape_view.tape_speed, "SR": detectors.stop_run,
+    },
+    "Technical & Price Action": {
+        "FVG": price_action.fair_value_gap, "ORB": price_action.opening_range_breakout, "ADR": price_action.average_daily_range,
+        "MTF": b.resample_bars, "AD": i.chaikin_ad, "GAP": price_action.session_gap,
+    },
+    "Technical Indicators": {
+        "MA": i.sma, "BB": i.bollinger, "DC": i.donchian, "KC": i.keltner, "RSI": i.rsi, "MACD": i.macd, "ADX": i.adx, "ATR": i.atr,
+        "STOCH": i.stochastic, "CCI": i.cci, "ROC": i.roc, "MOM": i.momentum,
+    },
 }
 
 
 def list_studies(spark: SparkSession) -> DataFrame:
-    rows = [(code, group, state) for group, codes in STUDIES.items() for code, state in codes.items()]
-    return spark.createDataFrame(rows, "code string, category string, status string")
+    """Every study with its operator and whether this engine has one."""
+    rows = [
+        (code, group, "available" if run else "missing", f"{run.__module__.rpartition('.')[2]}.{run.__name__}" if run else None)
+        for group, codes in STUDIES.items() for code, run in codes.items()
+    ]
+    return spark.createDataFrame(rows, "code string, category string, status string, operator string")
 
 
 @dataclass(frozen=True)

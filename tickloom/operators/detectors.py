@@ -224,7 +224,7 @@ def absorptions_of(windows: DataFrame, s: Absorption) -> DataFrame:
     total = F.col("buy") + F.col("sell")
     return _detection(
         fired, "Absorption", F.when(F.col("buy") >= F.col("sell"), "Bearish").otherwise("Bullish"),
-        F.format_string("Absorbed %d within %d ticks", total, F.col("move")),
+        F.format_string("%d traded while the price moved %d ticks", total, F.col("move")),
         {"totalVolume": total, "buyVolume": F.col("buy"), "sellVolume": F.col("sell"), "moveTicks": F.col("move")},
     )
 
@@ -246,7 +246,7 @@ def iceberg(df: DataFrame, s: Iceberg = Iceberg()) -> DataFrame:
     ).select(S.KEY, "price_ticks", "f.*")
     return _detection(
         fired, "Iceberg", _bias("Bearish", "Bullish"),
-        F.format_string("Possible iceberg: executed %d vs displayed %d", "executed", "displayed"),
+        F.format_string("%d executed against %d shown", "executed", "displayed"),
         {
             "executed": F.col("executed"), "maxDisplayed": F.col("displayed"),
             "ratio": F.col("executed") / F.col("displayed"),
@@ -292,7 +292,7 @@ def replenishments_of(windows: DataFrame, s: Replenishment) -> DataFrame:
     fired = counted.where(F.col("is_restore") & (F.col("restores") % s.times == 0))
     return _detection(
         fired, "Replenishment", F.when(F.col("type") == S.BID_UPDATE, "Bullish").otherwise("Bearish"),
-        F.lit(f"Level replenished {s.times}× within window"), {"size": F.col("size")},
+        F.lit(f"Refilled {s.times} times in its window"), {"size": F.col("size")},
     )
 
 
@@ -340,7 +340,7 @@ def stop_run(df: DataFrame, s: StopRun = StopRun(), seen: DataFrame | None = Non
     level = F.when(F.col("is_up"), F.col("swing_high")).otherwise(F.col("swing_low"))
     return _detection(
         fired, "Stop-Run", F.when(F.col("is_up"), "Bullish").otherwise("Bearish"),
-        F.concat(F.lit("Stop-run "), F.when(F.col("is_up"), "above swing high").otherwise("below swing low"), F.lit(" with volume burst")),
+        F.concat(F.lit("Burst through the swing "), F.when(F.col("is_up"), "high").otherwise("low")),
         {"swing": level, "breakTicks": F.abs(price - level), "shortVolume": F.col("short_volume"), "avgBurst": F.col("avg_burst")},
     )
 
