@@ -86,13 +86,14 @@ def checkpoints(spark, sf):
   list({{'price_ticks': price_ticks, 'size': size}} ORDER BY price_ticks) FILTER (side = 2) AS asks
   FROM (SELECT DISTINCT instrument_id, seq // {GRID} * {GRID} AS before_seq FROM rows) g JOIN intervals i ON i.instrument_id = g.instrument_id AND from_seq < before_seq AND (to_seq IS NULL OR to_seq >= before_seq)
   GROUP BY ALL""".replace("FILTER (side = 1) AS bids", "FILTER (side = 1) AS b0").replace("FILTER (side = 2) AS asks", "FILTER (side = 2) AS a0").join(
-      ["SELECT instrument_id, before_seq, len(coalesce(b0, [])) AS n_bids, len(coalesce(a0, [])) AS n_asks, b0[1].price_ticks AS top_bid, a0[1].price_ticks AS top_ask, a0[1].size AS top_ask_size FROM (", ")"]), DISTURBED))
+      ["SELECT instrument_id, before_seq, len(coalesce(b0, [])) AS n_bids, len(coalesce(a0, [])) AS n_asks, b0[1].price_ticks AS top_bid, a0[1].price_ticks AS top_ask, a0[1].size AS top_ask_size, md5(coalesce(array_to_string(list_transform(b0, lambda x: x.price_ticks || ':' || x.size), ','), '')) AS bids_md5, md5(coalesce(array_to_string(list_transform(a0, lambda x: x.price_ticks || ':' || x.size), ','), '')) AS asks_md5 FROM (", ")"]), DISTURBED))
 def _(spark, sf):
     out = checkpoints(spark, sf)
     return out.select(
         "instrument_id", "before_seq", F.size("bids").cast("long").alias("n_bids"), F.size("asks").cast("long").alias("n_asks"),
         F.get("bids", F.lit(0))["price_ticks"].alias("top_bid"), F.get("asks", F.lit(0))["price_ticks"].alias("top_ask"),
         F.get("asks", F.lit(0))["size"].alias("top_ask_size"),
+        *[F.md5(F.array_join(F.transform(side, lambda x: F.concat_ws(":", x["price_ticks"].cast("string"), x["size"].cast("string"))), ",")).alias(f"{side}_md5") for side in ("bids", "asks")],
     )
 
 

@@ -203,6 +203,32 @@ def _(spark, sf):
     return out.withColumns({"intensity": F.round("intensity", 6), "background": F.round("background", 6)})
 
 
+#: Every cell mode with a background, and what they show.
+MODES = [
+    ("bid_ask", "bid", "total", "bid"), ("delta", "ask", "abs(delta)", "ask"), ("total", "total", "total", "total"), ("volume_profile", "delta", "total", "abs(delta)"),
+    ("bid_only", "abs_delta", "bid", "abs(delta)"), ("ask_only", "delta_percent", "ask", "abs(delta_percent)"), ("delta_percent", "trade_count", "abs(delta_percent)", "trades"), ("trade_count", "none", "trades", "0"),
+]
+
+
+def _mode_sql(mode: str, metric: str, magnitude: str) -> str:
+    def scaled(value: str) -> str:
+        return f"CASE WHEN {value} <= 0 THEN 0 ELSE least(1, sqrt(CAST({value} AS DOUBLE)) / sqrt(CAST(greatest(1, max({value}) OVER w) AS DOUBLE))) END"
+
+    return f"""SELECT '{mode}' AS mode, {BARKEY}, price_ticks, round(CAST({metric} AS DOUBLE), 6) AS metric, round({scaled(metric)}, 6) AS intensity,
+  round({scaled(magnitude)}, 6) AS background FROM pub WINDOW w AS (PARTITION BY {BARKEY})"""
+
+
+@query("cell_modes", with_fast(" UNION ALL ".join(_mode_sql(mode, metric, magnitude) for mode, _, metric, magnitude in MODES), BARS, LV))
+def _(spark, sf):
+    """All cell modes and backgrounds, scaled by square roots."""
+    out = None
+    for mode, background, _, _ in MODES:
+        cells = fp.cell_intensity(levels(spark, sf), mode, background, "sqrt")
+        one = cells.select(F.lit(mode).alias("mode"), *fp.BAR, "price_ticks", *[F.round(x, 6).alias(x) for x in ("metric", "intensity", "background")])
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query("large_prints_by_percentile", with_fast(f"""SELECT {BARKEY}, price_ticks, max_print FROM pub JOIN (SELECT instrument_id, min(quantity) FILTER (r >= ceil(0.99::DOUBLE * n)) AS lim FROM
   (SELECT *, row_number() OVER (PARTITION BY instrument_id ORDER BY quantity) AS r, count(*) OVER (PARTITION BY instrument_id) AS n FROM assigned) GROUP BY 1) USING (instrument_id) WHERE max_print >= lim""", BARS, LV))
 def _(spark, sf):
