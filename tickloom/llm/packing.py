@@ -46,8 +46,14 @@ class WordIds(dict):
         self.tokenizer = Tokenizer.from_file(path)
 
     def encode(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each word, from one text of all of them; a token belongs to the word in which it starts."""
         texts = [word.decode("utf-8", "replace") for word in words]
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        found = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
+        begins = np.cumsum([0, *(len(t) + 1 for t in texts[:-1])])
+        owner = np.searchsorted(begins, np.array([start for start, _ in found.offsets], np.int64), "right") - 1
+        cuts = np.cumsum([0, *np.bincount(owner, minlength=len(texts))]) * 4
+        ids = np.array(found.ids, "<u4").tobytes()
+        return [ids[i:j] for i, j in zip(cuts.tolist(), cuts[1:].tolist(), strict=False)]
 
     def text(self, data: bytes) -> bytes:
         words = data.split()
