@@ -2,7 +2,7 @@
 
 1. Every task sketches the hashes of its windows; the merged sketch, of fixed
    size, overestimates how often a window occurs.
-2. Windows estimated to occur again are grouped exactly (128-bit hashes) to
+2. Windows estimated to occur again are grouped exactly (96-bit hashes) to
    the smallest document that starts them. Windows estimated once are unique.
 3. A second sketch, of the windows found in several documents, picks the
    windows that are joined with their smallest document.
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm.rolling import text_runs, word_windows
-from tickloom.llm.scratch import Scratch, row_key, same_row
+from tickloom.llm.scratch import Scratch, same_row
 from tickloom.llm.sketch import BLOCK_SCHEMA, CELLS, Sketch, merged_sketch, sketch_batches
 
 WIDTH = 13
@@ -59,7 +59,7 @@ def _candidates(width: int, sketch, with_place: bool):
                 text, place, h1, h2 = word_windows(data, offsets, width)
                 keep = np.flatnonzero(known.passes(h1))
                 text, place, h1, h2 = rows[text[keep]], place[keep], h1[keep], h2[keep]
-                columns = {"h1": h1.view(np.int64), "h2": h2.view(np.int64), "doc_id": ids[text]}
+                columns = {"h1": h1.view(np.int64), "h2": (h2 >> np.uint64(32)).astype(np.uint32).view(np.int32), "doc_id": ids[text]}
                 if with_place:
                     columns |= {"row_key": keys[text], "place": place.astype(np.int32)}
                 yield pa.RecordBatch.from_pydict({n: pa.array(c) for n, c in columns.items()})
@@ -104,15 +104,16 @@ def deduplicate(docs: DataFrame, width: int = WIDTH, cells: int = CELLS, with_te
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "windows")
-    base = docs.select(F.col("doc_id").cast("long"), row_key(F.col("text")).alias("row_key"), "text")
+    # the key only tells texts of one id apart, so a short one does
+    base = docs.select(F.col("doc_id").cast("long"), F.hash(F.coalesce("text", F.lit(""))).alias("row_key"), "text")
     known = base.where("doc_id IS NOT NULL")
     estimate = spark.sparkContext.broadcast(merged_sketch(known.select("text").mapInArrow(_sketches(width, cells), BLOCK_SCHEMA), 2, cells))
-    maybe = known.mapInArrow(_candidates(width, estimate, False), "h1 long, h2 long, doc_id long")
+    maybe = known.mapInArrow(_candidates(width, estimate, False), "h1 long, h2 int, doc_id long")
     exact = maybe.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
     repeated = scratch.keep(exact, "repeated")
     estimate.destroy()
     chosen = spark.sparkContext.broadcast(merged_sketch(repeated.select("h1").mapInArrow(_stored_sketch(cells), BLOCK_SCHEMA), 1, cells))
-    placed = known.mapInArrow(_candidates(width, chosen, True), "h1 long, h2 long, doc_id long, row_key long, place int")
+    placed = known.mapInArrow(_candidates(width, chosen, True), "h1 long, h2 int, doc_id long, row_key int, place int")
     # the repeated windows are stored, so that Spark may split a window that many documents hold
     later = placed.join(repeated, ["h1", "h2"]).where("doc_id > first").select("doc_id", "row_key", "place")
     places = scratch.keep(later.groupBy("doc_id", "row_key").agg(F.collect_list("place").alias("places")), "places")
