@@ -11,9 +11,13 @@ as "Released under the MIT License." inside prose is a line of its own).
 
 from __future__ import annotations
 
+import re
+import textwrap
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tickloom.llm.license_texts import LONG, SHORT
 from tickloom.llm.scratch import ascii_lower, row_key, same_row
 
 #: Known texts may be broadcast up to this many rows (one digest and a name each).
@@ -33,7 +37,7 @@ SPELLINGS = (
     (" gnu gpl ", " gnu general public license "), (" v ", " version "), (" v1", " version 1"), (" v2", " version 2"), (" v3", " version 3"), (" v4", " version 4"),
 )
 #: Short notices and texts of public licences.
-KNOWN = (
+NOTICES = (
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
@@ -47,6 +51,48 @@ KNOWN = (
     ("BSD-3-Clause", "Released under the BSD 3-Clause License."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
 )
+#: Title lines in use over the small texts, which also stand without one.
+TITLES = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)", "MIT"),
+    "ISC": ("ISC License", "The ISC License", "ISC License (ISC)", "The ISC License (ISC)", "ISC"),
+    "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD", "BSD 0-Clause License", "0BSD"),
+    "BSD-2-Clause": (
+        "BSD 2-Clause License", "The BSD 2-Clause License", "The 2-Clause BSD License", "BSD License", "The BSD License",
+        "BSD 2-Clause \"Simplified\" License", "Simplified BSD License", "BSD-2-Clause",
+    ),
+    "BSD-3-Clause": (
+        "BSD 3-Clause License", "The BSD 3-Clause License", "The 3-Clause BSD License", "BSD License", "The BSD License",
+        "BSD 3-Clause \"New\" or \"Revised\" License", "New BSD License", "BSD-3-Clause",
+    ),
+    "Zlib": ("zlib License", "The zlib License"),
+    "BSL-1.0": ("Boost Software License - Version 1.0 - August 17th, 2003", "Boost Software License 1.0", "BSL-1.0"),
+    "Unlicense": ("The Unlicense", "Unlicense"),
+}
+#: Widths small texts are wrapped at. A break right before the word "copyright" makes the rest of
+#: that line a copyright line, so that each width at which one falls there is a form of its own.
+WIDTHS = range(40, 121)
+
+
+def _forms(body: str) -> list[str]:
+    """The text with one line per paragraph, and wrapped wherever that changes what is left of it."""
+    out = {}
+    for width in (len(body), *WIDTHS):
+        wrapped = "\n\n".join(textwrap.fill(p, width, break_long_words=False, break_on_hyphens=False) for p in body.split("\n\n"))
+        out.setdefault(" ".join(re.sub("(?im)" + COPYRIGHT_LINE, "", wrapped).split()), wrapped)
+    return list(out.values())
+
+
+def _texts() -> list[tuple[str, str]]:
+    """Whole texts with and without their titles."""
+    small = [x for x in NOTICES if x[0] in TITLES and "\n\n" in x[1]] + list(SHORT)
+    out = [
+        (name, f"{title}\n\n{form}" if title else form)
+        for name, body in small for form in _forms(body) for title in ("", *TITLES[name])
+    ]
+    return out + [(name, text) for name, title, body in LONG for text in (f"{title}\n\n{body}", body)]
+
+
+KNOWN = tuple(dict.fromkeys((*NOTICES, *_texts())))
 
 
 def canonical_lines(text: Column) -> Column:
