@@ -139,38 +139,48 @@ def stream_cvd_vwap(stream: DataFrame, path: str) -> DataStreamWriter:
 CONTEXT = ["instrument_id", "seq", "ts_us", "type", "price_ticks", "quantity", "aggressor"]
 
 
-def _open_rows(windows: DataFrame, key: Sequence[str], window: str) -> DataFrame:
-    """Rows of the window each key is still in."""
-    last = windows.groupBy(*key).agg(F.max(window).alias(window))
-    return windows.join(last, [*key, window], "left_semi")
+def _unsettled(windows: DataFrame, key: Sequence[str], window: str, settled: DataFrame) -> DataFrame:
+    """Rows of the window that each key's last settled row is in, and all rows after it."""
+    last = windows.join(settled, S.KEY).where(F.col("seq") <= F.col("last_seq")).groupBy(*key).agg(F.max(window).alias("_from"))
+    return windows.join(last, [*key], "left").where(F.col("_from").isNull() | (F.col(window) >= F.col("_from"))).drop("_from")
 
 
-def _recent(rows: DataFrame, width_us: int) -> DataFrame:
-    end = rows.groupBy(S.KEY).agg(F.max("ts_us").alias("_end"))
-    return rows.join(end, S.KEY).where(F.col("ts_us") >= F.col("_end") - width_us).drop("_end")
+def _recent(rows: DataFrame, width_us: int, settled: DataFrame) -> DataFrame:
+    """Rows that look-backs of ``width_us`` from the last settled row on can reach."""
+    near = F.col("last_us").isNull() | (F.col("ts_us") >= F.col("last_us") - width_us)
+    return rows.join(settled, S.KEY, "left").where(near).drop("last_seq", "last_us")
 
 
-def detectors_step(settings: dict[str, object] | None = None) -> Step:
+def detectors_step(settings: dict[str, object] | None = None, lateness_us: int = 10_000_000) -> Step:
     """Sweep, absorption, replenishment, stop-run and regime.
 
-    State holds the rows of windows still open, those inside the sliding
-    look-backs, which levels are empty, and the last stop-run of each instrument.
+    Rows more than ``lateness_us`` older than an instrument's newest one are
+    settled. State holds the rows after the last settled one, the rows of the
+    windows and sliding look-backs it is in, which levels are empty, the last
+    settled stop-run and the detections told since. Late rows thus meet the
+    rows around them: detections they bring about come out, and one told
+    earlier that no longer holds comes out again as ``is_withdrawn``. A row at
+    or before the last settled one comes out as ``Too Late``, ``is_too_late``.
     """
     s = {name: e.settings for name, e in d.DETECTORS.items()} | (settings or {})
 
     def step(batch, before):
         rows = _clock(batch).select(*CONTEXT)
         trade = (F.col("type") == S.TRADE) & (F.col("quantity") > 0)
-        seen = before["seen"] if before else None
+        known = before["settled"] if before else None
+        seen = known.select(S.KEY, "last_seq") if before else None
+        late = None
+        if before:
+            placed = rows.join(seen, S.KEY, "left")
+            is_late = F.coalesce(F.col("seq") <= F.col("last_seq"), F.lit(False))
+            late, rows = placed.where(is_late).drop("last_seq"), placed.where(~is_late).drop("last_seq")
 
         def with_state(name: str, keep: Column | None = None) -> DataFrame:
             own = rows if keep is None else rows.where(keep)
             return own.unionByName(before[name].select(*CONTEXT)) if before else own
 
-        def news(found: DataFrame) -> DataFrame:
-            if seen is None:
-                return found
-            return found.join(seen, S.KEY, "left").where(F.col("seq") > F.coalesce("last_seq", F.lit(-1))).drop("last_seq")
+        def after(found: DataFrame, place: DataFrame) -> DataFrame:
+            return found.join(place.select(S.KEY, "last_seq"), S.KEY, "left").where(F.col("seq") > F.coalesce("last_seq", F.lit(-1))).drop("last_seq")
 
         def restored(windows: DataFrame) -> DataFrame:
             return windows.withColumn("type", F.lit(S.TRADE)).select(*CONTEXT)
@@ -185,48 +195,74 @@ def detectors_step(settings: dict[str, object] | None = None) -> Step:
         stop_rows = with_state("stop", trade)
         stops = materialize(d.stop_run(stop_rows, s["Stop-Run"], seen, before["fires"] if before else None), "stream-stops")
         events = with_state("regime")
-        found = [
-            news(d.sweeps_of(runs, s["Sweep"])), news(d.absorptions_of(bands, s["Absorption"])),
-            news(d.replenishments_of(levels, s["Replenishment"])), stops, news(d.market_regime(events, s["Market Regime"])),
-        ]
-        out = found[0]
-        for one in found[1:]:
-            out = out.unionByName(one)
-
-        open_levels = _open_rows(levels, d.QUOTED, "window_id")
+        found = d.sweeps_of(runs, s["Sweep"])
+        for one in (
+            d.absorptions_of(bands, s["Absorption"]), d.replenishments_of(levels, s["Replenishment"]), stops,
+            d.market_regime(events, s["Market Regime"]),
+        ):
+            found = found.unionByName(one)
+        found = found.withColumn("_told", F.to_json("measurements"))
+        found = materialize(after(found, known) if before else found, "stream-found")
+        out = found
+        if before:
+            same = [S.KEY, "detector", "seq", "price_ticks", "bias", "text", "_told"]
+            out = found.join(before["told"], same, "left_anti").withColumn("is_withdrawn", F.lit(False)).unionByName(
+                before["told"].join(found, same, "left_anti").withColumn("is_withdrawn", F.lit(True))
+            )
+        else:
+            out = out.withColumn("is_withdrawn", F.lit(False))
+        out = out.drop("_told").withColumn("is_too_late", F.lit(False))
+        if before:
+            unplaced = d._detection(late, "Too Late", F.lit("None"), F.lit("Older than the history kept"), {"quantity": F.col("quantity")})
+            out = out.unionByName(unplaced.withColumns({"is_withdrawn": F.lit(False), "is_too_late": F.lit(True)}))
+
+        newest = events.groupBy(S.KEY).agg(F.max("ts_us").alias("_end"))
+        settled = events.join(newest, S.KEY).where(F.col("ts_us") < F.col("_end") - lateness_us).groupBy(S.KEY).agg(
+            F.max(F.struct("seq", "ts_us")).alias("r")
+        ).select(S.KEY, F.col("r.seq").alias("last_seq"), F.col("r.ts_us").alias("last_us"))
+        if before:
+            # the rows that come in may leave an instrument as it is
+            settled = settled.unionByName(known).groupBy(S.KEY).agg(F.max("last_seq").alias("last_seq"), F.max("last_us").alias("last_us"))
+        settled = materialize(settled, "stream-settled")
+
+        open_levels = _unsettled(levels, d.QUOTED, "window_id", settled)
         first_open = open_levels.groupBy(*d.QUOTED).agg(F.min("seq").alias("_first"))
         signal = F.when(F.col("size") == 0, True).when(F.col("size") >= s["Replenishment"].min_size, False)
         earlier = levels.join(first_open, d.QUOTED).where(F.col("seq") < F.col("_first"))
         flags = earlier.where(signal.isNotNull()).groupBy(*d.QUOTED).agg(F.max_by(signal, "seq").alias("_empty"))
-        fires = stops.groupBy(S.KEY).agg(
+        fires = stops.join(settled, S.KEY).where(F.col("seq") <= F.col("last_seq")).groupBy(S.KEY).agg(
             F.max(F.struct("seq", F.unix_micros("ts").alias("us"))).alias("f")
         ).select(S.KEY, F.array("f.seq", "f.us").alias("_initial"))
-        last_seq = rows.groupBy(S.KEY).agg(F.max("seq").alias("last_seq"))
         if before:
             # a level still in its first window of this batch keeps the flag it came with
             flags = flags.unionByName(before["empty"].join(flags, d.QUOTED, "left_anti"))
             fires = fires.unionByName(before["fires"].join(fires, S.KEY, "left_anti"))
-            last_seq = last_seq.unionByName(seen).groupBy(S.KEY).agg(F.max("last_seq").alias("last_seq"))
-        latest = events.groupBy(S.KEY, "type").agg(F.max(F.struct("seq", *[c for c in CONTEXT if c not in (S.KEY, "seq", "type")])).alias("r"))
+        regime = _recent(events, s["Market Regime"].window_us, settled)
+        # what stood before the look-back: the newest row of each type that is not in it
+        others = events.join(regime.select(S.KEY, "seq"), [S.KEY, "seq"], "left_anti")
+        latest = others.groupBy(S.KEY, "type").agg(F.max(F.struct("seq", *[c for c in CONTEXT if c not in (S.KEY, "seq", "type")])).alias("r"))
         latest = latest.select(S.KEY, "type", "r.*").select(*CONTEXT)
         return out, {
-            "sweep": restored(_open_rows(runs, [S.KEY], "run_id")),
-            "absorption": restored(_open_rows(bands, [S.KEY], "window_id")),
+            "sweep": restored(_unsettled(runs, [S.KEY], "run_id", settled)),
+            "absorption": restored(_unsettled(bands, [S.KEY], "window_id", settled)),
             "replenishment": open_levels.select(
                 S.KEY, "seq", "ts_us", "type", "price_ticks", F.col("size").alias("quantity"), F.lit(0).alias("aggressor")
             ),
             "empty": flags,
-            "stop": _recent(stop_rows, s["Stop-Run"].lookback_us),
+            "stop": _recent(stop_rows, s["Stop-Run"].lookback_us, settled),
             "fires": fires,
-            "regime": _recent(events, s["Market Regime"].window_us).unionByName(latest).dropDuplicates([S.KEY, "seq"]),
-            "seen": last_seq,
+            "regime": regime.unionByName(latest),
+            "settled": settled,
+            "told": after(found, settled),
         }
 
     return step
 
 
-def stream_detectors(stream: DataFrame, path: str, settings: dict[str, object] | None = None) -> DataStreamWriter:
-    return carried(stream, detectors_step(settings), path)
+def stream_detectors(
+    stream: DataFrame, path: str, settings: dict[str, object] | None = None, lateness_us: int = 10_000_000
+) -> DataStreamWriter:
+    return carried(stream, detectors_step(settings, lateness_us), path)
 
 
 def stream_isolate_faults(stream: DataFrame, path: str) -> DataStreamWriter:
