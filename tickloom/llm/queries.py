@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import decontaminate, licenses, packing, secrets, simhash, suffixes, topk, toxicity, warc, window_dedup
+from tickloom.llm import decontaminate, fim, licenses, packing, resampling, secrets, simhash, suffixes, topk, toxicity, warc, window_dedup
 from tickloom.llm.scratch import Scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -144,6 +144,16 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_print("print").alias("fingerprint"), "component_id")
 
 
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents drawn towards the benchmark's words."""
+    found = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digest_columns(fim.transform(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Query] = {
     "op1_licenses": op1_licenses,
     "op2_toxicity": op2_toxicity,
@@ -155,6 +165,8 @@ QUERIES: dict[str, Query] = {
     "op8_secrets": op8_secrets,
     "op9_packing": op9_packing,
     "op10_simhash": op10_simhash,
+    "op12_importance_resampling": op12_importance_resampling,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 #: The others (a learned score, bytes at every place, token ids, XXH64) have no DuckDB form; ``tests/llm`` has brute force or
 #: held-out accuracy for them.
@@ -165,4 +177,6 @@ ORACLES: dict[str, str] = {
     "op5_warc": OP5_SQL,
     "op7_decontamination": OP7_SQL,
     "op8_secrets": _op8_sql(),
+    "op12_importance_resampling": resampling.oracle_sql(),
+    "op13_fill_in_middle": fim.oracle_sql(),
 }

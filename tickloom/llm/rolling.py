@@ -53,7 +53,7 @@ def spans(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) ->
     return (sums[ends] - sums[starts]) * down[starts]
 
 
-def text_runs(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def text_runs(batch: pa.RecordBatch, column: str = "text", run_bytes: int = RUN_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Runs of rows: (row numbers, UTF-8 bytes of the run, offsets of its texts). Null texts are empty."""
     array = batch[column]
     array = array.cast(pa.large_string()) if not pa.types.is_large_string(array.type) else array
@@ -67,7 +67,7 @@ def text_runs(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[np.
     values = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     first = 0
     while first < n:
-        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + RUN_BYTES, "right")) - 1)
+        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + run_bytes, "right")) - 1)
         last = min(last, n)
         yield np.arange(first, last), values[offsets[first]: offsets[last]], offsets[first: last + 1] - offsets[first]
         first = last
