@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import decontaminate, fim, licenses, packing, resampling, secrets, simhash, suffixes, topk, toxicity, warc, window_dedup
+from tickloom.llm import decontaminate, fim, licenses, packing, quality, resampling, secrets, simhash, suffixes, topk, toxicity, warc, window_dedup
 from tickloom.llm.scratch import Scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -144,6 +144,12 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_print("print").alias("fingerprint"), "component_id")
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = quality.score(docs, quality.learn(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents drawn towards the benchmark's words."""
     found = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -165,6 +171,7 @@ QUERIES: dict[str, Query] = {
     "op8_secrets": op8_secrets,
     "op9_packing": op9_packing,
     "op10_simhash": op10_simhash,
+    "op11_quality": op11_quality,
     "op12_importance_resampling": op12_importance_resampling,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
