@@ -2,7 +2,8 @@
 
 A text is canonicalised with built-in functions only: letters folded, lines
 that only state a copyright dropped, punctuation and white space reduced to
-single spaces, spelling variants made equal. Its SHA-256 is then an exact
+single spaces, spelling variants made equal; of a whole text also its title and
+what follows the end of the terms are dropped. Its SHA-256 is then an exact
 lookup key, so the scan is a hash join whatever the number of licences.
 
 Two units are looked up: the whole text, and each of its lines (a notice such
@@ -12,19 +13,21 @@ as "Released under the MIT License." inside prose is a line of its own).
 from __future__ import annotations
 
 import re
-import textwrap
+from importlib.resources import files
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm.license_texts import LONG, SHORT
-from tickloom.llm.scratch import ascii_lower, row_key, same_row
+from tickloom.llm.scratch import Scratch, ascii_lower, row_key, same_row
 
 #: Known texts may be broadcast up to this many rows (one digest and a name each).
 BROADCAST_ROWS = 100_000
 
-#: Lines that only state a copyright. Applied per line, after folding; only the line feed ends a line.
-COPYRIGHT_LINE = r"^[\x20\t#*/;-]*(?:copyright[\x20:,]|\(c\)|©|all rights reserved)[^\n]*$"
+#: Lines that only state a copyright: the word or the sign with a year or another sign behind it, or the reservation alone.
+#: Applied per line, after folding; only the line feed ends a line.
+COPYRIGHT_LINE = (
+    r"^[\x20\t#*/;-]*(?:copyright[\x20:,]*(?:\(c\)|©|[12][0-9]{3})[^\n]*|(?:\(c\)|©)[\x20:,]*[12][0-9]{3}[^\n]*|all rights reserved[.\x20\t]*)$"
+)
 #: What counts as punctuation: ASCII other than letters, digits and the line feed, and common typographic marks.
 PUNCTUATION = r"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F«»‘’“”–—…]+"
 #: Equivalent spellings (variant, canonical), whole words, applied in this order.
@@ -34,14 +37,12 @@ SPELLINGS = (
     (" organisation", " organization"), (" recognised", " recognized"), (" favour", " favor"),
     (" behaviour", " behavior"), (" fulfil ", " fulfill "), (" per cent", " percent"),
     (" copyright owner", " copyright holder"), (" cc by ", " creative commons attribution "),
-    (" gnu gpl ", " gnu general public license "), (" v ", " version "), (" v1", " version 1"), (" v2", " version 2"), (" v3", " version 3"), (" v4", " version 4"),
+    (" gnu gpl ", " gnu general public license "), (" https ", " http "), (" v ", " version "), (" v1", " version 1"), (" v2", " version 2"), (" v3", " version 3"), (" v4", " version 4"),
 )
 #: Short notices and texts of public licences.
 NOTICES = (
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
-    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at\n\nhttp://www.apache.org/licenses/LICENSE-2.0\n\nUnless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
@@ -51,48 +52,44 @@ NOTICES = (
     ("BSD-3-Clause", "Released under the BSD 3-Clause License."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
 )
-#: Title lines in use over the small texts, which also stand without one.
-TITLES = {
-    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)", "MIT"),
-    "ISC": ("ISC License", "The ISC License", "ISC License (ISC)", "The ISC License (ISC)", "ISC"),
-    "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD", "BSD 0-Clause License", "0BSD"),
-    "BSD-2-Clause": (
-        "BSD 2-Clause License", "The BSD 2-Clause License", "The 2-Clause BSD License", "BSD License", "The BSD License",
-        "BSD 2-Clause \"Simplified\" License", "Simplified BSD License", "BSD-2-Clause",
-    ),
-    "BSD-3-Clause": (
-        "BSD 3-Clause License", "The BSD 3-Clause License", "The 3-Clause BSD License", "BSD License", "The BSD License",
-        "BSD 3-Clause \"New\" or \"Revised\" License", "New BSD License", "BSD-3-Clause",
-    ),
-    "Zlib": ("zlib License", "The zlib License"),
-    "BSL-1.0": ("Boost Software License - Version 1.0 - August 17th, 2003", "Boost Software License 1.0", "BSL-1.0"),
-    "Unlicense": ("The Unlicense", "Unlicense"),
-}
-#: Widths small texts are wrapped at. A break right before the word "copyright" makes the rest of
-#: that line a copyright line, so that each width at which one falls there is a form of its own.
-WIDTHS = range(40, 121)
-
-
-def _forms(body: str) -> list[str]:
-    """The text with one line per paragraph, and wrapped wherever that changes what is left of it."""
-    out = {}
-    for width in (len(body), *WIDTHS):
-        wrapped = "\n\n".join(textwrap.fill(p, width, break_long_words=False, break_on_hyphens=False) for p in body.split("\n\n"))
-        out.setdefault(" ".join(re.sub("(?im)" + COPYRIGHT_LINE, "", wrapped).split()), wrapped)
-    return list(out.values())
-
-
-def _texts() -> list[tuple[str, str]]:
-    """Whole texts with and without their titles."""
-    small = [x for x in NOTICES if x[0] in TITLES and "\n\n" in x[1]] + list(SHORT)
-    out = [
-        (name, f"{title}\n\n{form}" if title else form)
-        for name, body in small for form in _forms(body) for title in ("", *TITLES[name])
-    ]
-    return out + [(name, text) for name, title, body in LONG for text in (f"{title}\n\n{body}", body)]
-
-
-KNOWN = tuple(dict.fromkeys((*NOTICES, *_texts())))
+#: Phrases that differ between copies of one licence (variant, canonical), whole words of a canonical text.
+PHRASES = (
+    (" 51 franklin street fifth floor boston ma 02110 1301 usa ", " "), (" 51 franklin st fifth floor boston ma 02110 1301 usa ", " "),
+    (" 59 temple place suite 330 boston ma 02111 1307 usa ", " "), (" 675 mass ave cambridge ma 02139 usa ", " "),
+    (" the authors and contributors ", " the copyright holders and contributors "), (" the author and contributors ", " the copyright holders and contributors "),
+    (" the authors or contributors ", " the copyright holder or contributors "), (" the author or contributors ", " the copyright holder or contributors "),
+)
+#: Spellings of several words, which a line break may part, are replaced again in a whole text.
+PARTED = (*((v, c) for v, c in SPELLINGS if " " in v.strip()), *PHRASES)
+#: Titles over licence texts, in canonical form.
+TITLES = (
+    "mit license", "mit license mit", "mit", "isc license", "isc license isc", "isc", "bsd zero clause license", "zero clause bsd", "bsd 0 clause license",
+    "0bsd", "bsd license", "bsd 2 clause license", "2 clause bsd license", "bsd 2 clause simplified license", "simplified bsd license", "bsd 2 clause",
+    "bsd 3 clause license", "3 clause bsd license", "bsd 3 clause new or revised license", "new bsd license", "bsd 3 clause", "zlib license",
+    "boost software license version 1 0 august 17th 2003", "boost software license 1 0", "bsl 1 0", "unlicense",
+    "apache license version 2 0 january 2004 http www apache org licenses", "gnu general public license version 3 29 june 2007",
+    "gnu general public license version 2 june 1991", "gnu general public license version 1 february 1989",
+    "gnu lesser general public license version 2 1 february 1999", "gnu lesser general public license version 3 29 june 2007",
+    "gnu library general public license version 2 june 1991", "mozilla public license version 2 0", "mozilla public license version 1 1",
+    "creative commons legal code cc0 1 0 universal", "attribution sharealike 4 0 international",
+)
+#: A title at the start of a text that goes on, and what stands behind the terms.
+TITLE_FIRST = "^(?:the )?(?:" + "|".join(sorted(TITLES, key=len, reverse=True)) + ") "
+TERMS_END = " end of terms and conditions .*$"
+
+
+def license_texts() -> dict[str, str]:
+    """Texts of public licences by name, without the copyright lines of any one project; a file of ``license_texts`` each."""
+    folder = files("tickloom.llm") / "license_texts"
+    return {f.name.removesuffix(".txt"): f.read_text(encoding="utf-8") for f in sorted(folder.iterdir(), key=lambda f: f.name) if f.name.endswith(".txt")}
+
+
+def _forms(text: str) -> tuple[str, ...]:
+    """The text, and with its numbered paragraphs unnumbered, as they stand behind bullets."""
+    return tuple(dict.fromkeys((text, re.sub(r"(?m)^[0-9]\. ", "", text) if len(text) < 2000 else text)))
+
+
+KNOWN = (*NOTICES, *((name, form) for name, text in license_texts().items() for form in _forms(text)))
 
 
 def canonical_lines(text: Column) -> Column:
@@ -106,7 +103,11 @@ def canonical_lines(text: Column) -> Column:
 
 
 def whole(canonical: Column) -> Column:
-    return F.trim(F.regexp_replace(canonical, r"[\x20\n]+", " "))
+    """One line of the canonical lines, without title and without what follows the terms."""
+    out = F.regexp_replace(canonical, r"[\x20\n]+", " ")
+    for variant, phrase in PARTED:
+        out = F.replace(out, F.lit(variant), F.lit(phrase))
+    return F.trim(F.regexp_replace(F.regexp_replace(F.ltrim(out), TITLE_FIRST, " "), TERMS_END, ""))
 
 
 def line(canonical: Column) -> Column:
@@ -140,18 +141,20 @@ def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
     if bound[0] <= BROADCAST_ROWS:
         digests = F.broadcast(digests)
     base = docs.select("doc_id", row_key(F.col("text")).alias("row_key"), canonical_lines(F.col("text")).alias("canonical"))
-    lines = base.select("doc_id", "row_key", F.explode(F.split("canonical", "\n")).alias("line")).select(
-        "doc_id", "row_key", line(F.col("line")).alias("line")
-    ).where(F.length("line").between(bound[1] or 0, bound[2] or 0))
+    candidates = F.filter(F.transform(F.split("canonical", "\n"), line), lambda x: F.length(x).between(bound[1] or 0, bound[2] or 0))
+    # the canonical form is made once; digests stand in for it from here on
+    units = Scratch(docs.sparkSession, "licenses").keep(base.select(
+        "doc_id", "row_key", F.sha2(whole(F.col("canonical")), 256).alias("text_digest"), F.transform(candidates, lambda x: F.sha2(x, 256)).alias("lines"),
+    ), "units")
     found = (
-        lines.withColumn("digest", F.sha2("line", 256)).join(digests, "digest")
+        units.select("doc_id", "row_key", F.explode("lines").alias("digest")).join(digests, "digest")
         .groupBy("doc_id", "row_key", "license_id").agg(F.count("*").alias("n"))
         .groupBy("doc_id", "row_key").agg(F.sum("n").alias("n"), F.array_join(F.array_sort(F.collect_list("license_id")), ",").alias("line_licenses"))
     )
     # a repeated row has counted its lines once for each copy
-    copies = base.groupBy("doc_id", "row_key").agg(F.count("*").alias("copies"))
+    copies = units.groupBy("doc_id", "row_key").agg(F.count("*").alias("copies"))
     found = same_row(found, copies, "inner").select("doc_id", "row_key", (F.col("n") / F.col("copies")).cast("long").alias("n_license_lines"), "line_licenses")
-    texts = base.select("doc_id", "row_key", F.sha2(whole(F.col("canonical")), 256).alias("text_digest"))
+    texts = units.drop("lines")
     texts = texts.join(digests, texts["text_digest"] == digests["digest"], "left").drop("digest")
     return same_row(texts, found).select(
         "doc_id", "text_digest", "license_id", F.coalesce("line_licenses", F.lit("")).alias("line_licenses"),
@@ -172,16 +175,23 @@ def _sql_canonical(text: str) -> str:
     return out
 
 
+def _sql_whole(canonical: str) -> str:
+    out = rf"regexp_replace({canonical}, '[\x20\n]+', ' ', 'g')"
+    for variant, phrase in PARTED:
+        out = f"replace({out}, '{variant}', '{phrase}')"
+    return f"trim(regexp_replace(regexp_replace(ltrim({out}), '{TITLE_FIRST}', ' '), '{TERMS_END}', ''))"
+
+
 def oracle_sql() -> str:
-    rows = ", ".join("({}, {})".format(*("'" + x.replace("'", "''").replace("\n", "' || chr(10) || '") + "'" for x in row)) for row in KNOWN)
+    """Literals keep their line breaks."""
+    rows = ", ".join("({}, {})".format(*("'" + x.replace("'", "''") + "'" for x in row)) for row in KNOWN)
     return rf"""WITH known(license_id, text) AS (VALUES {rows}),
-digests AS (SELECT sha256(trim(regexp_replace({_sql_canonical('text')}, '[\x20\n]+', ' ', 'g'))) AS digest, min(license_id) AS license_id
-  FROM known GROUP BY 1),
+digests AS (SELECT sha256({_sql_whole(_sql_canonical('text'))}) AS digest, min(license_id) AS license_id FROM known GROUP BY 1),
 base AS (SELECT doc_id, {_sql_canonical('text')} AS canonical FROM documents),
 lines AS (SELECT doc_id, sha256(trim(regexp_replace(unnest(string_split(canonical, chr(10))), '\x20+', ' ', 'g'))) AS digest FROM base),
 found AS (SELECT doc_id, string_agg(DISTINCT license_id, ',' ORDER BY license_id) AS line_licenses, count(*) AS n
   FROM lines JOIN digests USING (digest) GROUP BY doc_id),
-texts AS (SELECT doc_id, sha256(trim(regexp_replace(canonical, '[\x20\n]+', ' ', 'g'))) AS text_digest FROM base)
+texts AS (SELECT doc_id, sha256({_sql_whole('canonical')}) AS text_digest FROM base)
 SELECT t.doc_id, t.text_digest, d.license_id, coalesce(f.line_licenses, '') AS line_licenses,
   CAST(coalesce(f.n, 0) AS BIGINT) AS n_license_lines
 FROM texts t LEFT JOIN digests d ON d.digest = t.text_digest LEFT JOIN found f ON f.doc_id = t.doc_id"""
