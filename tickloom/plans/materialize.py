@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,15 +52,45 @@ def write_table(df: DataFrame, path: str) -> None:
         df.write.parquet(path)
 
 
+#: Tables of the scopes that are open in this thread, innermost last.
+_scopes: ContextVar[tuple[list[tuple[SparkSession, str]], ...]] = ContextVar("scopes", default=())
+
+
+@contextmanager
+def temporary_tables(keep_last: bool = False) -> Iterator[None]:
+    """Tables that ``materialize`` writes inside are removed at the end.
+
+    ``keep_last`` leaves the last of them, for a result that is built on it;
+    it then belongs to the scope around, if there is one.
+    """
+    mine: list[tuple[SparkSession, str]] = []
+    around = _scopes.get()
+    token = _scopes.set((*around, mine))
+    try:
+        yield
+    finally:
+        _scopes.reset(token)
+        if keep_last and mine:
+            kept = mine.pop()
+            if around:
+                around[-1].append(kept)
+        for spark, path in mine:
+            remove_table(spark, path)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet and read it back as a leaf of later plans.
 
     Unlike a cached or checkpointed RDD the stored table keeps column pruning
-    and filter pushdown, and it outlives lost executors.
+    and filter pushdown, and it outlives lost executors.  Inside
+    ``temporary_tables`` it goes with the scope; outside it stays, since the
+    result that reads it is lazy.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tickloom-{name}-{uuid.uuid4().hex}"
     write_table(df, path)
+    if _scopes.get():
+        _scopes.get()[-1].append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 

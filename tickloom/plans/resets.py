@@ -9,26 +9,34 @@ state it is entered with to the state it is left with:
   been gathered up to each of them, and the state each of them leads to;
 * what the whole slice gathers, for a window that runs through it.
 
-Slices are summarised in parallel, the summaries (small, one row per slice) are
-composed in order per key, and every slice is then marked in parallel from its
-now known entry state.  Windows begun at different rows soon end at the same
-row, and openings leading to the same state are merged, which keeps the
-function small; the result is exact in every case.
+Functions of neighbouring slices compose into the function of both, so they
+form a tree: ``FAN`` neighbours become one node, level by level, until a key
+has no more than ``FAN`` nodes.  The known state at the start of the tape is
+then handed down the tree, and every slice is marked in parallel from its now
+known entry state.  Openings leading to the same state are merged, and those no
+window can reach any more are left out, so a node has at most as many openings
+as there are rows in one window, mostly a handful; a task holds ``FAN`` nodes
+of a key, however long the tape.  The result is exact in every case.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.plans.grouped import edges, grouped_map
-from tickloom.plans.scan import slice_of, slice_rows, spread_over_tasks
+from tickloom.plans.materialize import materialize, temporary_tables
+from tickloom.plans.scan import slice_of, slice_rows, spread_over_tasks, whole
 
 FRESH = -1  # no window open
+FAN = 8  # neighbours that become one node of the tree
+FAR = 1 << 61
 
 
 Columns = dict[str, np.ndarray]  # the rows of one series, in order
@@ -55,6 +63,20 @@ def _extent(fits, price: np.ndarray) -> np.ndarray:
     return at
 
 
+def _suffix_sum(values: np.ndarray) -> np.ndarray:
+    """Sum from each row to the last."""
+    return np.cumsum(values[::-1])[::-1]
+
+
+def _suffix_extremes(values: np.ndarray) -> list[np.ndarray]:
+    return [f.accumulate(values[::-1])[::-1] for f in (np.maximum, np.minimum)]
+
+
+# A limit tells where the next window starts (``next_start``), which rows can end a window carried in and what is gathered up
+# to them (``openings``), what a window begun at each row has gathered by the end (``states``), and how a state grows over a
+# slice (``through``), over a slice and a part of the next (``extend``), and at the least (``weakest``: of a window that runs
+# into a slice nothing is known but that). ``ends`` tells which openings end a state; once one does, all later ones do.
+
 class VolumeLimit:
     """Ends with the row that brings the volume to ``limit``; the excess is not carried."""
 
@@ -72,12 +94,18 @@ class VolumeLimit:
         at = np.arange(min(len(total), int(np.searchsorted(total, self.limit)) + 1))
         return at + 1, [total[at]]
 
-    def state(self, rows, start):
-        return [int(rows["quantity"][start:].sum())]
+    def states(self, rows):
+        return [_suffix_sum(rows["quantity"])]
 
     def through(self, entry, whole):
         return [entry[0] + whole[0]]
 
+    def extend(self, whole, gathered):
+        return self.through(whole, gathered)
+
+    def weakest(self, whole):
+        return [0]
+
     def ends(self, entry, gathered):
         return entry[0] + gathered[0] >= self.limit
 
@@ -100,12 +128,17 @@ class RangeLimit:
         at = np.flatnonzero(new[: int(np.searchsorted(high - low, self.limit)) + 1])
         return at + 1, [high[at], low[at]]
 
-    def state(self, rows, start):
-        part = rows["price_ticks"][start:]
-        return [int(part.max()), int(part.min())]
+    def states(self, rows):
+        return _suffix_extremes(rows["price_ticks"])
 
     def through(self, entry, whole):
-        return [max(entry[0], whole[0]), min(entry[1], whole[1])]
+        return [np.maximum(entry[0], whole[0]), np.minimum(entry[1], whole[1])]
+
+    def extend(self, whole, gathered):
+        return self.through(whole, gathered)
+
+    def weakest(self, whole):
+        return [-FAR, FAR]
 
     def ends(self, entry, gathered):
         return np.maximum(entry[0], gathered[0]) - np.minimum(entry[1], gathered[1]) >= self.limit
@@ -129,12 +162,18 @@ class TimeLimit:
         at = np.arange(min(len(ts), int(np.searchsorted(ts, ts[0] + self.reach, side="right")) + 1))
         return at, [ts[at]]
 
-    def state(self, rows, start):
-        return [int(rows["ts_us"][start])]
+    def states(self, rows):
+        return [rows["ts_us"]]
 
     def through(self, entry, whole):
         return entry
 
+    def extend(self, whole, gathered):
+        return gathered
+
+    def weakest(self, whole):
+        return whole
+
     def ends(self, entry, gathered):
         return gathered[0] - entry[0] > self.reach
 
@@ -161,12 +200,17 @@ class BandLimit:
         at = np.arange(int(np.argmax(surely)) + 1 if surely.any() else len(ts))
         return at, [ts[at], high[at], low[at]]
 
-    def state(self, rows, start):
-        part = rows["price_ticks"][start:]
-        return [int(rows["ts_us"][start]), int(part.max()), int(part.min())]
+    def states(self, rows):
+        return [rows["ts_us"], *_suffix_extremes(rows["price_ticks"])]
 
     def through(self, entry, whole):
-        return [entry[0], max(entry[1], whole[1]), min(entry[2], whole[2])]
+        return [entry[0], np.maximum(entry[1], whole[1]), np.minimum(entry[2], whole[2])]
+
+    def extend(self, whole, gathered):
+        return [gathered[0], *self.through(whole, gathered)[1:]]
+
+    def weakest(self, whole):
+        return [whole[0], -FAR, FAR]
 
     def ends(self, entry, gathered):
         spread = np.maximum(entry[1], gathered[1]) - np.minimum(entry[2], gathered[2])
@@ -213,12 +257,19 @@ class SweepLimit:
             total, steps = np.append(total, self.AHEAD), np.append(steps, self.AHEAD)
         return starts, [total, steps]
 
-    def state(self, rows, start):
-        return [int(rows["quantity"][start:].sum()), 1 + int(rows["is_step"][start + 1:].sum())]
+    def states(self, rows):
+        # the first row of a window is a level of its own
+        return [_suffix_sum(rows["quantity"]), _suffix_sum(rows["is_step"]) - rows["is_step"] + 1]
 
     def through(self, entry, whole):
         return [entry[0] + whole[0], entry[1] + whole[1]]
 
+    def extend(self, whole, gathered):
+        return self.through(whole, gathered)
+
+    def weakest(self, whole):
+        return [0, 0]
+
     def ends(self, entry, gathered):
         return (entry[0] + gathered[0] >= self.volume) & (entry[1] + gathered[1] >= self.levels)
 
@@ -235,42 +286,93 @@ def _exits(limit, rows: Columns) -> np.ndarray:
         hop = farther
 
 
-def _whole(limit, rows: Columns) -> list[int]:
-    """What the slice adds to a window running through it."""
-    gathered = limit.state(rows, 0)
-    if isinstance(limit, SweepLimit):
-        gathered[1] = int(rows["is_step"].sum())
-    return gathered
+@dataclass
+class Function:
+    """What a slice, or neighbouring slices, do to the state they are entered with: [start seq, measures...]."""
+
+    gathered: list[np.ndarray]  # per measure, by opening
+    leads: list[np.ndarray]  # per part of the state, by opening
+    whole: list[int]
+    fresh: list[int]
+
+    def row(self) -> dict:
+        return {"gathered": [x.tolist() for x in self.gathered], "leads": [x.tolist() for x in self.leads], "whole": self.whole, "fresh": self.fresh}
+
+    @classmethod
+    def of(cls, row: dict) -> Function:
+        whole, fresh = ([int(x) for x in row[c]] for c in ("whole", "fresh"))
+        gathered, leads = ([np.asarray(x, dtype=np.int64) for x in row[c]] for c in ("gathered", "leads"))
+        return cls(gathered, leads, whole, fresh)
 
 
-def _summary(limit, rows: Columns) -> dict:
+def _merged(gathered: list[np.ndarray], leads: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Neighbouring openings leading to the same state act as one, the last of them."""
+    if not len(leads[0]):
+        return gathered, leads
+    keep = np.ones(len(leads[0]), dtype=bool)
+    keep[:-1] = np.any([x[1:] != x[:-1] for x in leads], axis=0)
+    return [g[keep] for g in gathered], [x[keep] for x in leads]
+
+
+def summary(limit, rows: Columns) -> Function:
+    """Function of one slice of one series."""
     seq = rows["seq"]
     n = len(seq)
     exits = _exits(limit, rows)
     starts, gathered = limit.openings(rows)
-    ids = exits[starts]
-    state = {
-        int(start): [FRESH] if start >= n else [int(seq[start]), *limit.state(rows, int(start))]
-        for start in np.unique(np.append(ids, exits[0]))
-    }
-    # openings leading to the same state act as one, the last of them
-    keep = np.append(ids[:-1] != ids[1:], True) if len(ids) else np.zeros(0, dtype=bool)
-    return {
-        "gathered": [g[keep].tolist() for g in gathered],
-        "leads_to": [state[int(i)] for i in ids[keep]],
-        "whole": _whole(limit, rows),
-        "fresh": state[int(exits[0])],
-    }
-
-
-def _after(limit, entry: list[int], row: dict) -> list[int]:
-    """State after a slice entered with ``entry`` = [start seq, measures...]."""
-    if entry[0] == FRESH:
-        return list(row["fresh"])
-    hit = np.flatnonzero(limit.ends(entry[1:], [np.asarray(g) for g in row["gathered"]]))
-    if len(hit):
-        return list(row["leads_to"][hit[0]])
-    return [entry[0], *limit.through(entry[1:], row["whole"])]
+    measures = limit.states(rows)
+
+    def state(at: np.ndarray) -> list[np.ndarray]:
+        inside, safe = at < n, np.minimum(at, n - 1)
+        return [np.where(inside, seq[safe], FRESH), *(np.where(inside, m[safe], 0) for m in measures)]
+
+    whole_slice = [int(m[0]) for m in measures]
+    if isinstance(limit, SweepLimit):
+        whole_slice[1] = int(rows["is_step"].sum())
+    gathered, leads = _merged([np.asarray(g, dtype=np.int64) for g in gathered], state(exits[starts]))
+    return Function(gathered, leads, whole_slice, [int(x[0]) for x in state(exits[:1])])
+
+
+def after(limit, entry: list[np.ndarray], f: Function) -> list[np.ndarray]:
+    """States (arrays by part) after ``f`` is entered with ``entry``."""
+    count, many = len(entry[0]), len(f.leads[0])
+    low, high = np.zeros(count, dtype=np.int64), np.full(count, many)
+    while (low < high).any():
+        middle = (low + high) // 2
+        ended = limit.ends(entry[1:], [g[np.minimum(middle, many - 1)] for g in f.gathered])
+        going = low < high
+        high = np.where(going & ended, middle, high)
+        low = np.where(going & ~ended, middle + 1, low)
+    passed = [entry[0], *limit.through(entry[1:], f.whole)]
+    out = [np.where(low < many, x[np.minimum(low, many - 1)], p) for x, p in zip(f.leads, passed)] if many else passed
+    return [np.where(entry[0] == FRESH, x, o).astype(np.int64) for x, o in zip(f.fresh, out)]
+
+
+def _ends_surely(limit, f: Function) -> bool:
+    """Whether no window runs through."""
+    return len(f.leads[0]) > 0 and bool(limit.ends(limit.weakest(f.whole), [g[-1] for g in f.gathered]))
+
+
+def composed(limit, f: Function, g: Function) -> Function:
+    """``g`` after ``f``."""
+    gathered, leads = f.gathered, after(limit, f.leads, g)
+    if not _ends_surely(limit, f) and len(g.leads[0]):
+        more = [np.broadcast_to(x, g.leads[0].shape) for x in limit.extend(f.whole, g.gathered)]
+        surely = limit.ends(limit.weakest(f.whole), more)
+        upto = int(np.argmax(surely)) + 1 if surely.any() else len(surely)
+        gathered = [np.concatenate([a, b[:upto]]) for a, b in zip(gathered, more)]
+        leads = [np.concatenate([a, b[:upto]]) for a, b in zip(leads, g.leads)]
+    gathered, leads = _merged(gathered, leads)
+    fresh = after(limit, [np.array([x]) for x in f.fresh], g)
+    return Function(gathered, leads, [int(x) for x in limit.through(f.whole, g.whole)], [int(x[0]) for x in fresh])
+
+
+def composed_all(limit, functions: list[Function]) -> Function:
+    """All of them in order, by halves."""
+    if len(functions) == 1:
+        return functions[0]
+    half = len(functions) // 2
+    return composed(limit, composed_all(limit, functions[:half]), composed_all(limit, functions[half:]))
 
 
 def _series(pdf: pd.DataFrame, within: list[str], columns: Sequence[str]):
@@ -310,7 +412,8 @@ def restarting(
     """Give each row the ``seq`` of the first row of its window.
 
     ``initial`` (key columns, ``_initial`` = [start seq, measures...]) gives windows
-    already open before the first row.
+    already open before the first row.  The slice functions are worked out at
+    once, in jobs of their own; the result is as lazy as any.
 
     Windows belong to ``key + within``.  A task gets one slice of a ``key`` with
     all its ``within`` values, which suits many small series (price levels)
@@ -328,37 +431,60 @@ def restarting(
     part, full = [*lane, "_slice"], [*lane, *within, "_slice"]
     head = ", ".join(f"{c} {types[c]}" for c in full)
     used = list(dict.fromkeys(["seq", *limit.columns]))
+    function = "gathered array<array<bigint>>, leads array<array<bigint>>, whole array<bigint>, fresh array<bigint>"
 
     def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
         names = {c: pdf[c].tolist() for c in full}
         return pd.DataFrame(
             [
-                {**{c: v[lo] for c, v in names.items()}, **_summary(limit, series)}
+                {**{c: v[lo] for c, v in names.items()}, **summary(limit, series).row()}
                 for lo, _, series in _series(pdf, within, used)
             ]
         )
 
-    summaries = grouped_map(
-        sliced.select(*dict.fromkeys([*full, *used])), part, [*within, "seq"], summarise,
-        f"{head}, gathered array<array<bigint>>, leads_to array<array<bigint>>, whole array<bigint>, fresh array<bigint>",
-    )
-    if initial is not None:
-        summaries = summaries.join(initial, [*key, *within], "left")
+    def joined(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Nodes of the next level; ``_up`` is their number."""
+        records, nodes = pdf.to_dict("records"), []
+        for lo, hi in edges(pdf, within):
+            node = composed_all(limit, [Function.of(r) for r in records[lo:hi]])
+            nodes.append({**{c: records[lo][c] for c in full}, "_slice": records[lo]["_up"], **node.row()})
+        return pd.DataFrame(nodes)
 
-    def compose(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(full, ignore_index=True)
+    def handed(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Entry state of every node, from the one its parent (or the key) is entered with."""
         records, entries = pdf.to_dict("records"), []
         for lo, hi in edges(pdf, within):
-            opened = records[lo].get("_initial")
-            entry = [FRESH] if opened is None else list(opened)
+            known = records[lo].get("_known")
+            measures = len(records[lo]["fresh"])
+            entry = [FRESH] + [0] * (measures - 1) if known is None else [int(x) for x in known]
             for row in records[lo:hi]:
-                entries.append([int(x) for x in entry])
-                entry = _after(limit, entry, row)
+                entries.append(entry)
+                entry = [int(x[0]) for x in after(limit, [np.array([x]) for x in entry], Function.of(row))]
         made = pdf[full].copy()
         made["_entry"] = entries
         return made
 
-    entries = summaries.groupBy(*lane).applyInPandas(compose, f"{head}, _entry array<bigint>")
+    up = whole("_slice", FAN)
+    leaves = grouped_map(sliced.select(*dict.fromkeys([*full, *used])), part, [*within, "seq"], summarise, f"{head}, {function}")
+    with temporary_tables(keep_last=True):
+        levels = [materialize(leaves, "windows")]
+        reach = levels[0].agg(F.max("_slice"), F.min("_slice")).first()
+        first, last = (reach[1], reach[0]) if reach[0] is not None else (0, 0)
+        while last - first >= FAN:
+            grown = levels[-1].withColumn("_up", up)
+            nodes = grouped_map(grown, [*lane, "_up"], [*within, "_slice"], joined, f"{head}, {function}")
+            levels.append(materialize(nodes, "windows"))
+            first, last = first // FAN, last // FAN
+        top = levels[-1]
+        if initial is not None:
+            top = top.join(initial.withColumnRenamed("_initial", "_known"), [*key, *within], "left")
+        states = grouped_map(top, lane, [*within, "_slice"], handed, f"{head}, _entry array<bigint>")
+        for level in reversed(levels[:-1]):
+            parents = states.select(*lane, *within, F.col("_slice").alias("_up"), F.col("_entry").alias("_known"))
+            below = level.withColumn("_up", up).join(parents, [*lane, *within, "_up"])
+            states = grouped_map(below, [*lane, "_up"], [*within, "_slice"], handed, f"{head}, _entry array<bigint>")
+        # one short row per slice; the functions go
+        entries = materialize(states, "entries")
 
     def mark(pdf: pd.DataFrame) -> pd.DataFrame:
         entry = pdf["_entry"].to_numpy()
