@@ -1,13 +1,13 @@
 """Order books as tables: sizes per level with the stretch of sequence they hold for.
 
-Nothing is replayed from the start of a session.  A slice of the tape starts
-from a snapshot (the last size of each level before it), which is also what a
-book checkpoint is.
+Nothing is replayed.  A level is shown for stretches of the sequence; the best
+price at a point is the highest (lowest) among the levels whose stretch covers
+it, so best prices are a join of points with stretches, slice by slice.  A book
+checkpoint is the last size of each level before a slice.
 """
 
 from __future__ import annotations
 
-import bisect
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from tickloom import schema as S
 from tickloom.plans import count_, first_, last_, materialize, previous, running
-from tickloom.plans.asof import asof
 from tickloom.plans.grouped import grouped_map
 from tickloom.plans.scan import slice_of, slice_rows
 
@@ -69,86 +68,174 @@ def level_intervals(df: DataFrame) -> DataFrame:
     )
 
 
-def snapshots(rows: DataFrame, every: int) -> DataFrame:
-    """Levels standing before each slice of ``every`` sequences that has rows (from ``book_rows``)."""
-    sliced = rows.withColumn("_slice", slice_of("seq", every))
-    slices = sliced.groupBy(S.KEY, "_slice").agg(F.count_if(_is_reset()).alias("_resets"))
-    in_order = Window.partitionBy(S.KEY).orderBy("_slice")
-    entered = slices.select(
-        S.KEY, "_slice",
-        F.coalesce(F.sum("_resets").over(in_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("epoch"),
-        F.lead("_slice").over(in_order).alias("_next"),
-    )
-    last = sliced.where(~_is_reset()).groupBy(*LEVEL, "_slice").agg(
-        F.max_by(F.struct("size", "epoch"), "seq").alias("_l")
-    )
-    by_level = Window.partitionBy(*LEVEL).orderBy("_slice")
-    ends = slices.groupBy(S.KEY).agg(F.max("_slice").alias("_end"))
-    spans = (
-        last.withColumn("_until", F.lead("_slice").over(by_level))
-        .join(ends, S.KEY)
-        .select(*LEVEL, "_l.size", "_l.epoch", "_slice", F.coalesce("_until", "_end").alias("_until"))
-        .where((F.col("size") > 0) & (F.col("_until") > F.col("_slice")))
+def stretches(df: DataFrame) -> DataFrame:
+    """When each level is shown, whatever its size: [from_seq, to_seq), open ends NULL.
+
+    Only flips (an empty level shown, a shown one emptied) go on; they are
+    stored, since their successors are looked up among them.
+    """
+    rows = book_rows(df)
+    resets = rows.where(_is_reset()).select(S.KEY, (F.col("epoch") - 1).alias("epoch"), F.col("seq").alias("_reset"))
+    updates = rows.where(~_is_reset()).select(*LEVEL, "epoch", "seq", (F.col("size") > 0).alias("shown"))
+    seen = running(updates, [*LEVEL, "epoch"], _was=last_("shown", exclusive=True))
+    flips = seen.where(F.col("shown") != F.coalesce("_was", F.lit(False))).drop("_was")
+    ends = running(materialize(flips, "flips"), [*LEVEL, "epoch"], _next=first_("seq", exclusive=True))
+    return ends.where("shown").join(resets, [S.KEY, "epoch"], "left").select(
+        *LEVEL, F.col("seq").alias("from_seq"), F.coalesce("_next", "_reset").alias("to_seq")
     )
-    standing = spans.withColumn("_slice", F.explode(F.sequence(F.col("_slice") + 1, F.col("_until"))))
-    return standing.join(entered.drop("_next"), [S.KEY, "_slice", "epoch"]).select(*LEVEL, "size", "_slice")
-
-
-def _best_of_slice(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Best bid and ask after every row of a slice that starts with its snapshot (seq NULL)."""
-    prices: dict[int, list[int]] = {S.BID: [], S.ASK: []}
-    sizes: dict[tuple[int, int], int] = {}
-    seqs, bids, asks = [], [], []
-    nothing = pd.NA
-    rows = zip(
-        pdf["seq"].isna().to_numpy(), pdf["seq"].fillna(0).to_numpy(dtype=np.int64), pdf["is_reset"].to_numpy(),
-        pdf["side"].fillna(0).to_numpy(dtype=np.int64), pdf["price_ticks"].fillna(0).to_numpy(dtype=np.int64),
-        pdf["size"].fillna(0).to_numpy(dtype=np.int64),
+
+
+#: Neighbouring units of one level of ``pieces`` that make a unit of the next, and levels above the slices.
+FAN, LEVELS = 64, 5
+
+
+def pieces(spans: DataFrame, every: int) -> DataFrame:
+    """Cut [from_seq, to_seq) at slice borders without a row for each slice between.
+
+    The first and the last slice get a piece each.  The whole slices between
+    form a range of larger units, which is cut the same way at every ``FAN``th
+    of them, and so on: level 0 counts in sequences, level n in
+    ``every * FAN ** (n - 1)``.  Gives level, group (of units), low, high.
+    """
+    cut, made = spans, []
+    low, high = F.col("from_seq"), F.col("to_seq")
+    for level in range(LEVELS + 1):
+        size = every if level == 0 else FAN
+        cut = cut.withColumns({f"_a{level}": low, f"_b{level}": high})
+        a, b = F.col(f"_a{level}"), F.col(f"_b{level}")
+        cut = cut.withColumns({f"_f{level}": slice_of(a, size), f"_l{level}": slice_of(b - 1, size)})
+        first, last = F.col(f"_f{level}"), F.col(f"_l{level}")
+
+        def piece(group: Column, low: Column, high: Column, level=level) -> Column:
+            return F.struct(F.lit(level).alias("level"), group.alias("group"), low.alias("low"), high.alias("high"))
+
+        one = F.when((a < b) & (first == last), piece(first, a, b))
+        left = F.when((a < b) & (first < last), piece(first, a, (first + 1) * size))
+        right = F.when((a < b) & (first < last), piece(last, last * size, b))
+        made += [one, left, right]
+        low, high = F.when(a < b, first + 1), F.when(a < b, last)
+    cut = cut.withColumn("_p", F.explode(F.array_compact(F.array(*made))))
+    return cut.select(*spans.columns, "_p.level", "_p.group", "_p.low", "_p.high")
+
+
+def _covering(parts: DataFrame, slices: DataFrame) -> DataFrame:
+    """Best prices among the levels that are shown throughout a slice, for each of ``slices`` (instrument_id, _slice)."""
+    best = (
+        parts.where("level > 0").withColumn("unit", F.explode(F.sequence("low", F.col("high") - 1)))
+        .groupBy(S.KEY, "level", "unit").agg(*_best("price_ticks"))
     )
-    for is_snapshot, seq, is_reset, side, price, size in rows:
-        if is_reset:
-            prices = {S.BID: [], S.ASK: []}
-            sizes = {}
-        else:
-            shown = sizes.get((side, price), 0)
-            if size > 0 and shown == 0:
-                bisect.insort(prices[side], price)
-            elif size == 0 and shown > 0:
-                ladder = prices[side]
-                del ladder[bisect.bisect_left(ladder, price)]
-            sizes[(side, price)] = size
-        if not is_snapshot:
-            seqs.append(seq)
-            bids.append(prices[S.BID][-1] if prices[S.BID] else nothing)
-            asks.append(prices[S.ASK][0] if prices[S.ASK] else nothing)
-    return pd.DataFrame(
-        {
-            "instrument_id": pdf["instrument_id"].iloc[0], "seq": np.array(seqs, dtype=np.int64),
-            "best_bid": pd.array(bids, dtype="Int64"), "best_ask": pd.array(asks, dtype="Int64"),
-        }
+    units = F.array(*[F.struct(F.lit(n).alias("level"), slice_of("_slice", FAN ** (n - 1)).alias("unit")) for n in range(1, LEVELS + 1)])
+    asked = slices.withColumn("_u", F.explode(units)).select(S.KEY, "_slice", "_u.level", "_u.unit")
+    return asked.join(best, [S.KEY, "level", "unit"]).groupBy(S.KEY, "_slice").agg(
+        F.max("best_bid").alias("best_bid"), F.min("best_ask").alias("best_ask")
     )
 
 
-def best_prices(df: DataFrame) -> DataFrame:
-    """Best bid and ask after every depth update or reset."""
-    rows = book_rows(df)
+def _best(price: str) -> list[Column]:
+    return [
+        F.max(F.when(F.col("side") == S.BID, F.col(price))).alias("best_bid"),
+        F.min(F.when(F.col("side") == S.ASK, F.col(price))).alias("best_ask"),
+    ]
+
+
+def highest_over(count: int, low: np.ndarray, high: np.ndarray, value: np.ndarray, nothing: int) -> np.ndarray:
+    """At each of ``count`` places the highest value of the ranges [low, high) that cover it.
+
+    A range is entered as two overlapping ranges of a power of two; these are
+    then halved, longest first, down to single places.
+    """
+    some = low < high
+    low, high, value = low[some], high[some], value[some]
+    depth = np.frexp((high - low).astype(float))[1] - 1  # exponent of the largest power of two inside
+    top = np.full(count, nothing, dtype=np.int64)
+    for d in range(int(depth.max()) if len(depth) else 0, -1, -1):
+        mine, width = depth == d, 1 << d
+        for at in (low[mine], high[mine] - width):
+            np.maximum.at(top, at, value[mine])
+        if d:
+            half = width >> 1
+            moved = np.full(count, nothing, dtype=np.int64)
+            moved[half:] = top[: count - half]
+            # an entry stands for a range of ``width``; both its halves take it over
+            top = np.maximum(top, moved)
+    return top
+
+
+NOTHING = -(1 << 62)
+
+
+def _best_of_slice(columns: list[str]):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Best prices at the asked sequences of a slice, from the pieces of levels in it and what covers it."""
+        low = pdf["low"].to_numpy(dtype=float, na_value=np.nan)
+        asked = pdf[np.isnan(low) & pdf["seq"].notna().to_numpy()]
+        part = pdf[~np.isnan(low)]
+        cover = pdf[pdf["seq"].isna() & np.isnan(low)]
+        out = asked[columns].copy()
+        seq = asked["seq"].to_numpy(dtype=np.int64)
+        bounds = [np.searchsorted(seq, part[c].to_numpy(dtype=np.int64)) for c in ("low", "high")]
+        side, price = (part[c].to_numpy(dtype=np.int64) for c in ("side", "price_ticks"))
+        for name, code, sign in (("best_bid", S.BID, 1), ("best_ask", S.ASK, -1)):
+            mine = side == code
+            best = highest_over(len(seq), bounds[0][mine], bounds[1][mine], sign * price[mine], NOTHING)
+            over = cover[name].dropna()
+            if len(over):
+                best = np.maximum(best, sign * int(over.iloc[0]))
+            out[name] = pd.array(np.where(best == NOTHING, 0, sign * best), dtype="Int64")
+            out.loc[best == NOTHING, name] = pd.NA
+        return out
+
+    return run
+
+
+def best_prices(df: DataFrame, points: DataFrame) -> DataFrame:
+    """``points`` (instrument_id, seq, others) with the best bid and ask shown as of each, NULL where a side is empty.
+
+    The points of a slice meet the levels shown in a part of it; what is shown
+    throughout comes as one pair of prices.
+    """
     every = slice_rows(df.sparkSession)
-    live = rows.select(
-        S.KEY, slice_of("seq", every).alias("_slice"), "seq", _is_reset().alias("is_reset"), "side", "price_ticks", "size"
-    )
-    start = snapshots(rows, every).select(
-        S.KEY, "_slice", F.lit(None).cast("long").alias("seq"), F.lit(False).alias("is_reset"), "side", "price_ticks", "size"
-    )
+    asked = points.withColumn("_slice", slice_of("seq", every))
+    last = asked.groupBy(S.KEY).agg(F.max("seq").alias("_last"))
+    # a level that stays to the end of the tape is shown up to the last point asked for
+    shown = stretches(df).join(last, S.KEY).select(*LEVEL, "from_seq", F.coalesce("to_seq", F.col("_last") + 1).alias("to_seq"))
+    parts = materialize(pieces(shown.where("from_seq < to_seq"), every), "pieces")
+    cover = _covering(parts, asked.select(S.KEY, "_slice").distinct())
+    inside = parts.where("level = 0").select(S.KEY, F.col("group").alias("_slice"), "side", "price_ticks", "low", "high")
+    rows = asked.unionByName(inside, allowMissingColumns=True).unionByName(cover, allowMissingColumns=True)
+    body = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in points.schema)
     return grouped_map(
-        live.unionByName(start), [S.KEY, "_slice"], ["seq"], _best_of_slice,
-        "instrument_id int, seq bigint, best_bid bigint, best_ask bigint",
+        rows, [S.KEY, "_slice"], ["seq"], _best_of_slice(points.columns), f"{body}, best_bid bigint, best_ask bigint"
     )
 
 
 def best_bid_ask(df: DataFrame, samples: DataFrame) -> DataFrame:
     """Best prices and spread as of sampled sequences (instrument_id, seq)."""
-    out = asof(samples, materialize(best_prices(df), "best-prices"), [S.KEY], "seq", ["best_bid", "best_ask"])
-    return out.withColumn("spread", F.col("best_ask") - F.col("best_bid"))
+    return best_prices(df, samples).withColumn("spread", F.col("best_ask") - F.col("best_bid"))
+
+
+def snapshots(rows: DataFrame, every: int) -> DataFrame:
+    """Levels standing before each slice of ``every`` sequences that has rows (from ``book_rows``)."""
+    sliced = rows.withColumn("_slice", slice_of("seq", every))
+    in_order = Window.partitionBy(S.KEY).orderBy("_slice")
+    # slices that have rows, numbered without gaps
+    slices = sliced.groupBy(S.KEY, "_slice").agg(F.count_if(_is_reset()).alias("_resets")).select(
+        S.KEY, "_slice", F.row_number().over(in_order).alias("_n"),
+        F.coalesce(F.sum("_resets").over(in_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("epoch"),
+    )
+    last = sliced.where(~_is_reset()).groupBy(*LEVEL, "_slice").agg(
+        F.max_by(F.struct("size", "epoch"), "seq").alias("_l")
+    )
+    by_level = Window.partitionBy(*LEVEL).orderBy("_n")
+    ends = slices.groupBy(S.KEY).agg(F.max("_n").alias("_end"))
+    spans = (
+        last.join(slices.select(S.KEY, "_slice", "_n"), [S.KEY, "_slice"]).withColumn("_until", F.lead("_n").over(by_level))
+        .join(ends, S.KEY)
+        .select(*LEVEL, "_l.size", "_l.epoch", "_n", F.coalesce("_until", "_end").alias("_until"))
+        .where((F.col("size") > 0) & (F.col("_until") > F.col("_n")))
+    )
+    standing = spans.withColumn("_n", F.explode(F.sequence(F.col("_n") + 1, F.col("_until"))))
+    return standing.join(slices, [S.KEY, "_n", "epoch"]).select(*LEVEL, "size", "_slice")
 
 
 def cumulative_depth(levels: DataFrame, n: int) -> DataFrame:
@@ -164,6 +251,10 @@ def size_at(levels: DataFrame, side: int, price: int) -> DataFrame:
     return levels.where((F.col("side") == side) & (F.col("price_ticks") == price)).select(S.KEY, "size")
 
 
+#: What is said of a book; the first holds before any event.
+REASONS = ("awaiting snapshot", "rebuilding from snapshot", "ok", "sequence gap", "negative size rejected")
+
+
 def book_validity(df: DataFrame, sticky_gap: bool = True) -> DataFrame:
     """Why the book cannot be trusted after each event (NULL: valid).
 
@@ -192,15 +283,14 @@ def book_validity(df: DataFrame, sticky_gap: bool = True) -> DataFrame:
         .when(is_bad, "negative size rejected")
         .when(_is_update() & ~held, "ok")
     )
-    reasons = running(states.withColumn("_reason", reason), [S.KEY], reason=last_("_reason"))
-    best = materialize(best_prices(df), "best-prices")
-    priced = asof(reasons.select(S.KEY, "seq", "type", "reason"), best, [S.KEY], "seq", ["best_bid", "best_ask"])
+    # by number through the slices, by name at the end
+    code = F.array_position(F.array(*map(F.lit, REASONS)), reason).cast("int")
+    reasons = running(states.withColumn("_reason", F.nullif(code, F.lit(0))), [S.KEY], reason=last_("_reason"))
+    priced = best_prices(df, reasons.select(S.KEY, "seq", "type", "reason"))
     crossed = F.col("best_bid") >= F.col("best_ask")
-    return priced.withColumn(
-        "reason",
-        F.when(F.col("reason").isNull(), "awaiting snapshot")
-        .when(F.col("reason") != "ok", F.col("reason"))
-        .when(crossed, "crossed book"),
+    named = F.element_at(F.array(*map(F.lit, REASONS)), F.coalesce("reason", F.lit(1)))
+    return priced.withColumn("reason", named).withColumn(
+        "reason", F.when(F.col("reason") != "ok", F.col("reason")).when(crossed, "crossed book")
     )
 
 
