@@ -9,6 +9,7 @@ from its known entry states.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from itertools import groupby
 
 import pandas as pd
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from tickloom import schema as S
 from tickloom.plans import count_, first_, materialize, running
 from tickloom.plans.grouped import grouped_map
-from tickloom.plans.scan import slice_of, slice_rows, spread_over_tasks
+from tickloom.plans.scan import slice_of, slice_rows
 
 GONE = (0, 0, 0, 0)  # side, price, size, priority
 KEPT = -2  # taken over from the entry state
@@ -53,31 +54,80 @@ def after_all(state: tuple, events: list[tuple]) -> tuple:
     return state
 
 
+def is_final(event: tuple) -> bool:
+    """Whether an event sets the size of a live order whatever it was: a cancel, a modification, an execution of all."""
+    return event[0] in (S.CANCEL, S.MODIFY) or (event[0] == S.EXECUTE and event[3] <= 0)
+
+
+def _resolved(state: tuple, side: int, priority: int) -> tuple:
+    """``state`` with what it takes over from its entry filled in."""
+    return (side if state[0] == KEPT else state[0], state[1], state[2], priority if state[3] == KEPT else state[3])
+
+
+def last_states(events: list[tuple]) -> tuple[list[tuple], dict[int, tuple]]:
+    """Where an order ends, in one pass from the back.
+
+    The first result gives, per place, the state at the end of an order that is
+    gone before the event there; the second, per modification, that of an order
+    just modified, its side and priority ``KEPT``.  A live order meets next
+    either the execution that fills it, found by binary search in the sums of
+    executions, or the next final event; both lead to states already known.
+    """
+    n = len(events)
+    filled = [0] * (n + 1)  # executed before each place
+    for i, e in enumerate(events):
+        filled[i + 1] = filled[i] + (e[3] if e[0] == S.EXECUTE and e[3] > 0 else 0)
+    gone: list[tuple] = [GONE] * (n + 1)
+    modified: dict[int, tuple] = {}
+    final = n  # next final event
+
+    def onward(side: int, price: int, size: int, priority: int, at: int) -> tuple:
+        """End of an order alive before place ``at``."""
+        done = bisect_left(filled, filled[at] + size, at, final + 1)
+        if done <= final:  # filled by the event before ``done``
+            return gone[done]
+        if final == n:
+            return (side, price, size - (filled[n] - filled[at]), priority)
+        kind, new_side, new_price, quantity, seq = events[final]
+        if kind != S.MODIFY or quantity <= 0:
+            return gone[final + 1]
+        return _resolved(modified[final], *((side, priority) if new_price == price else (new_side, seq)))
+
+    for i in range(n - 1, -1, -1):
+        kind, side, price, quantity, seq = events[i]
+        gone[i] = onward(side, price, quantity, seq, i + 1) if kind == S.ADD and quantity > 0 else gone[i + 1]
+        if kind == S.MODIFY and quantity > 0:
+            modified[i] = onward(KEPT, price, quantity, KEPT, i + 1)
+        if is_final(events[i]):
+            final = i
+    return gone, modified
+
+
 def statement(events: list[tuple]) -> dict:
     """What a stretch of events does to an order, for every possible entry state."""
-    head = next(
-        (i for i, e in enumerate(events) if e[0] in (S.CANCEL, S.MODIFY) or (e[0] == S.EXECUTE and e[3] <= 0)),
-        len(events),
-    )
+    gone, modified = last_states(events)
+    head = next((i for i, e in enumerate(events) if is_final(e)), len(events))
     filled, thresholds, leads = 0, [], []
     for i, e in enumerate(events[:head]):
         if e[0] == S.EXECUTE:
             filled += e[3]
-            thresholds.append(filled)
-            leads.append(list(after_all(GONE, events[i + 1:])))
+            if leads and leads[-1] == gone[i + 1]:  # fills that lead to one end act as the last of them
+                thresholds[-1] = filled
+            else:
+                thresholds.append(filled)
+                leads.append(gone[i + 1])
     out = {
-        "unknown": list(after_all(GONE, events)), "thresholds": thresholds, "leads": leads,
+        "unknown": list(gone[0]), "thresholds": thresholds, "leads": [list(x) for x in leads],
         "filled": filled, "price": -1, "same": None, "other": None,
     }
     if head < len(events):
         kind, side, price, quantity, seq = events[head]
-        rest = events[head + 1:]
         if kind == S.MODIFY and quantity > 0:
             out["price"] = price
-            out["same"] = list(after_all((KEPT, price, quantity, KEPT), rest))
-            out["other"] = list(after_all((side, price, quantity, seq), rest))
+            out["same"] = list(modified[head])
+            out["other"] = list(_resolved(modified[head], side, seq))
         else:
-            out["same"] = out["other"] = list(after_all(GONE, rest))
+            out["same"] = out["other"] = list(gone[head + 1])
     return out
 
 
@@ -85,17 +135,13 @@ def composed(state: tuple, s: dict) -> tuple:
     """State after a stretch described by its statement."""
     if state[2] <= 0:
         return tuple(int(x) for x in s["unknown"])
-    for limit, lead in zip(s["thresholds"], s["leads"]):
-        if state[2] <= limit:
-            return tuple(int(x) for x in lead)
+    hit = bisect_left(s["thresholds"], state[2])
+    if hit < len(s["thresholds"]):
+        return tuple(int(x) for x in s["leads"][hit])
     if s["same"] is None:
         return (state[0], state[1], state[2] - int(s["filled"]), state[3])
-    end = [int(x) for x in (s["same"] if state[1] == s["price"] else s["other"])]
-    if end[0] == KEPT:
-        end[0] = state[0]
-    if end[3] == KEPT:
-        end[3] = state[3]
-    return tuple(end)
+    end = tuple(int(x) for x in (s["same"] if state[1] == s["price"] else s["other"]))
+    return _resolved(end, state[0], state[3])
 
 
 def _by_order(pdf: pd.DataFrame, *extra: str):
@@ -139,20 +185,23 @@ def mbo_orders(df: DataFrame) -> DataFrame:
         "price bigint, same array<bigint>, other array<bigint>",
     )
 
-    def compose(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(full, ignore_index=True)
-        entries, order, state = [], None, GONE
-        for s in pdf.to_dict("records"):
-            if (s["epoch"], s["order_id"]) != order:
-                order, state = (s["epoch"], s["order_id"]), GONE
-            entries.append(list(state))
-            state = composed(state, s)
-        made = pdf[full].copy()
-        made["_entry"] = entries
-        return made
-
-    spread = spread_over_tasks(df.sparkSession, ORDER).alias("_spread")
-    entries = statements.groupBy(S.KEY, spread).applyInPandas(compose, f"{head}, _entry array<bigint>")
+    def compose(batches):
+        """Entry state of every statement; rows of an order follow one another, whatever batch they come in."""
+        order, state = None, GONE
+        for pdf in batches:
+            entries = []
+            for s in pdf.to_dict("records"):
+                this = (s[S.KEY], s["epoch"], s["order_id"])
+                if this != order:
+                    order, state = this, GONE
+                entries.append(list(state))
+                state = composed(state, s)
+            made = pdf[full].copy()
+            made["_entry"] = entries
+            yield made
+
+    dealt = statements.repartition(S.KEY, *ORDER).sortWithinPartitions(*full)
+    entries = dealt.mapInPandas(compose, f"{head}, _entry array<bigint>")
 
     def evaluate(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
