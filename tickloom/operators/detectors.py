@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
@@ -16,6 +15,7 @@ from tickloom.operators.bars import trade_columns
 from tickloom.plans import count_, last_, materialize, max_, min_, numbered, previous, running, sum_
 from tickloom.plans.grouped import grouped_map
 from tickloom.plans.lookback import lookback
+from tickloom.plans.order_statistic import OrderStatistic
 from tickloom.plans.resets import BandLimit, SweepLimit, TimeLimit, restarting
 from tickloom.plans.scan import slice_of, slice_rows
 from tickloom.plans.sliding import before_window
@@ -112,8 +112,8 @@ def _bias(buy: str = "Bullish", other: str = "Bearish") -> Column:
 def large_trade(df: DataFrame, s: LargeTrade = LargeTrade()) -> DataFrame:
     """Prints of at least the fixed size that also reach the percentile of the prints before them.
 
-    The percentile (nearest rank) is evaluated for candidates only, on slices
-    that carry the tail of the slice before.
+    The percentile (nearest rank) is looked up for candidates only, all of a
+    slice at once, on slices that carry the tail of the slice before.
     """
     trades = trade_columns(df)
     if s.percentile is None:
@@ -131,14 +131,14 @@ def large_trade(df: DataFrame, s: LargeTrade = LargeTrade()) -> DataFrame:
         def candidates(pdf: pd.DataFrame) -> pd.DataFrame:
             size, idx = pdf["quantity"].to_numpy(), pdf["idx"].to_numpy()
             mine = np.flatnonzero((idx // rows == pdf["_slice"].iloc[0]) & (size >= fixed))
-            threshold = np.full(len(mine), fixed, dtype=np.int64)
-            good = np.ones(len(mine), dtype=bool)
-            for i, at in enumerate(mine):
-                recent = size[max(0, at - window):at]
-                if len(recent) >= warm_up:
-                    rank = min(max(math.ceil(share * len(recent)) - 1, 0), len(recent) - 1)
-                    p = int(np.partition(recent, rank)[rank])
-                    threshold[i], good[i] = max(fixed, p), size[at] >= p
+            low = np.maximum(0, mine - window)
+            count = mine - low
+            rank = np.clip(np.ceil(share * count).astype(np.int64) - 1, 0, np.maximum(count - 1, 0))
+            warm = (count >= warm_up) & (count > 0)
+            p = np.full(len(mine), fixed, dtype=np.int64)
+            if warm.any():
+                p[warm] = OrderStatistic(size).ranked(low[warm], mine[warm], rank[warm])
+            threshold, good = np.maximum(fixed, p), ~warm | (size[mine] >= p)
             out = pdf.iloc[mine].copy()
             out["threshold"] = threshold
             return out.loc[good, columns]
