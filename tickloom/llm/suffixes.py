@@ -8,19 +8,28 @@ the bytes of all strings that start there are its context.
 
 1. Contexts are counted by 128-bit hashes. One that stands anywhere twice is
    repeated as a whole; exact copies end here and are never compared.
-2. A string that reaches over an anchor holds 200 bytes to its right, or 200
-   to its left and the token. Of distinct contexts, only those that share such
-   a half with another can share a string. Their bytes are fetched.
-3. These suffixes are range-partitioned by their leading bytes at sampled
-   splitters. Each bucket is sorted by multikey quicksort; suffixes that share
-   the leading token stand together and are compared start by start. The first
-   and the last such run of a bucket may go on in the next bucket, so their
-   starts are also compared across boundaries, by hash.
-4. Repeated starts are brought back to the documents, and what their strings
+2. Prefilters, by hash. A string that reaches over an anchor holds 200 bytes to
+   its right, or 200 to its left and the token; of distinct contexts, only
+   those that share such a half with another can share a string, and their
+   bytes are fetched. Strings that begin less than a step (25 bytes)
+   apart share all but 24 bytes, their core; only starts whose core another context
+   has, too, go on.
+3. The suffixes at the anchors are range-partitioned at sampled splitters, by
+   all their bytes and then by the bytes to their left, read backwards, and
+   every bucket is sorted by multikey quicksort. What neighbours have in common
+   (the longest common prefix) says which suffixes agree for how long; a second
+   order of the bucket, by the left sides, says the same to the left. A start
+   is repeated if another suffix agrees for all it needs to the right and to
+   the left. Starts that need more than half of their bytes to the left are
+   found the same way with the sides exchanged.
+4. A run of suffixes that agree may go on in the next bucket. Strings of runs
+   that reach a bucket's end are compared across buckets: one row for each
+   different string, not for each suffix that has it.
+5. Repeated starts are brought back to the documents, and what their strings
    cover is removed.
 
-A token that a third of all texts share is split over buckets like any other:
-splitters hold a hash of the whole suffix behind its leading token.
+A token, or a passage, that a third of all texts share is split over buckets
+like any other.
 """
 
 from __future__ import annotations
@@ -41,15 +50,16 @@ LENGTH, LEAD = 400, 32
 #: Bits of an anchor's order that hold its place; the rest is its token's hash.
 PLACE_BITS = 34
 CELLS = 1 << 26
-#: Contexts compared at a time inside a bucket, up to the end of a run.
-SLICE = 1000
+#: Steps that a string's bytes are cut into; starts of one step have a core in common.
+STEPS = 16
 #: Bytes of suffixes that a bucket holds on average.
 BUCKET_BYTES = 8 << 20
 NO_ID = -(1 << 63)
 
 ANCHOR_SCHEMA = "id long, row_key long, first int, starts int, c1 long, c2 long, right long, left long"
-CONTEXT_SCHEMA = "c1 long, c2 long, ahead int, starts int, suffix binary, context binary"
-COMPARED_SCHEMA = "c1 long, c2 long, low int, high int, h1 array<long>, h2 array<long>"
+CONTEXT_SCHEMA = "c1 long, c2 long, least int, most int, right binary, left binary"
+CORE_SCHEMA = "c1 long, c2 long, step int, core long"
+COMPARED_SCHEMA = "c1 long, c2 long, low int, high int, ahead int, h1 long, h2 long"
 
 
 def sliding_least(keys: np.ndarray, width: int) -> np.ndarray:
@@ -144,15 +154,49 @@ def _context_rows(length: int, lead: int, wanted):
                 out: list[tuple] = []
                 for i in pick:
                     first, last, anchor = (int(found[n][i]) for n in ("first", "last", "anchor"))
-                    context = view[first: last + length]
-                    out.append((int(found["c1"][i]), int(found["c2"][i]), anchor - first, last - first + 1, view[anchor: last + length] + view[first: anchor], context))
+                    out.append((int(found["c1"][i]), int(found["c2"][i]), anchor - last, anchor - first, view[anchor: last + length], view[first: anchor][::-1]))
                 if out:
                     types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["c1", "c2", "ahead", "starts", "suffix", "context"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["c1", "c2", "least", "most", "right", "left"])
 
     return run
 
 
+def step_of(length: int) -> int:
+    return max(1, length // STEPS)
+
+
+def _core_rows(length: int):
+    """Hash of the core of every step of starts that a context has; starts are told by the bytes they have to the left of the anchor."""
+    size = step_of(length)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            least, most = (batch[c].to_numpy().astype(np.int64) for c in ("least", "most"))
+            contexts = [left.as_py()[::-1] + right.as_py() for left, right in zip(batch["left"], batch["right"], strict=True)]
+            data = np.frombuffer(b"".join(contexts), np.uint8)
+            sums = prefix_sums(VALUES[data], BASES[1])
+            anchor = np.cumsum([0, *map(len, contexts[:-1])]) + most
+            which, step = _steps(least, most, size)
+            begin = anchor[which] - size * step
+            core = mixed(spans(sums, begin, begin + length - size + 1, BASES[1]))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(batch["c1"].to_numpy()[which]), pa.array(batch["c2"].to_numpy()[which]), pa.array(step.astype(np.int32)), pa.array(core.view(np.int64))],
+                names=["c1", "c2", "step", "core"],
+            )
+
+    return run
+
+
+def _steps(least: np.ndarray, most: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and step, for each step that reaches into least..most."""
+    count = most // size - least // size + 1
+    which = np.repeat(np.arange(len(least)), count)
+    return which, np.arange(len(which)) - np.repeat(np.cumsum(count) - count - least // size, count)
+
+
 def multikey_quicksort(strings: list[bytes]) -> list[int]:
     """Order of byte strings: three-way partition by one 8-byte word at a time, deeper only where words are equal."""
     if not strings:
@@ -173,14 +217,25 @@ def multikey_quicksort(strings: list[bytes]) -> list[int]:
     return order
 
 
-def _starts(contexts: list[bytes], starts: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """Every start of every context: context number, offset, two hashes of the string there."""
-    data = np.frombuffer(b"".join(contexts), np.uint8)
-    begin = np.cumsum([0, *map(len, contexts[:-1])])
-    which = np.repeat(np.arange(len(contexts)), starts)
-    offset = np.arange(len(which)) - np.repeat(np.cumsum(starts) - starts, starts)
-    at = begin[which] + offset
-    return which, offset, *(mixed(spans(prefix_sums(VALUES[data], b), at, at + length, b)) for b in BASES[1:])
+def common_prefixes(strings: list[bytes], order: np.ndarray, longest: int) -> np.ndarray:
+    """For each place of the order how many bytes its string shares with the one before (0 for the first), ``longest`` at most."""
+    sizes = np.array([min(len(strings[i]), longest) for i in order], np.int64)
+    grid = np.frombuffer(b"".join(strings[i][:longest].ljust(longest, b"\0") for i in order), np.uint8).reshape(len(order), longest)
+    out = np.zeros(len(order), np.int64)
+    for at in range(1, len(order), 4096):
+        part = slice(at, min(len(order), at + 4096))
+        unlike = grid[part] != grid[at - 1: part.stop - 1]
+        out[part] = np.where(unlike.any(axis=1), unlike.argmax(axis=1), longest)
+    out[1:] = np.minimum(out[1:], np.minimum(sizes[1:], sizes[:-1]))
+    return out
+
+
+def _ordered(strings: list[bytes], longest: int) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each string in the sorted order, and the common prefixes by place."""
+    order = np.array(multikey_quicksort(strings), np.int64)
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return place, common_prefixes(strings, order, longest)
 
 
 def _intervals(which: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -192,12 +247,39 @@ def _intervals(which: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, np.nd
     return which[begin], offset[begin], offset[end]
 
 
-def _compare(length: int, lead: int):
-    """A bucket of suffixes: repeated starts found inside, and the starts of its outer runs."""
-    def rows(c1: np.ndarray, c2: np.ndarray, **more: pa.Array) -> pa.RecordBatch:
-        columns = {"c1": pa.array(c1, pa.int64()), "c2": pa.array(c2, pa.int64())}
-        for name, kind in (("low", pa.int32()), ("high", pa.int32()), ("h1", pa.list_(pa.int64())), ("h2", pa.list_(pa.int64()))):
-            columns[name] = more[name].cast(kind) if name in more else pa.nulls(len(c1), kind)
+def compare_bucket(right: list[bytes], left: list[bytes], least: np.ndarray, most: np.ndarray, steps: np.ndarray, length: int, reverse: bool):
+    """Repeated starts among the suffixes of a bucket, and the strings of its outer runs.
+
+    A start is told by how many bytes it has ahead of the anchor, ``least`` to
+    ``most``; only those of ``steps`` (bits) count. ``left`` is read backwards
+    from the anchor. Buckets are cut by the right side or, with ``reverse``, by
+    the left. Yields per number of bytes ahead: rows with a repeated start, and
+    of each different outer string one row, and whether it is repeated here.
+    """
+    main, other = (left, right) if reverse else (right, left)
+    place, shared = _ordered([m + o for m, o in zip(main, other, strict=True)], length)
+    back, alike = _ordered(other, length)
+    top, size = len(main) - 1, step_of(length)
+    for ahead in range(int(least.min()), int(most.max()) + 1):
+        rows = np.flatnonzero((least <= ahead) & (ahead <= most) & (steps >> (ahead // size) & 1 == 1))
+        if not len(rows):
+            continue
+        need = ahead if reverse else length - ahead
+        # neighbours agree in the bytes needed of each side
+        run, side = np.cumsum(shared < need), np.cumsum(alike < length - need)
+        mine = run[place[rows]]
+        _, first, kind, count = np.unique(mine * (top + 2) + side[back[rows]], return_index=True, return_inverse=True, return_counts=True)
+        outer = first[(mine[first] == run[0]) | (mine[first] == run[top])]
+        again = count[kind] > 1
+        yield ahead, rows[again], rows[outer], again[outer]
+
+
+def _compare(length: int):
+    """Buckets of suffixes: intervals of repeated starts (low, high), and strings of outer runs (ahead, h1, h2; without c1 where repeated already)."""
+    def rows(c1: np.ndarray, c2: np.ndarray, known: np.ndarray | None = None, **more: np.ndarray) -> pa.RecordBatch:
+        columns = {n: pa.array(c, pa.int64(), mask=known) for n, c in (("c1", c1), ("c2", c2))}
+        for name, kind in (("low", pa.int32()), ("high", pa.int32()), ("ahead", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64())):
+            columns[name] = pa.array(more[name].astype(kind.to_pandas_dtype()), kind) if name in more else pa.nulls(len(c1), kind)
         return pa.RecordBatch.from_pydict(columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,36 +287,27 @@ def _compare(length: int, lead: int):
         if not held:
             return
         table = pa.Table.from_batches(held)
-        suffix = table["suffix"].to_pylist()
-        order = np.array(multikey_quicksort(suffix))
-        tokens = [suffix[i][:lead] for i in order]
-        edges = [0, *(i for i in range(1, len(tokens)) if tokens[i] != tokens[i - 1]), len(tokens)]
-        context = table["context"].to_pylist()
-        c1, c2, starts = (table[c].to_numpy()[order] for c in ("c1", "c2", "starts"))
-        a = 0
-        while a < len(edges) - 1:
-            b = a + 1
-            while b < len(edges) - 1 and edges[b] - edges[a] < SLICE:
-                b += 1
-            part = slice(edges[a], edges[b])
-            which, offset, h1, h2 = _starts([context[i] for i in order[part]], starts[part], length)
-            by = np.lexsort((h2, h1))
-            same = (h1[by][1:] == h1[by][:-1]) & (h2[by][1:] == h2[by][:-1])
-            repeated = np.zeros(len(by), bool)
-            repeated[by[1:][same]] = repeated[by[:-1][same]] = True
-            found, low, high = _intervals(which[repeated], offset[repeated])
-            yield rows(c1[part][found], c2[part][found], low=pa.array(low), high=pa.array(high))
-            # outer runs of the bucket: one row per context, with the hashes of all its starts
-            count = edges[b] - edges[a]
-            outer = np.zeros(count, bool)
-            if a == 0:
-                outer[: edges[1]] = True
-            if b == len(edges) - 1:
-                outer[edges[-2] - edges[a]:] = True
-            cuts = np.cumsum([0, *starts[part]]).astype(np.int32)
-            hashes = {n: pa.ListArray.from_arrays(pa.array(cuts), pa.array(h.view(np.int64))).filter(pa.array(outer)) for n, h in (("h1", h1), ("h2", h2))}
-            yield rows(c1[part][outer], c2[part][outer], **hashes)
-            a = b
+        for reverse in (0, 1):
+            part = table.filter(pa.array(table["reverse"].to_numpy() == reverse))
+            if not part.num_rows:
+                continue
+            c1, c2, least, most, steps = (part[c].to_numpy().astype(np.int64) for c in ("c1", "c2", "least", "most", "steps"))
+            right, left = part["right"].to_pylist(), part["left"].to_pylist()
+            texts = [o[::-1] + r for o, r in zip(left, right, strict=True)]
+            data = np.frombuffer(b"".join(texts), np.uint8)
+            anchor = np.cumsum([0, *map(len, texts[:-1])]) + np.array([len(x) for x in left], np.int64)
+            sums = [(prefix_sums(VALUES[data], b), b) for b in BASES[1:]]
+            found: list[tuple[np.ndarray, np.ndarray]] = []
+            for ahead, repeated, outer, known in compare_bucket(right, left, least, most, steps, length, bool(reverse)):
+                found.append((repeated, most[repeated] - ahead))
+                if len(outer):
+                    begin = anchor[outer] - ahead
+                    h1, h2 = (mixed(spans(s, begin, begin + length, b)).view(np.int64) for s, b in sums)
+                    yield rows(c1[outer], c2[outer], known, ahead=np.full(len(outer), ahead), h1=h1, h2=h2)
+            which, offset = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
+            by = np.lexsort((offset, which))
+            at, lows, highs = _intervals(which[by], offset[by])
+            yield rows(c1[at], c2[at], low=lows, high=highs)
 
     return run
 
@@ -289,17 +362,27 @@ def repeated_starts(base: DataFrame, scratch: Scratch, length: int, lead: int, c
     contexts = scratch.keep(base.mapInArrow(_context_rows(length, lead, wanted), CONTEXT_SCHEMA).dropDuplicates(["c1", "c2"]), "contexts")
     wanted.destroy()
     scratch.drop("shared", "owners")
-    size = contexts.agg(F.sum(F.octet_length("suffix"))).first()[0] or 0
+    cores = scratch.keep(contexts.mapInArrow(_core_rows(length), CORE_SCHEMA), "cores")
+    shared = scratch.keep(cores.groupBy("step", "core").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "shared_cores")
+    # bits of the steps whose starts may be repeated; nearer ones by the right side, farther ones by the left
+    alive = cores.join(shared, ["step", "core"]).groupBy("c1", "c2").agg(F.bit_or(F.expr("shiftleft(1L, step)")).alias("steps"))
+    middle = length // 2 // step_of(length)
+    sides = F.array(*[
+        F.struct(F.lit(reverse).alias("reverse"), F.col("steps").bitwiseAND(F.lit(mask)).alias("steps"))
+        for reverse, mask in ((0, (1 << middle) - 1), (1, ~((1 << middle) - 1)))
+    ])
+    chosen = contexts.join(alive, ["c1", "c2"]).select("c1", "c2", "least", "most", "right", "left", F.explode(sides).alias("s")).where("s.steps <> 0")
+    key = F.when(F.col("reverse") == 0, F.concat("right", "left")).otherwise(F.concat("left", "right"))
+    chosen = scratch.keep(chosen.select("c1", "c2", "least", "most", "right", "left", "s.reverse", "s.steps"), "chosen")
+    size = chosen.agg(F.sum(F.octet_length("right") + F.octet_length("left"))).first()[0] or 0
     buckets = max(spark.sparkContext.defaultParallelism, -(-size // BUCKET_BYTES))
-    # the hash splits the suffixes of one token, wherever they differ
-    ranged = contexts.repartitionByRange(buckets, F.substring("suffix", 1, lead), F.xxhash64("suffix"))
-    compared = scratch.keep(ranged.mapInArrow(_compare(length, lead), COMPARED_SCHEMA), "compared")
+    compared = scratch.keep(chosen.repartitionByRange(buckets, "reverse", key).mapInArrow(_compare(length), COMPARED_SCHEMA), "compared")
     inside = compared.where("high IS NOT NULL").select("c1", "c2", "low", "high")
-    # dealt out by context: a token that many texts share fills a few neighbouring buckets
-    packed = compared.where("high IS NULL").repartition(buckets, "c1", "c2")
-    outer = packed.select("c1", "c2", F.posexplode(F.arrays_zip("h1", "h2")).alias("low", "h")).select("c1", "c2", "low", "h.h1", "h.h2")
-    again = scratch.keep(outer.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "again")
-    across = outer.join(again, ["h1", "h2"]).select("c1", "c2", "low", F.col("low").alias("high"))
+    # strings of runs that reach the end of a bucket, one row each; those seen in two buckets, or twice in one
+    outer = compared.where("high IS NULL")
+    again = scratch.keep(outer.groupBy("ahead", "h1", "h2").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "again")
+    most = contexts.select("c1", "c2", "most")
+    across = outer.where("c1 IS NOT NULL").join(again, ["ahead", "h1", "h2"]).join(most, ["c1", "c2"]).select("c1", "c2", (F.col("most") - F.col("ahead")).alias("low")).withColumn("high", F.col("low"))
     whole = distinct.where("n > 1").select("c1", "c2", F.lit(0).alias("low"), (F.col("starts") - 1).alias("high"))
     single = distinct.where("n = 1").select("c1", "c2")
     parts = inside.union(across).join(single, ["c1", "c2"], "left_semi")
@@ -325,7 +408,7 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, lead: int = LEAD, cells:
     scratch = Scratch(docs.sparkSession, "suffixes")
     base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), row_key(F.col("text")).alias("row_key"), "text")
     starts = scratch.keep(repeated_starts(base, scratch, length, lead, cells), "starts")
-    scratch.drop("anchors", "distinct", "contexts", "compared", "again", "repeated")
+    scratch.drop("anchors", "distinct", "contexts", "cores", "shared_cores", "chosen", "compared", "again", "repeated")
     joined = base.join(starts, ["id", "row_key"], "left").select(F.expr(f"nullif(id, {NO_ID + 1} - 1)").alias("doc_id"), "text", "lows", "highs")
     columns = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * with_bytes
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
