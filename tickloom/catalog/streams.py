@@ -12,7 +12,7 @@ from tickloom.catalog.flow import DATED_TRADES, _vwap_sql
 from tickloom.catalog.quality import ROUGH, _rough
 from tickloom.plans.materialize import shared_folder
 from tickloom.sources import recording as r
-from tickloom.streaming import carry, steps, windows
+from tickloom.streaming import alarms, carry, steps, windows
 
 PARTS = 4
 _feeds: dict[tuple, str] = {}
@@ -109,6 +109,19 @@ def _(spark, sf):
     return out.select("detector", "instrument_id", "seq", "price_ticks")
 
 
+def _alarms(spark, sf, threshold):
+    with alarms.keyed_state(spark):
+        return appended(spark, alarms.stale_alarms(feed(spark, sf, "fast", fast(spark, sf)), threshold), "stream-alarms")
+
+
+@query("stream_stale_alarm", with_fast("""SELECT instrument_id, ts_us AS last_activity_us, ts_us + 3000000 AS alarm_us FROM
+  (SELECT *, lead(ts_us) OVER (PARTITION BY instrument_id ORDER BY seq) AS after_us FROM tape)
+  WHERE CASE WHEN after_us IS NULL THEN (SELECT max(ts_us) // 1000 - 10000 FROM tape) >= (ts_us + 3000000) // 1000 + 1 ELSE after_us - ts_us > 3000000 END"""))
+def _(spark, sf):
+    """Silences of more than three seconds, those that last included."""
+    return _alarms(spark, sf, 3_000_000)
+
+
 @query("stream_profile", with_fast("""SELECT instrument_id, ts_us // 3600000000 * 3600000000 AS start_us, price_ticks, CAST(sum(CASE aggressor WHEN 1 THEN quantity ELSE 0 END) AS BIGINT) AS buy,
   CAST(sum(CASE aggressor WHEN 2 THEN quantity ELSE 0 END) AS BIGINT) AS sell, CAST(sum(CASE aggressor WHEN 0 THEN quantity ELSE 0 END) AS BIGINT) AS unknown FROM trades GROUP BY ALL"""))
 def _(spark, sf):
