@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.rolling import BASES, VALUES, mixed, prefix_sums, spans, text_runs
+from tickloom.llm.rolling import BASES, RUN_BYTES, VALUES, mixed, prefix_sums, spans, text_runs
 from tickloom.llm.scratch import Scratch, row_key
 from tickloom.llm.sketch import BLOCK_SCHEMA, Sketch, merged_sketch, sketch_batches
 
@@ -53,7 +53,7 @@ CELLS = 1 << 26
 #: Steps that a string's bytes are cut into; starts of one step have a core in common.
 STEPS = 16
 #: Bytes of suffixes that a bucket holds on average.
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 4 << 20
 NO_ID = -(1 << 63)
 
 ANCHOR_SCHEMA = "id long, row_key long, first int, starts int, c1 long, c2 long, right long, left long"
@@ -166,26 +166,41 @@ def step_of(length: int) -> int:
     return max(1, length // STEPS)
 
 
+def bounded_parts(batch: pa.RecordBatch, length: int) -> Iterator[pa.RecordBatch]:
+    """Rows of contexts (under twice ``length`` bytes each) that have about RUN_BYTES together."""
+    rows = max(1, RUN_BYTES // (2 * length))
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
+def string_hashes(strings: list[bytes], length: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Two hashes of strings of ``length`` bytes, in runs (first, behind the last)."""
+    count = max(1, RUN_BYTES // length)
+    for at in range(0, len(strings), count):
+        some = strings[at: at + count]
+        data, begin = np.frombuffer(b"".join(some), np.uint8), np.arange(len(some)) * length
+        yield at, at + len(some), *(mixed(spans(prefix_sums(VALUES[data], b), begin, begin + length, b)).view(np.int64) for b in BASES[1:])
+
+
 def _core_rows(length: int):
     """Hash of the core of every step of starts that a context has; starts are told by the bytes they have to the left of the anchor."""
     size = step_of(length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            least, most = (batch[c].to_numpy().astype(np.int64) for c in ("least", "most"))
-            contexts = [left.as_py()[::-1] + right.as_py() for left, right in zip(batch["left"], batch["right"], strict=True)]
-            data = np.frombuffer(b"".join(contexts), np.uint8)
-            sums = prefix_sums(VALUES[data], BASES[1])
-            anchor = np.cumsum([0, *map(len, contexts[:-1])]) + most
-            which, step = _steps(least, most, size)
-            begin = anchor[which] - size * step
-            core = mixed(spans(sums, begin, begin + length - size + 1, BASES[1]))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(batch["c1"].to_numpy()[which]), pa.array(batch["c2"].to_numpy()[which]), pa.array(step.astype(np.int32)), pa.array(core.view(np.int64))],
-                names=["c1", "c2", "step", "core"],
-            )
+            for part in bounded_parts(batch, length):
+                least, most = (part[c].to_numpy().astype(np.int64) for c in ("least", "most"))
+                contexts = [left.as_py()[::-1] + right.as_py() for left, right in zip(part["left"], part["right"], strict=True)]
+                data = np.frombuffer(b"".join(contexts), np.uint8)
+                sums = prefix_sums(VALUES[data], BASES[1])
+                anchor = np.cumsum([0, *map(len, contexts[:-1])]) + most
+                which, step = _steps(least, most, size)
+                begin = anchor[which] - size * step
+                core = mixed(spans(sums, begin, begin + length - size + 1, BASES[1]))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(part["c1"].to_numpy()[which]), pa.array(part["c2"].to_numpy()[which]), pa.array(step.astype(np.int32)), pa.array(core.view(np.int64))],
+                    names=["c1", "c2", "step", "core"],
+                )
 
     return run
 
@@ -293,17 +308,12 @@ def _compare(length: int):
                 continue
             c1, c2, least, most, steps = (part[c].to_numpy().astype(np.int64) for c in ("c1", "c2", "least", "most", "steps"))
             right, left = part["right"].to_pylist(), part["left"].to_pylist()
-            texts = [o[::-1] + r for o, r in zip(left, right, strict=True)]
-            data = np.frombuffer(b"".join(texts), np.uint8)
-            anchor = np.cumsum([0, *map(len, texts[:-1])]) + np.array([len(x) for x in left], np.int64)
-            sums = [(prefix_sums(VALUES[data], b), b) for b in BASES[1:]]
             found: list[tuple[np.ndarray, np.ndarray]] = []
             for ahead, repeated, outer, known in compare_bucket(right, left, least, most, steps, length, bool(reverse)):
                 found.append((repeated, most[repeated] - ahead))
-                if len(outer):
-                    begin = anchor[outer] - ahead
-                    h1, h2 = (mixed(spans(s, begin, begin + length, b)).view(np.int64) for s, b in sums)
-                    yield rows(c1[outer], c2[outer], known, ahead=np.full(len(outer), ahead), h1=h1, h2=h2)
+                strings = [left[i][:ahead][::-1] + right[i][: length - ahead] for i in outer]
+                for a, b, h1, h2 in string_hashes(strings, length):
+                    yield rows(c1[outer[a:b]], c2[outer[a:b]], known[a:b], ahead=np.full(b - a, ahead), h1=h1, h2=h2)
             which, offset = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
             by = np.lexsort((offset, which))
             at, lows, highs = _intervals(which[by], offset[by])
