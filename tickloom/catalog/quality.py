@@ -104,10 +104,13 @@ def _(spark, sf):
     return q.clean_stream(_rough(spark, sf), "sequence").select("instrument_id", "seq", "sub", "type", "price_ticks")
 
 
-@query("feed_diagnostics", with_fast("""SELECT instrument_id, count(*) AS ingested, count(*) FILTER (outcome <> 'Duplicate') AS processed,
+DIAGNOSTICS_SQL = """SELECT instrument_id, count(*) AS ingested, count(*) FILTER (outcome <> 'Duplicate') AS processed,
   count(*) FILTER (outcome = 'Gap') AS gaps, count(*) FILTER (outcome = 'Duplicate') AS duplicates, count(*) FILTER (outcome = 'Gap') AS invalidations,
   count(*) FILTER (outcome <> 'Duplicate' AND type = 5) AS trades, count(*) FILTER (outcome <> 'Duplicate' AND type IN (6, 7)) AS depth_updates,
-  max(sequence) AS last_sequence FROM audited GROUP BY instrument_id""", ROUGH))
+  max(sequence) AS last_sequence FROM audited GROUP BY instrument_id"""
+
+
+@query("feed_diagnostics", with_fast(DIAGNOSTICS_SQL, ROUGH))
 def _(spark, sf):
     return q.pipeline_diagnostics(_rough(spark, sf), "sequence")
 

@@ -9,10 +9,10 @@ from tickloom.catalog.bars import OHLC, RANGE_SQL, VOLUME_SQL, _plain
 from tickloom.catalog.base import days, fast, query, with_days, with_fast
 from tickloom.catalog.calendar import DATED
 from tickloom.catalog.flow import DATED_TRADES, _vwap_sql
-from tickloom.catalog.quality import ROUGH, _rough
+from tickloom.catalog.quality import DIAGNOSTICS_SQL, ROUGH, _rough
 from tickloom.plans.materialize import shared_folder
 from tickloom.sources import recording as r
-from tickloom.streaming import alarms, carry, steps, windows
+from tickloom.streaming import alarms, carry, counters, steps, windows
 
 PARTS = 4
 _feeds: dict[tuple, str] = {}
@@ -109,6 +109,14 @@ def _(spark, sf):
     return out.select("detector", "instrument_id", "seq", "price_ticks")
 
 
+@query("stream_diagnostics", with_fast(DIAGNOSTICS_SQL, ROUGH))
+def _(spark, sf):
+    """Counters of all micro-batches, added up."""
+    path = place(spark, "stream-diagnostics")
+    drain(counters.stream_diagnostics(feed(spark, sf, "rough", _rough(spark, sf)), path, "sequence"))
+    return counters.diagnostics(spark, path)
+
+
 def _alarms(spark, sf, threshold):
     with alarms.keyed_state(spark):
         return appended(spark, alarms.stale_alarms(feed(spark, sf, "fast", fast(spark, sf)), threshold), "stream-alarms")

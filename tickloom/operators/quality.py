@@ -173,24 +173,26 @@ def clean_stream(
     ).drop("outcome", "last_sequence")
 
 
+def diagnostic_counters(sequence: str = "seq") -> dict[str, Column]:
+    """Aggregates over audited events (``sequence_audit``)."""
+    kept = F.col("outcome") != DUPLICATE
+    gap = F.col("outcome") == GAP
+    return {
+        "ingested": F.count(F.lit(1)),
+        "processed": F.count_if(kept),
+        "gaps": F.count_if(gap),
+        "duplicates": F.count_if(~kept),
+        "invalidations": F.count_if(gap | (kept & F.col("type").isin(S.BOOK_CLEAR, S.SEQUENCE_GAP))),
+        "trades": F.count_if(kept & (F.col("type") == S.TRADE)),
+        "depth_updates": F.count_if(kept & F.col("type").isin(S.BID_UPDATE, S.ASK_UPDATE)),
+        "last_sequence": F.max(F.col(sequence)),
+    }
+
+
 def pipeline_diagnostics(df: DataFrame, sequence: str = "seq", arrival: str = "seq") -> DataFrame:
     """Counters of one pass of the pipeline per instrument."""
     audited = sequence_audit(df, sequence, arrival)
-
-    def n(condition: Column) -> Column:
-        return F.count_if(condition)
-
-    kept = F.col("outcome") != DUPLICATE
-    return audited.groupBy(S.KEY).agg(
-        F.count(F.lit(1)).alias("ingested"),
-        n(kept).alias("processed"),
-        n(F.col("outcome") == GAP).alias("gaps"),
-        n(F.col("outcome") == DUPLICATE).alias("duplicates"),
-        n((F.col("outcome") == GAP) | (kept & F.col("type").isin(S.BOOK_CLEAR, S.SEQUENCE_GAP))).alias("invalidations"),
-        n(kept & (F.col("type") == S.TRADE)).alias("trades"),
-        n(kept & F.col("type").isin(S.BID_UPDATE, S.ASK_UPDATE)).alias("depth_updates"),
-        F.max(F.col(sequence)).alias("last_sequence"),
-    )
+    return audited.groupBy(S.KEY).agg(*[c.alias(n) for n, c in diagnostic_counters(sequence).items()])
 
 
 def stale_gaps(df: DataFrame, threshold_us: int) -> DataFrame:
