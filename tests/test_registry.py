@@ -33,3 +33,28 @@ def test_settings_are_clamped():
 def test_settings_table(spark):
     rows = {r.instrument_id: r.large_trade for r in fp.settings_table(spark, {1: fp.NQ, 2: fp.ES}).collect()}
     assert rows == {1: 45, 2: 75}
+
+
+def test_table_functions_over_many_batches(spark):
+    """Bars go on over Arrow batches, and partitions do not mix."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from tickloom.functions.tables import register_table_functions
+    from tickloom.operators import bars
+
+    rng = np.random.default_rng(4)
+    rows = [(k, i, i * 10, 100 + int(p), int(q), int(a)) for k, n in ((1, 500), (2, 77), (3, 1))
+            for i, (p, q, a) in enumerate(zip(np.cumsum(rng.integers(-1, 2, n)), rng.integers(1, 9, n), rng.integers(0, 3, n)))]
+    prints = spark.createDataFrame(rows, "instrument_id int, seq long, ts_us long, price_ticks long, quantity long, aggressor int")
+    prints.createOrReplaceTempView("test_prints")
+    assert register_table_functions(spark) == ["range_bars", "tick_bars", "volume_bars"]
+    tape = prints.withColumns({"type": F.lit(5), "ts": F.timestamp_micros("ts_us")})
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        for name, size, build in (("tick_bars", 10, bars.tick_bars), ("volume_bars", 30, bars.volume_bars), ("range_bars", 3, bars.range_bars)):
+            columns = ["instrument_id", "start_us", "end_us", "open", "high", "low", "close", "volume", "buy", "sell", "trades", "first_seq", "last_seq", "is_closed"]
+            got = spark.sql(f"SELECT * FROM {name}({size}, TABLE(test_prints) PARTITION BY instrument_id ORDER BY seq)").select(*columns).collect()
+            assert sorted(map(tuple, got)) == sorted(map(tuple, build(tape, size).select(*columns).collect()))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")

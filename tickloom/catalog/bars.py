@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tickloom.catalog.base import TAPE_DAYS, days, fast, query, shared, with_fast
 from tickloom.catalog.calendar import DATED
+from tickloom.functions.tables import register_table_functions
 from tickloom.operators import calendar as c
 from tickloom.operators import bars as b
 
@@ -83,6 +84,29 @@ RANGE_SQL = _restart_sql(
 )
 
 
+def _from_sql(spark, sf, call):
+    """Bars of a table function called from SQL text."""
+    register_table_functions(spark)
+    b.trade_columns(fast(spark, sf)).createOrReplaceTempView("prints")
+    return _plain(spark.sql(f"SELECT * FROM {call}, TABLE(prints) PARTITION BY instrument_id ORDER BY seq)"))
+
+
+@query("sql_tick_bars", with_fast(f"SELECT * REPLACE (first_seq AS bar_id) FROM (SELECT {OHLC}, count(*) >= 50 AS is_closed FROM (SELECT *, (row_number() OVER (PARTITION BY instrument_id ORDER BY seq) - 1) // 50 AS bar_id FROM trades) GROUP BY instrument_id, bar_id)"))
+def _(spark, sf):
+    """``tick_bars`` called from SQL; bars are named by their first sequence."""
+    return _from_sql(spark, sf, "tick_bars(50")
+
+
+@query("sql_volume_bars", VOLUME_SQL)
+def _(spark, sf):
+    return _from_sql(spark, sf, "volume_bars(400")
+
+
+@query("sql_range_bars", RANGE_SQL)
+def _(spark, sf):
+    return _from_sql(spark, sf, "range_bars(6")
+
+
 @query("volume_bars", VOLUME_SQL)
 def _(spark, sf):
     return _plain(b.volume_bars(fast(spark, sf), 400))
