@@ -12,9 +12,9 @@ from tickloom.catalog.footprint import levels as footprint_levels
 from tickloom.catalog.footprint import LV
 from tickloom.catalog.profile import PROFILE
 from tickloom.functions import registry
-from tickloom.operators import flow, review, session
+from tickloom.operators import digests, flow, review, session
 from tickloom.operators.quality import trades
-from tickloom.plans.materialize import shared_folder
+from tickloom.plans.materialize import materialize, shared_folder
 from tickloom.sources import recording as r
 
 _recordings: dict[tuple, str] = {}
@@ -156,6 +156,30 @@ def _(spark, sf):
     return session.verify_reproducible(fast(spark, sf)).select("instrument_id", "is_same")
 
 
+LEAF = 512
+CHANGED, LOST = "seq % 9973 = 4321", "seq % 7001 = 6500"
+
+
+@query("tampered_slice", with_fast(f"""SELECT instrument_id, slice, events, events - lost AS other_events FROM (SELECT *, row_number() OVER (PARTITION BY instrument_id ORDER BY slice) AS n FROM
+  (SELECT instrument_id, seq // {LEAF} AS slice, count(*) AS events, count(*) FILTER ({LOST}) AS lost, count(*) FILTER ({LOST} OR {CHANGED}) AS hit FROM tape GROUP BY ALL) WHERE hit > 0) WHERE n = 1"""))
+def _(spark, sf):
+    """Where a copy of the tape with a few changed and lost events parts from it."""
+    tape = fast(spark, sf)
+    copy = tape.where(f"NOT ({LOST})").withColumn("quantity", F.expr(f"quantity + CASE WHEN {CHANGED} THEN 1 ELSE 0 END"))
+    mine, theirs = (materialize(digests.leaves(t.repartition(n, "price_ticks"), LEAF), "leaves") for t, n in ((tape, 3), (copy, 5)))
+    return digests.first_difference(mine, theirs, fan=8)
+
+
+@query("tape_digests", with_fast(f"""SELECT instrument_id, slice, count(*) AS events, CAST(sum(CAST('0x' || substr(h, 1, 15) AS BIGINT)) AS VARCHAR) AS sum_a, CAST(sum(CAST('0x' || substr(h, 16, 15) AS BIGINT)) AS VARCHAR) AS sum_b FROM
+  (SELECT instrument_id, seq // {LEAF} AS slice, md5(concat_ws('|', seq, ts_us, type, side, price_ticks, quantity, aggressor)) AS h FROM tape) GROUP BY ALL"""))
+def _(spark, sf):
+    """Leaves of two halves of the tape, added up."""
+    tape = fast(spark, sf)
+    columns = ("seq", "ts_us", "type", "side", "price_ticks", "quantity", "aggressor")
+    halves = [digests.leaves(tape.where(f"seq % 2 = {i}"), LEAF, columns) for i in (0, 1)]
+    return digests.appended(*halves).withColumns({c: F.col(c).cast("string") for c in ("sum_a", "sum_b")})
+
+
 @query("market_snapshot", with_fast(f"""SELECT 'bars' AS part, instrument_id, bar_id AS a, volume AS b FROM bars WHERE first_seq <= {POSITION}
   UNION ALL SELECT 'profile', instrument_id, price_ticks, CAST(sum(quantity) AS BIGINT) FROM trades WHERE seq <= {POSITION} AND aggressor > 0 GROUP BY ALL
   UNION ALL SELECT 'tape', instrument_id, seq, quantity FROM (SELECT * FROM trades WHERE seq <= {POSITION} ORDER BY ts_us DESC, seq DESC, instrument_id LIMIT 60)
