@@ -9,7 +9,6 @@ from tickloom.catalog.bars import BARS, MINUTE, minute_bars, minute_trades
 from tickloom.catalog.base import fast, query, shared, with_fast
 from tickloom.operators import bars as b
 from tickloom.operators import footprint as fp
-from tickloom.plans.by_instrument import by_instrument
 
 SET = fp.FootprintSettings(buy_ratio=2.0, sell_ratio=2.0, stacked_count=2, large_trade=60)
 GAP = replace(SET, allow_one_gap=True, horizontal=True)
@@ -165,7 +164,7 @@ def _(spark, sf):
   LEFT JOIN (SELECT {BARKEY}, {POC_SQL.format(m='total')} AS poc, count(*) FILTER (ask >= lim AND (bid_below <= 0 OR ask >= 3 * bid_below)) AS buy_imbalances, count(*) FILTER (bid >= lim AND (ask_above <= 0 OR bid >= 3 * ask_above)) AS sell_imbalances,
     count(*) FILTER (max_print >= CASE instrument_id WHEN 1 THEN 45 ELSE 75 END) AS large FROM (SELECT *, CASE instrument_id WHEN 1 THEN 2 ELSE 4 END AS lim FROM nb) JOIN bars USING ({BARKEY}) GROUP BY ALL) r USING ({BARKEY})""", BARS, LV))
 def _(spark, sf):
-    out = by_instrument(fp.footprint_bar, [levels(spark, sf), minute_bars(spark, sf)], {1: fp.NQ, 2: fp.ES})
+    out = fp.footprint_bar(levels(spark, sf), minute_bars(spark, sf), fp.settings_table(spark, {1: fp.NQ, 2: fp.ES}))
     zero = F.lit(0).cast("long")
     return out.select(
         *fp.BAR, "poc", F.coalesce("buy_imbalances", zero).alias("buy_imbalances"), F.coalesce("sell_imbalances", zero).alias("sell_imbalances"),

@@ -75,6 +75,54 @@ def settings_table(spark: SparkSession, by_instrument: dict[int, FootprintSettin
     return spark.createDataFrame(rows, schema)
 
 
+NAMES = [f.name for f in fields(FootprintSettings) if f.name != "large_trade_percentile"]
+#: Least and greatest value of each threshold that has limits.
+LIMITS = {
+    "buy_ratio": (1.01, 100.0), "sell_ratio": (1.01, 100.0), "min_imbalance": (0, None), "denominator_floor": (1, None), "stacked_count": (2, 50),
+    "min_stack_volume": (0, None), "zero_print_min": (0, None), "unfinished_min": (0, None), "large_trade": (1, None),
+}
+
+
+def validated_table(settings: DataFrame) -> DataFrame:
+    """A table of thresholds (instrument_id and any of them) with defaults for what is missing or null, all within their limits."""
+    default = FootprintSettings()
+    columns = []
+    for name in NAMES:
+        value = F.lit(getattr(default, name))
+        if name in settings.columns:
+            value = F.coalesce(F.col(name), value)
+        low, high = LIMITS.get(name, (None, None))
+        value = value if low is None else F.greatest(value, F.lit(low))
+        columns.append((value if high is None else F.least(value, F.lit(high))).alias(name))
+    return settings.select(S.KEY, *columns)
+
+
+class Thresholds:
+    """Thresholds as columns: of one setting, or of the row's instrument where a table of them was joined."""
+
+    def __init__(self, fixed: FootprintSettings | None = None):
+        self._fixed = fixed
+
+    def __getattr__(self, name: str) -> Column:
+        return F.col(f"_s_{name}") if self._fixed is None else F.lit(getattr(self._fixed, name))
+
+    def may(self, name: str) -> bool:
+        """Whether a switch is on, for any row as far as the plan can tell."""
+        return self._fixed is None or bool(getattr(self._fixed, name))
+
+
+def with_thresholds(levels: DataFrame, settings: FootprintSettings | DataFrame) -> tuple[DataFrame, Thresholds]:
+    """Levels ready to be judged by ``settings``: one for all, or a table with a row per instrument (others have no result)."""
+    if isinstance(settings, FootprintSettings):
+        return levels, Thresholds(settings.validated())
+    own = validated_table(settings).select(S.KEY, *[F.col(n).alias(f"_s_{n}") for n in NAMES])
+    return levels.join(own, S.KEY), Thresholds()
+
+
+def _plain(df: DataFrame) -> DataFrame:
+    return df.drop(*[c for c in df.columns if c.startswith("_s_")])
+
+
 def footprint_levels(assigned: DataFrame) -> DataFrame:
     """Volumes, counts and largest prints per bar and price."""
     qty = F.col("quantity")
@@ -107,6 +155,13 @@ def _metric(name: str) -> Column:
     )
 
 
+def _metric_of(t: Thresholds) -> Column:
+    out = _metric("total")
+    for name in POC_METRICS[1:]:
+        out = F.when(t.poc_metric == name, _metric(name)).otherwise(out)
+    return out
+
+
 def footprint_poc(levels: DataFrame, bars: DataFrame, metric: str = "total") -> DataFrame:
     """Price of the largest metric; ties go towards the close, then with the bar's direction."""
     away = -F.abs(F.col("price_ticks") - F.col("close"))
@@ -118,15 +173,12 @@ def footprint_poc(levels: DataFrame, bars: DataFrame, metric: str = "total") ->
     )
 
 
-def qualifies(dominant: Column, compared: Column, ratio: float, s: FootprintSettings) -> Column:
+def qualifies(dominant: Column, compared: Column, ratio: Column | float, t: Thresholds, policy: Column | None = None) -> Column:
     """Whether one side outweighs the other; the policy decides when the other is empty."""
-    empty = {
-        "ignore": F.lit(False),
-        "require_min_numerator": dominant >= s.min_imbalance,
-        "extreme_imbalance": F.lit(True),
-        "denominator_floor": dominant >= ratio * s.denominator_floor,
-    }[s.zero_denominator]
-    enough = (dominant >= s.min_imbalance) & (dominant > 0)
+    policy = t.zero_denominator if policy is None else policy
+    enough = (dominant >= t.min_imbalance) & (dominant > 0)
+    # a volume that is enough meets the required numerator and any empty side
+    empty = (policy != "ignore") & ((policy != "denominator_floor") | (dominant >= ratio * t.denominator_floor))
     return enough & F.when(compared <= 0, empty).otherwise(dominant >= ratio * compared)
 
 
@@ -139,21 +191,22 @@ def _neighbours(levels: DataFrame) -> DataFrame:
     return levels.withColumn("bid_below", F.coalesce(below, zero)).withColumn("ask_above", F.coalesce(above, zero))
 
 
-def diagonal_imbalance(levels: DataFrame, settings: FootprintSettings) -> DataFrame:
-    s = settings.validated()
-    return _neighbours(published(levels)).withColumns(
+def diagonal_imbalance(levels: DataFrame, settings: FootprintSettings | DataFrame) -> DataFrame:
+    levels, t = with_thresholds(levels, settings)
+    return _plain(_neighbours(published(levels)).withColumns(
         {
-            "buy_imbalance": qualifies(F.col("ask"), F.col("bid_below"), s.buy_ratio, s),
-            "sell_imbalance": qualifies(F.col("bid"), F.col("ask_above"), s.sell_ratio, s),
+            "buy_imbalance": qualifies(F.col("ask"), F.col("bid_below"), t.buy_ratio, t),
+            "sell_imbalance": qualifies(F.col("bid"), F.col("ask_above"), t.sell_ratio, t),
         }
-    )
+    ))
 
 
-def horizontal_imbalance(levels: DataFrame, settings: FootprintSettings) -> DataFrame:
+def horizontal_imbalance(levels: DataFrame, settings: FootprintSettings | DataFrame) -> DataFrame:
     """Same-price comparison; one marker per level, buys first."""
-    s = settings.validated()
-    buy = qualifies(F.col("ask"), F.col("bid"), s.buy_ratio, replace(s, zero_denominator="extreme_imbalance"))
-    sell = qualifies(F.col("bid"), F.col("ask"), s.sell_ratio, replace(s, zero_denominator="extreme_imbalance"))
+    levels, t = with_thresholds(levels, settings)
+    always = F.lit("extreme_imbalance")
+    buy = qualifies(F.col("ask"), F.col("bid"), t.buy_ratio, t, always)
+    sell = qualifies(F.col("bid"), F.col("ask"), t.sell_ratio, t, always)
     side = F.when(buy, "Buy").when(sell, "Sell")
     return published(levels).withColumn("side", side).where(F.col("side").isNotNull()).select(
         *BAR, "price_ticks", "side",
@@ -162,19 +215,22 @@ def horizontal_imbalance(levels: DataFrame, settings: FootprintSettings) -> Data
     )
 
 
-def imbalance_flags(levels: DataFrame, settings: FootprintSettings) -> DataFrame:
-    """Buy and sell flags of each level; diagonal and horizontal rules are OR-ed."""
-    s = settings.validated()
+def _imbalance_flags(levels: DataFrame, t: Thresholds) -> DataFrame:
     buy, sell = F.lit(False), F.lit(False)
-    if s.diagonal:
-        buy = buy | qualifies(F.col("ask"), F.col("bid_below"), s.buy_ratio, s)
-        sell = sell | qualifies(F.col("bid"), F.col("ask_above"), s.sell_ratio, s)
-    if s.horizontal:
-        buy = buy | qualifies(F.col("ask"), F.col("bid"), s.buy_ratio, s)
-        sell = sell | qualifies(F.col("bid"), F.col("ask"), s.sell_ratio, s)
+    if t.may("diagonal"):
+        buy = buy | (t.diagonal & qualifies(F.col("ask"), F.col("bid_below"), t.buy_ratio, t))
+        sell = sell | (t.diagonal & qualifies(F.col("bid"), F.col("ask_above"), t.sell_ratio, t))
+    if t.may("horizontal"):
+        buy = buy | (t.horizontal & qualifies(F.col("ask"), F.col("bid"), t.buy_ratio, t))
+        sell = sell | (t.horizontal & qualifies(F.col("bid"), F.col("ask"), t.sell_ratio, t))
     return _neighbours(published(levels)).withColumns({"buy_imbalance": buy, "sell_imbalance": sell})
 
 
+def imbalance_flags(levels: DataFrame, settings: FootprintSettings | DataFrame) -> DataFrame:
+    """Buy and sell flags of each level; diagonal and horizontal rules are OR-ed."""
+    return _plain(_imbalance_flags(*with_thresholds(levels, settings)))
+
+
 def imbalance_markers(levels: DataFrame, ratio: float = 3.0, min_volume: int = 1) -> DataFrame:
     """Diagonal imbalances as rows; an empty opposite side always qualifies."""
 
@@ -196,7 +252,7 @@ def imbalance_markers(levels: DataFrame, ratio: float = 3.0, min_volume: int = 1
 SIDES = {"Buy": ("buy_imbalance", "ask", "stacked_buy"), "Sell": ("sell_imbalance", "bid", "stacked_sell")}
 
 
-def _zoned(flags: DataFrame, side: str, s: FootprintSettings) -> DataFrame:
+def _zoned(flags: DataFrame, side: str, t: Thresholds) -> DataFrame:
     """Add the zone of each flagged level of one side, and whether the zone counts.
 
     Runs of flagged neighbours are islands.  With ``allow_one_gap`` an island
@@ -215,15 +271,14 @@ def _zoned(flags: DataFrame, side: str, s: FootprintSettings) -> DataFrame:
     numbered = flags.withColumns({"_start": island_start, "_chain": chain_start}).withColumns(
         {"_i": F.count_if("_start").over(so_far), "_c": F.count_if("_chain").over(so_far)}
     )
-    if s.allow_one_gap:
+    zone = F.struct(F.col("_i").alias("run"), F.lit(0).cast("long").alias("pair"))
+    if t.may("allow_one_gap"):
         in_chain = Window.partitionBy(*BAR, "_c")
         first = F.min(F.when(flag, F.col("_i"))).over(in_chain)
-        zone = F.struct(F.col("_c").alias("run"), F.floor((F.col("_i") - first) / 2).alias("pair"))
-    else:
-        zone = F.struct(F.col("_i").alias("run"), F.lit(0).cast("long").alias("pair"))
+        zone = F.when(t.allow_one_gap, F.struct(F.col("_c").alias("run"), F.floor((F.col("_i") - first) / 2).alias("pair"))).otherwise(zone)
     of_zone = Window.partitionBy(*BAR, "_zone")
-    counts = (F.count_if(flag).over(of_zone) >= s.stacked_count) & (
-        F.sum(F.when(flag, F.col(volume))).over(of_zone) >= s.min_stack_volume
+    counts = (F.count_if(flag).over(of_zone) >= t.stacked_count) & (
+        F.sum(F.when(flag, F.col(volume))).over(of_zone) >= t.min_stack_volume
     )
     return (
         numbered.withColumn("_zone", zone).withColumn("_stacked", flag & counts)
@@ -231,16 +286,19 @@ def _zoned(flags: DataFrame, side: str, s: FootprintSettings) -> DataFrame:
     )
 
 
-def stacked_flags(flags: DataFrame, settings: FootprintSettings) -> DataFrame:
-    """Levels that belong to a zone, flagged per side; ``zone_buy`` and ``zone_sell`` tell which."""
-    s = settings.validated()
+def _stacked_flags(flags: DataFrame, t: Thresholds) -> DataFrame:
     for side, (_, _, stacked) in SIDES.items():
-        flags = _zoned(flags, side, s).withColumnsRenamed(
+        flags = _zoned(flags, side, t).withColumnsRenamed(
             {"_zone": f"zone_{side.lower()}", "_stacked": stacked}
         )
     return flags
 
 
+def stacked_flags(flags: DataFrame, settings: FootprintSettings | DataFrame) -> DataFrame:
+    """Levels that belong to a zone, flagged per side; ``zone_buy`` and ``zone_sell`` tell which."""
+    return _plain(_stacked_flags(*with_thresholds(flags, settings)))
+
+
 def zones_of(stacked: DataFrame) -> DataFrame:
     """Zones of levels flagged by ``stacked_flags``, one row each."""
     member = F.array_compact(
@@ -258,7 +316,7 @@ def zones_of(stacked: DataFrame) -> DataFrame:
     )
 
 
-def stacked_zones(flags: DataFrame, settings: FootprintSettings) -> DataFrame:
+def stacked_zones(flags: DataFrame, settings: FootprintSettings | DataFrame) -> DataFrame:
     """Zones of stacked imbalances per bar and side."""
     return zones_of(stacked_flags(flags, settings))
 
@@ -267,26 +325,23 @@ def _with_bar(levels: DataFrame, bars: DataFrame, *columns: str) -> DataFrame:
     return published(levels).join(bars.select(*BAR, *columns), BAR)
 
 
-def _is_zero_print(s: FootprintSettings) -> Column:
-    one_sided = ((F.col("bid") == 0) & (F.col("ask") >= s.zero_print_min)) | (
-        (F.col("ask") == 0) & (F.col("bid") >= s.zero_print_min)
+def _is_zero_print(t: Thresholds) -> Column:
+    one_sided = ((F.col("bid") == 0) & (F.col("ask") >= t.zero_print_min)) | (
+        (F.col("ask") == 0) & (F.col("bid") >= t.zero_print_min)
     )
-    if s.zero_print_exclude_extremes:
-        inner = (F.col("price_ticks") != F.col("high")) & (F.col("price_ticks") != F.col("low"))
-        one_sided = one_sided & inner
-    return one_sided
+    inner = (F.col("price_ticks") != F.col("high")) & (F.col("price_ticks") != F.col("low"))
+    return one_sided & (~t.zero_print_exclude_extremes | inner)
 
 
-def zero_prints(levels: DataFrame, bars: DataFrame, settings: FootprintSettings) -> DataFrame:
+def zero_prints(levels: DataFrame, bars: DataFrame, settings: FootprintSettings | DataFrame) -> DataFrame:
     """Levels where only one side traded."""
-    return _with_bar(levels, bars, "high", "low").where(_is_zero_print(settings.validated())).select(
-        *BAR, "price_ticks", "bid", "ask"
-    )
+    levels, t = with_thresholds(levels, settings)
+    return _with_bar(levels, bars, "high", "low").where(_is_zero_print(t)).select(*BAR, "price_ticks", "bid", "ask")
 
 
-def _unfinished(s: FootprintSettings) -> tuple[Column, Column]:
-    at_high = (F.col("price_ticks") == F.col("high")) & (F.col("bid") >= s.unfinished_min)
-    at_low = (F.col("price_ticks") == F.col("low")) & (F.col("ask") >= s.unfinished_min)
+def _unfinished(t: Thresholds) -> tuple[Column, Column]:
+    at_high = (F.col("price_ticks") == F.col("high")) & (F.col("bid") >= t.unfinished_min)
+    at_low = (F.col("price_ticks") == F.col("low")) & (F.col("ask") >= t.unfinished_min)
     return at_high, at_low
 
 
@@ -295,9 +350,10 @@ def _auction(hit: Column) -> Column:
     return F.coalesce(F.max(F.when(hit, state)), F.lit("None"))
 
 
-def unfinished_auction(levels: DataFrame, bars: DataFrame, settings: FootprintSettings) -> DataFrame:
+def unfinished_auction(levels: DataFrame, bars: DataFrame, settings: FootprintSettings | DataFrame) -> DataFrame:
     """Both sides still trading at an extreme: at the high, at the low."""
-    at_high, at_low = _unfinished(settings.validated())
+    levels, t = with_thresholds(levels, settings)
+    at_high, at_low = _unfinished(t)
     return _with_bar(levels, bars, "high", "low", "is_closed").groupBy(*BAR).agg(
         _auction(at_high).alias("unfinished_high"), _auction(at_low).alias("unfinished_low")
     )
@@ -325,20 +381,24 @@ def large_trade_levels(levels: DataFrame, settings: FootprintSettings, trades: D
     )
 
 
-def footprint_bar(levels: DataFrame, bars: DataFrame, settings: FootprintSettings) -> DataFrame:
-    """One row per bar with totals, flags, nested levels and nested zones."""
-    s = settings.validated()
-    flags = stacked_flags(imbalance_flags(levels, s), s)
-    at_high, at_low = _unfinished(s)
+def footprint_bar(levels: DataFrame, bars: DataFrame, settings: FootprintSettings | DataFrame) -> DataFrame:
+    """One row per bar with totals, flags, nested levels and nested zones.
+
+    ``settings`` is one setting for all instruments or a table of thresholds by
+    instrument; instruments that it does not have come without flags.
+    """
+    judged, t = with_thresholds(levels, settings)
+    flags = _stacked_flags(_imbalance_flags(judged, t), t)
+    at_high, at_low = _unfinished(t)
     marked = (
         flags.join(bars.select(*BAR, "open", "high", "low", "close", "is_closed"), BAR)
-        .withColumn("is_zero_print", _is_zero_print(s))
+        .withColumn("is_zero_print", _is_zero_print(t))
         .withColumn("is_unfinished", at_high | at_low)
-        .withColumn("is_large", F.col("max_print") >= s.large_trade)
+        .withColumn("is_large", F.col("max_print") >= t.large_trade)
     )
     away = -F.abs(F.col("price_ticks") - F.col("close"))
     lean = F.when(F.col("close") >= F.col("open"), F.col("price_ticks")).otherwise(-F.col("price_ticks"))
-    best = F.max(F.struct(_metric(s.poc_metric).alias("m"), away.alias("a"), lean.alias("l"), F.col("price_ticks").alias("p")))
+    best = F.max(F.struct(_metric_of(t).alias("m"), away.alias("a"), lean.alias("l"), F.col("price_ticks").alias("p")))
     zero = F.lit(0).cast("long")
     nested = F.struct(
         "price_ticks", "bid", "ask", "unknown", "trades", "max_print", "buy_imbalance", "sell_imbalance",
