@@ -11,6 +11,7 @@ from contextvars import ContextVar
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+_own_folders: dict[str, str] = {}
 #: Spark drops a query's shuffle files when it ends, instead of when the driver's garbage is collected.
 CLEANUP_CONF = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -27,8 +28,11 @@ def shared_folder(spark: SparkSession) -> str:
         master = spark.sparkContext.master
         if not (master == "local" or master.startswith("local[")):
             raise ValueError(f"{CHECKPOINT_CONF} must name a folder that driver and executors share (master {master})")
-        folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set(CHECKPOINT_CONF, folder)
+        # a running session does not take the setting any more, so the folder is remembered here
+        app = spark.sparkContext.applicationId
+        if app not in _own_folders:
+            _own_folders[app] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        folder = _own_folders[app]
     return folder.rstrip("/")
 
 

@@ -483,8 +483,8 @@ def restarting(
             parents = states.select(*lane, *within, F.col("_slice").alias("_up"), F.col("_entry").alias("_known"))
             below = level.withColumn("_up", up).join(parents, [*lane, *within, "_up"])
             states = grouped_map(below, [*lane, "_up"], [*within, "_slice"], handed, f"{head}, _entry array<bigint>")
-        # one short row per slice; the functions go
-        entries = materialize(states, "entries")
+        # one short row per slice; of several levels the functions go
+        entries = states if len(levels) == 1 else materialize(states, "entries")
 
     def mark(pdf: pd.DataFrame) -> pd.DataFrame:
         entry = pdf["_entry"].to_numpy()

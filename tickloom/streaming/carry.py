@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import DataStreamWriter
 
-from tickloom.plans.materialize import remove_table
+from tickloom.plans.materialize import remove_table, temporary_tables
 
 Step = Callable[[DataFrame, dict[str, DataFrame] | None], tuple[DataFrame, dict[str, DataFrame]]]
 
@@ -35,10 +35,12 @@ def carried(stream: DataFrame, step: Step, path: str) -> DataStreamWriter:
             }
         batch = batch.persist()
         try:
-            out, after = step(batch, before)
-            out.write.mode("overwrite").parquet(f"{path}/out/batch_id={batch_id}")
-            for name, table in after.items():
-                table.write.mode("overwrite").parquet(f"{path}/state/{name}/batch_id={batch_id}")
+            # what the step stores on the way has no reader once output and state are written
+            with temporary_tables():
+                out, after = step(batch, before)
+                out.write.mode("overwrite").parquet(f"{path}/out/batch_id={batch_id}")
+                for name, table in after.items():
+                    table.write.mode("overwrite").parquet(f"{path}/state/{name}/batch_id={batch_id}")
             spark.createDataFrame([(n,) for n in after], "value string").coalesce(1).write.mode("overwrite").text(
                 f"{path}/state/names/batch_id={batch_id}"
             )
