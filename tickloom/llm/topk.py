@@ -24,7 +24,7 @@ K, SCALE = 5, 256
 #: Vectors of a block of candidates and of queries.
 CANDIDATES, QUERIES = 8192, 2048
 #: Depths at which bounds are compared, as parts of a list; at the last one bounds are scores.
-DEPTHS = (0.5, 0.75, 0.9, 1.0)
+DEPTHS = (0.125, 0.25, 0.5, 0.75, 0.9, 1.0)
 #: Candidates that may be left when reading stops.
 FEW = 64
 
@@ -55,8 +55,13 @@ def _bounds(order: np.ndarray, depth: int, items: np.ndarray) -> tuple[np.ndarra
     return worst, best
 
 
-def nearest(queries: np.ndarray, query_ids: np.ndarray, items: np.ndarray, item_ids: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-    """(query id, item id, score): for each query its k best items of a block, and ties with the last; never the query's own id."""
+def nearest(
+    queries: np.ndarray, query_ids: np.ndarray, items: np.ndarray, item_ids: np.ndarray, k: int, read: dict[int, float] | None = None,
+) -> list[tuple[int, int, int]]:
+    """(query id, item id, score): for each query its k best items of a block, and ties with the last; never the query's own id.
+
+    ``read`` is told which part of every list each query has read.
+    """
     n = len(items)
     values = items.astype(np.float64)
     order = np.argsort(items, axis=0, kind="stable")
@@ -68,8 +73,6 @@ def nearest(queries: np.ndarray, query_ids: np.ndarray, items: np.ndarray, item_
     todo = np.arange(len(queries))
     for part in DEPTHS:
         depth = max(1, int(np.ceil(part * n)))
-        if depth < n <= 4 * FEW:
-            continue
         worst, best = _bounds(order, depth, values)
         later = []
         for at in range(0, len(todo), 256):
@@ -81,6 +84,8 @@ def nearest(queries: np.ndarray, query_ids: np.ndarray, items: np.ndarray, item_
             alive = (upper >= (kth - 2 * slack[some])[:, None]) & ~own
             ready = (alive.sum(axis=1) <= FEW + k) | (depth == n)
             later.append(some[~ready])
+            if read is not None:
+                read |= dict.fromkeys(query_ids[some[ready]].tolist(), depth / n)
             q, item = np.nonzero(alive & ready[:, None])
             scores = np.einsum("ij,ij->i", queries[some[q]], items[item])
             out += zip(query_ids[some[q]].tolist(), item_ids[item].tolist(), scores.tolist(), strict=True)
