@@ -178,7 +178,7 @@ def _best_of_slice(columns: list[str]):
         for name, code, sign in (("best_bid", S.BID, 1), ("best_ask", S.ASK, -1)):
             mine = side == code
             best = highest_over(len(seq), bounds[0][mine], bounds[1][mine], sign * price[mine], NOTHING)
-            over = cover[name].dropna()
+            over = cover[name].dropna() if len(cover) else cover
             if len(over):
                 best = np.maximum(best, sign * int(over.iloc[0]))
             out[name] = pd.array(np.where(best == NOTHING, 0, sign * best), dtype="Int64")
@@ -200,9 +200,10 @@ def best_prices(df: DataFrame, points: DataFrame) -> DataFrame:
     # a level that stays to the end of the tape is shown up to the last point asked for
     shown = stretches(df).join(last, S.KEY).select(*LEVEL, "from_seq", F.coalesce("to_seq", F.col("_last") + 1).alias("to_seq"))
     parts = materialize(pieces(shown.where("from_seq < to_seq"), every), "pieces")
-    cover = _covering(parts, asked.select(S.KEY, "_slice").distinct())
     inside = parts.where("level = 0").select(S.KEY, F.col("group").alias("_slice"), "side", "price_ticks", "low", "high")
-    rows = asked.unionByName(inside, allowMissingColumns=True).unionByName(cover, allowMissingColumns=True)
+    rows = asked.unionByName(inside, allowMissingColumns=True)
+    if not parts.where("level > 0").isEmpty():  # on a tape of one or two slices nothing stands throughout one
+        rows = rows.unionByName(_covering(parts, asked.select(S.KEY, "_slice").distinct()), allowMissingColumns=True)
     body = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in points.schema)
     return grouped_map(
         rows, [S.KEY, "_slice"], ["seq"], _best_of_slice(points.columns), f"{body}, best_bid bigint, best_ask bigint"
