@@ -31,11 +31,15 @@ def _is_update() -> Column:
     )
 
 
+def _size() -> Column:
+    return F.when(F.col("type") == S.CANCEL, F.lit(0).cast("long")).otherwise(F.col("quantity"))
+
+
 def book_rows(df: DataFrame) -> DataFrame:
     """Depth updates (side, price, size) and resets, each with the number of resets so far."""
     if "ts_us" not in df.columns:
         df = df.withColumn("ts_us", F.unix_micros("ts"))
-    size = F.when(F.col("type") == S.CANCEL, F.lit(0).cast("long")).otherwise(F.col("quantity"))
+    size = _size()
     side = F.when(F.col("type") == S.BID_UPDATE, S.BID).when(F.col("type") == S.ASK_UPDATE, S.ASK).otherwise(F.col("side"))
     rows = df.where(_is_reset() | (_is_update() & (size >= 0))).select(
         S.KEY, "seq", "ts_us", "type", side.cast("int").alias("side"), "price_ticks", size.alias("size")
@@ -47,7 +51,7 @@ def book_levels_asof(df: DataFrame, at: int | None = None) -> DataFrame:
     """Displayed size per level as of sequence ``at`` (the end if not given)."""
     rows = df if at is None else df.where(F.col("seq") <= at)
     resets = rows.where(_is_reset()).groupBy(S.KEY).agg(F.max("seq").alias("_reset"))
-    size = F.when(F.col("type") == S.CANCEL, F.lit(0).cast("long")).otherwise(F.col("quantity"))
+    size = _size()
     side = F.when(F.col("type") == S.BID_UPDATE, S.BID).when(F.col("type") == S.ASK_UPDATE, S.ASK).otherwise(F.col("side"))
     updates = rows.where(_is_update() & (size >= 0)).select(
         S.KEY, "seq", side.cast("int").alias("side"), "price_ticks", size.alias("size")
@@ -188,13 +192,15 @@ def _best_of_slice(columns: list[str]):
     return run
 
 
-def best_prices(df: DataFrame, points: DataFrame) -> DataFrame:
+def best_prices(df: DataFrame, points: DataFrame | None = None) -> DataFrame:
     """``points`` (instrument_id, seq, others) with the best bid and ask shown as of each, NULL where a side is empty.
 
-    The points of a slice meet the levels shown in a part of it; what is shown
+    Without ``points``, after every depth update and reset. The points of a slice meet the levels shown in a part of it; what is shown
     throughout comes as one pair of prices.
     """
     every = slice_rows(df.sparkSession)
+    if points is None:
+        points = df.where(_is_reset() | (_is_update() & (_size() >= 0))).select(S.KEY, "seq")
     asked = points.withColumn("_slice", slice_of("seq", every))
     last = asked.groupBy(S.KEY).agg(F.max("seq").alias("_last"))
     # a level that stays to the end of the tape is shown up to the last point asked for
