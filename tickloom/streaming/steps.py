@@ -95,13 +95,13 @@ def stream_threshold_bars(stream: DataFrame, path: str, kind: str, size: int) ->
 SUMS = ["_cvd", "_v", "_pv", "_ppv"]
 
 
-def cvd_vwap_step(keep_days: int = 7) -> Step:
+def cvd_vwap_step(keep_days: int | None = 7) -> Step:
     """Running delta and VWAP per trading date.
 
     The sums of every date within ``keep_days`` of an instrument's newest one
     are kept, so that late trades of an earlier date go on from where it
     stood. A trade older than that starts from nothing and is marked
-    ``is_too_late``.
+    ``is_too_late``. With None every date is kept, one row each.
     """
 
     def step(batch, before):
@@ -116,13 +116,15 @@ def cvd_vwap_step(keep_days: int = 7) -> Step:
             carry = known.select(*key, *[F.col(n).alias(f"_known{n}") for n in SUMS])
             newest = known.groupBy(S.KEY).agg(F.max("trading_date").alias("_newest"))
             run = run.join(carry, key, "left").join(newest, S.KEY, "left")
-            too_late = F.coalesce(F.date_diff("_newest", "trading_date") > keep_days, F.lit(False))
+            if keep_days is not None:
+                too_late = F.coalesce(F.date_diff("_newest", "trading_date") > keep_days, F.lit(False))
             for n in SUMS:
                 run = run.withColumn(n, F.coalesce(F.col(n) + F.col(f"_known{n}"), F.col(n))).drop(f"_known{n}")
             totals = totals.unionByName(known).groupBy(*key).agg(*[F.sum(n).alias(n) for n in SUMS])
         run = run.withColumn("is_too_late", too_late).drop("_newest")
         last = totals.groupBy(S.KEY).agg(F.max("trading_date").alias("_newest"))
-        kept = totals.join(last, S.KEY).where(F.date_diff("_newest", "trading_date") <= keep_days).select(
+        is_kept = F.lit(True) if keep_days is None else F.date_diff("_newest", "trading_date") <= keep_days
+        kept = totals.join(last, S.KEY).where(is_kept).select(
             *key, F.col("_cvd").cast("bigint").alias("_cvd"), F.col("_v").cast("bigint").alias("_v"),
             F.col("_pv").cast(flow.WIDE).alias("_pv"), F.col("_ppv").cast(flow.WIDE).alias("_ppv"),
         )
@@ -132,8 +134,8 @@ def cvd_vwap_step(keep_days: int = 7) -> Step:
     return step
 
 
-def stream_cvd_vwap(stream: DataFrame, path: str) -> DataStreamWriter:
-    return carried(stream, cvd_vwap_step(), path)
+def stream_cvd_vwap(stream: DataFrame, path: str, keep_days: int | None = 7) -> DataStreamWriter:
+    return carried(stream, cvd_vwap_step(keep_days), path)
 
 
 CONTEXT = ["instrument_id", "seq", "ts_us", "type", "price_ticks", "quantity", "aggressor"]
