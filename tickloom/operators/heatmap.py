@@ -89,7 +89,7 @@ def column_mid(cells: DataFrame, window: DataFrame) -> DataFrame:
     ask = F.min(F.when(F.col("side") == S.ASK, F.col("price_ticks")))
     best = cells.groupBy(S.KEY, "col").agg(bid.alias("_bid"), ask.alias("_ask"))
     centre = F.floor((F.col("lo") + F.col("hi")) / 2)
-    return best.join(window, S.KEY).select(
+    return best.join(F.broadcast(window), S.KEY).select(
         S.KEY, "col",
         F.coalesce(F.floor((F.col("_bid") + F.col("_ask")) / 2), "_bid", "_ask", centre).cast("long").alias("mid"),
     )
@@ -120,11 +120,15 @@ def heatmap_cells(
     """Cells to draw: both sides merged, inside the price window, coloured by position around the middle.
 
     Cells fainter than ``least_intensity`` are left out; by default none is.
+
+    Windows and scales have a row per instrument and go to every task. Cells meet
+    their column's middle by shuffle: the planner takes cells for as small as the
+    intervals they are spread from and would send them all through the driver.
     """
-    inside = cells.join(window, S.KEY).where((F.col("price_ticks") >= F.col("lo")) & (F.col("price_ticks") < F.col("hi")))
+    inside = cells.join(F.broadcast(window), S.KEY).where((F.col("price_ticks") >= F.col("lo")) & (F.col("price_ticks") < F.col("hi")))
     merged = inside.groupBy(S.KEY, "col", "price_ticks").agg(F.sum("size").alias("size")).where(F.col("size") >= min_size)
-    lit = merged.join(column_mid(cells, window), [S.KEY, "col"]).join(
-        scale.select(S.KEY, F.col(mode).alias("_top")), S.KEY
+    lit = merged.hint("merge").join(column_mid(cells, window), [S.KEY, "col"]).join(
+        F.broadcast(scale.select(S.KEY, F.col(mode).alias("_top"))), S.KEY
     )
     return lit.withColumn("intensity", heatmap_intensity(F.col("size"), F.col("_top"), mode)).where(
         F.col("intensity") >= least_intensity
