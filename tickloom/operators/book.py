@@ -221,8 +221,8 @@ def best_bid_ask(df: DataFrame, samples: DataFrame) -> DataFrame:
     return best_prices(df, samples).withColumn("spread", F.col("best_ask") - F.col("best_bid"))
 
 
-def snapshots(rows: DataFrame, every: int) -> DataFrame:
-    """Levels standing before each slice of ``every`` sequences that has rows (from ``book_rows``)."""
+def standing_spans(rows: DataFrame, every: int) -> tuple[DataFrame, DataFrame]:
+    """Sizes with the slices (_n, _until] they stand before, no further than the next reset, and the slices that have rows."""
     sliced = rows.withColumn("_slice", slice_of("seq", every))
     in_order = Window.partitionBy(S.KEY).orderBy("_slice")
     # slices that have rows, numbered without gaps
@@ -234,15 +234,22 @@ def snapshots(rows: DataFrame, every: int) -> DataFrame:
         F.max_by(F.struct("size", "epoch"), "seq").alias("_l")
     )
     by_level = Window.partitionBy(*LEVEL).orderBy("_n")
-    ends = slices.groupBy(S.KEY).agg(F.max("_n").alias("_end"))
+    # what no slice begins with is reset before the slice after it
+    ends = slices.groupBy(S.KEY, "epoch").agg(F.max("_n").alias("_end"))
     spans = (
         last.join(slices.select(S.KEY, "_slice", "_n"), [S.KEY, "_slice"]).withColumn("_until", F.lead("_n").over(by_level))
-        .join(ends, S.KEY)
-        .select(*LEVEL, "_l.size", "_l.epoch", "_n", F.coalesce("_until", "_end").alias("_until"))
+        .withColumn("epoch", F.col("_l.epoch")).join(ends, [S.KEY, "epoch"])
+        .select(*LEVEL, "_l.size", "_n", F.least("_until", "_end").alias("_until"))
         .where((F.col("size") > 0) & (F.col("_until") > F.col("_n")))
     )
+    return spans, slices.select(S.KEY, "_slice", "_n")
+
+
+def snapshots(rows: DataFrame, every: int) -> DataFrame:
+    """Levels standing before each slice of ``every`` sequences that has rows (from ``book_rows``)."""
+    spans, slices = standing_spans(rows, every)
     standing = spans.withColumn("_n", F.explode(F.sequence(F.col("_n") + 1, F.col("_until"))))
-    return standing.join(slices, [S.KEY, "_n", "epoch"]).select(*LEVEL, "size", "_slice")
+    return standing.join(slices, [S.KEY, "_n"]).select(*LEVEL, "size", "_slice")
 
 
 def cumulative_depth(levels: DataFrame, n: int) -> DataFrame:
