@@ -156,3 +156,31 @@ def test_several_levels_in_spark(spark, kind, monkeypatch):
     df = spark.createDataFrame(pd.concat(frames))
     got = {(r.name, r.seq): r.bar_id for r in restarting(df, ["name"], LIMITS[kind](a, b), rows=32).select("name", "seq", "bar_id").collect()}
     assert got == expected
+
+
+@pytest.mark.parametrize("turn", [37, 160, 1])
+@pytest.mark.parametrize("kind", ["time", "at_least", "band"])
+def test_clocks_that_go_back(spark, kind, turn, monkeypatch):
+    """Laps over the same times, shorter and longer than a slice, and a clock in no order at all."""
+    monkeypatch.setattr(resets, "FAN", 2)
+    rng = np.random.default_rng(turn)
+    frames, expected = [], {}
+    for key, n in (("a", 700), ("b", 90), ("c", 1)):
+        pdf = tape(rng, n)
+        ts = pdf["ts_us"].to_numpy()
+        pdf["ts_us"] = ts[np.arange(n) % turn] if turn > 1 and n > turn else rng.permutation(ts)
+        a, b = 40, 3
+        starts, _ = by_rows(kind, list(pdf.itertuples(index=False)), a, b)
+        expected |= {(key, int(q)): int(pdf["seq"][s]) for q, s in zip(pdf["seq"], starts)}
+        frames.append(pdf.assign(name=key))
+    df = spark.createDataFrame(pd.concat(frames))
+    got = {(r.name, r.seq): r.bar_id for r in restarting(df, ["name"], LIMITS[kind](a, b), rows=32).select("name", "seq", "bar_id").collect()}
+    assert got == expected
+
+
+def test_a_clock_that_goes_back_by_whole_slices(spark):
+    """Each slice in order, every one before the slice ahead of it."""
+    pdf = pd.DataFrame({"seq": np.arange(96), "ts_us": np.concatenate([np.arange(32) + at for at in (200, 100, 0)]), "name": "a"})
+    starts, _ = by_rows("time", list(pdf.assign(price_ticks=0, quantity=0).itertuples(index=False)), 10, 0)
+    got = restarting(spark.createDataFrame(pdf), ["name"], TimeLimit(10), rows=32).orderBy("seq").collect()
+    assert [r.bar_id for r in got] == starts

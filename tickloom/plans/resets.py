@@ -22,12 +22,13 @@ of a key, however long the tape.  The result is exact in every case.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from copy import copy
 
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.plans.grouped import edges, grouped_map
@@ -63,6 +64,21 @@ def _extent(fits, price: np.ndarray) -> np.ndarray:
     return at
 
 
+def _later(ts: np.ndarray, reach: int) -> np.ndarray:
+    """Per start, the first row behind it more than ``reach`` later (n: none); clocks may go back."""
+    if (ts[1:] >= ts[:-1]).all():
+        return np.searchsorted(ts, ts + reach, side="right")
+    tops = [ts]
+    while 2 << (len(tops) - 1) <= len(ts):
+        span = 1 << (len(tops) - 1)
+        tops.append(np.maximum(tops[-1][:-span], tops[-1][span:]))
+    at = np.arange(len(ts))
+    for level in range(len(tops) - 1, -1, -1):
+        can = np.flatnonzero(at + (1 << level) <= len(ts))
+        at[can[tops[level][at[can]] <= ts[can] + reach]] += 1 << level
+    return at
+
+
 def _suffix_sum(values: np.ndarray) -> np.ndarray:
     """Sum from each row to the last."""
     return np.cumsum(values[::-1])[::-1]
@@ -76,6 +92,8 @@ def _suffix_extremes(values: np.ndarray) -> list[np.ndarray]:
 # to them (``openings``), what a window begun at each row has gathered by the end (``states``), and how a state grows over a
 # slice (``through``), over a slice and a part of the next (``extend``), and at the least (``weakest``: of a window that runs
 # into a slice nothing is known but that). ``ends`` tells which openings end a state; once one does, all later ones do.
+# Limits by time leave out openings behind the first that ends every window begun no later than the slice. Where the clock of
+# a series goes back (``goes_back``), a window may have begun later than that; then none is left out.
 
 class VolumeLimit:
     """Ends with the row that brings the volume to ``limit``; the excess is not carried."""
@@ -148,17 +166,21 @@ class TimeLimit:
     """The next window starts with the first row more than (or at least) ``width_us`` after the start."""
 
     columns = ("ts_us",)
+    goes_back = False
 
     def __init__(self, width_us: int, at_least: bool = False):
         self.reach = int(width_us) - (1 if at_least else 0)
 
     def next_start(self, rows):
-        ts = rows["ts_us"]
-        nxt = np.searchsorted(ts, ts + self.reach, side="right")
-        return np.where(nxt < len(ts), nxt, len(ts) + 1)
+        nxt = _later(rows["ts_us"], self.reach)
+        return np.where(nxt < len(nxt), nxt, len(nxt) + 1)
 
     def openings(self, rows):
         ts = rows["ts_us"]
+        if self.goes_back:
+            top = np.maximum.accumulate(ts)
+            at = np.flatnonzero(np.concatenate([[True], np.diff(top) != 0]))
+            return at, [top[at]]
         at = np.arange(min(len(ts), int(np.searchsorted(ts, ts[0] + self.reach, side="right")) + 1))
         return at, [ts[at]]
 
@@ -168,11 +190,14 @@ class TimeLimit:
     def through(self, entry, whole):
         return entry
 
+    def both(self, whole, other):
+        return [max(whole[0], other[0])] if self.goes_back else whole
+
     def extend(self, whole, gathered):
-        return gathered
+        return [np.maximum(whole[0], gathered[0])]
 
     def weakest(self, whole):
-        return whole
+        return [FAR] if self.goes_back else whole
 
     def ends(self, entry, gathered):
         return gathered[0] - entry[0] > self.reach
@@ -182,13 +207,14 @@ class BandLimit:
     """The next window starts when time runs out or the price leaves a band of ``ticks``."""
 
     columns = ("ts_us", "price_ticks")
+    goes_back = False
 
     def __init__(self, width_us: int, ticks: int):
         self.width, self.ticks = int(width_us), int(ticks)
 
     def next_start(self, rows):
         ts = rows["ts_us"]
-        late = np.searchsorted(ts, ts + self.width, side="right")
+        late = _later(ts, self.width)
         far = _extent(lambda spread: spread <= self.ticks, rows["price_ticks"])
         nxt = np.minimum(late, far)
         return np.where(nxt < len(ts), nxt, len(ts) + 1)
@@ -196,6 +222,10 @@ class BandLimit:
     def openings(self, rows):
         ts, price = rows["ts_us"], rows["price_ticks"]
         high, low = np.maximum.accumulate(price), np.minimum.accumulate(price)
+        if self.goes_back:
+            top = np.maximum.accumulate(ts)
+            at = np.flatnonzero(np.concatenate([[True], (np.diff(top) != 0) | (np.diff(high) != 0) | (np.diff(low) != 0)]))
+            return at, [top[at], high[at], low[at]]
         surely = (ts - ts[0] > self.width) | (high - low > self.ticks)
         at = np.arange(int(np.argmax(surely)) + 1 if surely.any() else len(ts))
         return at, [ts[at], high[at], low[at]]
@@ -206,11 +236,14 @@ class BandLimit:
     def through(self, entry, whole):
         return [entry[0], np.maximum(entry[1], whole[1]), np.minimum(entry[2], whole[2])]
 
+    def both(self, whole, other):
+        return [max(whole[0], other[0]) if self.goes_back else whole[0], *self.through(whole, other)[1:]]
+
     def extend(self, whole, gathered):
-        return [gathered[0], *self.through(whole, gathered)[1:]]
+        return [np.maximum(whole[0], gathered[0]), *self.through(whole, gathered)[1:]]
 
     def weakest(self, whole):
-        return [whole[0], -FAR, FAR]
+        return [FAR if self.goes_back else whole[0], -FAR, FAR]
 
     def ends(self, entry, gathered):
         spread = np.maximum(entry[1], gathered[1]) - np.minimum(entry[2], gathered[2])
@@ -329,6 +362,8 @@ def summary(limit, rows: Columns) -> Function:
     whole_slice = [int(m[0]) for m in measures]
     if isinstance(limit, SweepLimit):
         whole_slice[1] = int(rows["is_step"].sum())
+    if getattr(limit, "goes_back", False):
+        whole_slice[0] = int(rows["ts_us"].max())
     gathered, leads = _merged([np.asarray(g, dtype=np.int64) for g in gathered], state(exits[starts]))
     return Function(gathered, leads, whole_slice, [int(x[0]) for x in state(exits[:1])])
 
@@ -364,7 +399,8 @@ def composed(limit, f: Function, g: Function) -> Function:
         leads = [np.concatenate([a, b[:upto]]) for a, b in zip(leads, g.leads)]
     gathered, leads = _merged(gathered, leads)
     fresh = after(limit, [np.array([x]) for x in f.fresh], g)
-    return Function(gathered, leads, [int(x) for x in limit.through(f.whole, g.whole)], [int(x[0]) for x in fresh])
+    both = getattr(limit, "both", limit.through)
+    return Function(gathered, leads, [int(x) for x in both(f.whole, g.whole)], [int(x[0]) for x in fresh])
 
 
 def composed_all(limit, functions: list[Function]) -> Function:
@@ -431,13 +467,21 @@ def restarting(
     part, full = [*lane, "_slice"], [*lane, *within, "_slice"]
     head = ", ".join(f"{c} {types[c]}" for c in full)
     used = list(dict.fromkeys(["seq", *limit.columns]))
+    timed = "ts_us" in limit.columns
+    clock = ", _from bigint, _upto bigint, _back boolean" if timed else ""
     function = "gathered array<array<bigint>>, leads array<array<bigint>>, whole array<bigint>, fresh array<bigint>"
 
+    def clock_of(series: Columns) -> dict:
+        if not timed:
+            return {}
+        ts = series["ts_us"]
+        return {"_from": int(ts.min()), "_upto": int(ts.max()), "_back": bool((ts[1:] < ts[:-1]).any())}
+
     def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
         names = {c: pdf[c].tolist() for c in full}
         return pd.DataFrame(
             [
-                {**{c: v[lo] for c, v in names.items()}, **summary(limit, series).row()}
+                {**{c: v[lo] for c, v in names.items()}, **summary(limit, series).row(), **clock_of(series)}
                 for lo, _, series in _series(pdf, within, used)
             ]
         )
@@ -465,10 +509,20 @@ def restarting(
         return made
 
     up = whole("_slice", FAN)
-    leaves = grouped_map(sliced.select(*dict.fromkeys([*full, *used])), part, [*within, "seq"], summarise, f"{head}, {function}")
+
+    def leaves() -> DataFrame:
+        slim = sliced.select(*dict.fromkeys([*full, *used]))
+        return materialize(grouped_map(slim, part, [*within, "seq"], summarise, f"{head}, {function}{clock}"), "windows")
+
     with temporary_tables(keep_last=True):
-        levels = [materialize(leaves, "windows")]
-        reach = levels[0].agg(F.max("_slice"), F.min("_slice")).first()
+        levels = [leaves()]
+        before = Window.partitionBy(*lane, *within).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+        turned = F.col("_back") | F.coalesce(F.max("_upto").over(before) > F.col("_from"), F.lit(False)) if timed else F.lit(False)
+        reach = levels[0].withColumn("_turned", turned).agg(F.max("_slice"), F.min("_slice"), F.max("_turned")).first()
+        if reach[2]:
+            limit = copy(limit)
+            limit.goes_back = True
+            levels = [leaves()]
         first, last = (reach[1], reach[0]) if reach[0] is not None else (0, 0)
         while last - first >= FAN:
             grown = levels[-1].withColumn("_up", up)
