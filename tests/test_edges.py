@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tests.test_fixtures import tape, trade_tape
 from tickloom.operators import bars as b
-from tickloom.operators import calendar, heatmap, quality, review
+from tickloom.operators import calendar, detectors, heatmap, quality, review
 from tickloom.plans.materialize import shared_folder
 from tickloom.streaming.steps import cvd_vwap_step
 
@@ -89,3 +89,13 @@ def test_shipping(spark):
     tickloom.ship(spark)
     tickloom.ship(spark)
     assert "tickloom" in spark.range(1).select(F.udf(lambda _: __import__("tickloom").__name__)("id")).first()[0]
+
+
+def test_levels_that_cannot_fire_have_no_windows(spark):
+    """One level is restored twice, one once, one never."""
+    quotes = [(100, 20), (100, 0), (100, 30), (100, 0), (100, 30), (101, 20), (101, 0), (101, 40), (102, 20), (102, 25)]
+    df = tape(spark, [(float(n), 6, price, size, "U") for n, (price, size) in enumerate(quotes)])
+    s = detectors.Replenishment(times=2, min_size=20, window_us=60_000_000)
+    kept = detectors.replenishment_windows(df, s, least=s.times).select("price_ticks").distinct().collect()
+    assert [r.price_ticks for r in kept] == [100]
+    assert [(r.seq, r.price_ticks) for r in detectors.replenishment(df, s).collect()] == [(4, 100)]

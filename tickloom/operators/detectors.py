@@ -260,11 +260,12 @@ QUOTED = [S.KEY, "type", "price_ticks"]
 
 
 def replenishment_windows(
-    df: DataFrame, s: Replenishment = Replenishment(), before: DataFrame | None = None
+    df: DataFrame, s: Replenishment = Replenishment(), before: DataFrame | None = None, least: int = 0
 ) -> DataFrame:
     """Depth updates with their anchored window and whether they restore an emptied level.
 
-    ``before`` (level, ``_empty``) tells which levels were already empty.
+    ``before`` (level, ``_empty``) tells which levels were already empty. Levels
+    restored fewer than ``least`` times in all are left out.
     """
     level = QUOTED
     quotes = _clock(df).where(F.col("type").isin(S.BID_UPDATE, S.ASK_UPDATE)).select(
@@ -277,6 +278,10 @@ def replenishment_windows(
     flagged = flagged.withColumn(
         "is_restore", F.coalesce("was_empty", F.lit(False)) & (F.col("size") >= s.min_size)
     ).drop("was_empty")
+    if least:
+        flagged = materialize(flagged, "levels")
+        often = flagged.groupBy(*level).agg(F.count_if("is_restore").alias("_n")).where(F.col("_n") >= least).drop("_n")
+        flagged = flagged.join(often, level, "left_semi")
     return restarting(
         flagged, [S.KEY], TimeLimit(s.window_us), out="window_id", within=["type", "price_ticks"]
     )
@@ -284,7 +289,7 @@ def replenishment_windows(
 
 def replenishment(df: DataFrame, s: Replenishment = Replenishment()) -> DataFrame:
     """A level emptied and restored several times within an anchored window."""
-    return replenishments_of(materialize(replenishment_windows(df, s), "replenishment"), s)
+    return replenishments_of(materialize(replenishment_windows(df, s, least=s.times), "replenishment"), s)
 
 
 def replenishments_of(windows: DataFrame, s: Replenishment) -> DataFrame:
